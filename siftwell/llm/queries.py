@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontam, records, rules, simhash, warc
+from siftwell.llm import automaton, decontam, licenses, mixing, pii, quality, records, rules, simhash, warc
 from siftwell.llm.common import scratch
 
 
@@ -27,11 +27,32 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, uri, manifest).drop("ids")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "n_tokens", *[F.col("posterior")[n].alias(f"p_{n}") for n in mixing.TARGETS], "rate", "copies")
+
+
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The registered query's key; a real run takes its own.
+PII_KEY = b"registered-query"
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rules.apply_rules(table(spark, sf_dir, "documents"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -94,6 +115,10 @@ FROM d LEFT JOIN n USING (rn) LEFT JOIN it USING (rn)
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "warc")
     archives = warc.write_pages(table(spark, sf_dir, "pages"), uri)
@@ -110,11 +135,7 @@ FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_records": op1_token_records,
-    "op3_simhash_neardup": op3_simhash_neardup,
-    "op7_quality_rules": op7_quality_rules,
-    "op8_decontamination": op8_decontamination,
-    "op10_warc": op10_warc,
+    f.__name__: f for f in (op1_token_records, op2_mixing, op3_simhash_neardup, op4_quality_classifier, op5_pseudonyms, op6_lm_scores, op7_quality_rules, op8_decontamination, op9_license_scan, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
