@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import commit_file, parts, storage
 
 #: Distinct pieces of text whose ids a worker keeps; when full it starts anew.
-CACHE = 800_000
+CACHE = 1_200_000
 BLOCK = 512
 
 
@@ -104,11 +104,16 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10)
 
 
+#: White space, of any kind, beside a space or a line's end: where a text with such a pair may be cut needs a closer look.
+_SPACED = sorted({pair for c in range(0x3001) if chr(c).isspace() for pair in (chr(c) + " ", chr(c) + "\n", "\n" + chr(c), " " + chr(c))})
+_TAILS = frozenset(".,;:!?")
+
+
 class PieceEncoder:
     """Token ids of whole texts by a byte-level BPE tokenizer that joins a space with what follows it.
 
-    Its pre-tokenizer never joins a non-space character with a space after it, so a text may be cut there and
-    the pieces encoded apart. Pieces repeat, so each distinct one goes to the tokenizer once. Pieces of one
+    Its pre-tokenizer never joins a non-space character with white space after it, nor a line's end with a word,
+    so a text may be cut there and the pieces encoded apart. Pieces repeat, so each distinct one goes to the tokenizer once. Pieces of one
     leading space go there many at a time: the ids that begin with a space tell them apart again.
     """
 
@@ -128,10 +133,17 @@ class PieceEncoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if re.search(r"\s ", text):
+        """Stretches that are encoded apart: lines, their ends, and in lines each word with the space before it."""
+        if any(pair in text for pair in _SPACED):
             return re.split(r"(?<=\S)(?= )", text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(first)
+            out += [" " + x for x in rest]
+            out.append("\n")
+        out.pop()
+        return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -143,9 +155,15 @@ class PieceEncoder:
         if len(self.cache) > CACHE:
             self.cache.clear()
         cut = [self.pieces(t) for t in texts]
-        new = sorted(set(chain.from_iterable(cut)).difference(self.cache))
-        joined = [x for x in new if x[:1] == " " and x.count(" ") == 1 and not x[1:2].isspace() and len(x) > 1]
-        apart = sorted(set(new).difference(joined))
+        # A letter and a mark after it are never joined: words with a mark at the end are made from those without.
+        new = set(chain.from_iterable(cut)).difference(self.cache)
+        marked = [x for x in new if len(x) > 2 and x[-1] in _TAILS and x[-2].isalpha()]
+        new.difference_update(marked)
+        new.update({x[:-1] for x in marked}.difference(self.cache), {x[-1] for x in marked}.difference(self.cache))
+        joined, apart = [], []
+        for x in new:
+            plain = x[:1] == " " and len(x) > 1 and not x[1].isspace() and " " not in x[1:]
+            (joined if plain else apart).append(x)
         self.cache.update(zip(apart, self._plain(apart), strict=True))
         groups = [joined[i : i + 64] for i in range(0, len(joined), 64)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -157,6 +175,7 @@ class PieceEncoder:
             ends = [*at[1:].tolist(), len(ids)]
             self.cache.update((p, data[a * size : b * size]) for p, a, b in zip(group, at.tolist(), ends, strict=True))
         get = self.cache.__getitem__
+        self.cache.update((x, get(x[:-1]) + get(x[-1])) for x in marked)
         return [b"".join(map(get, c)) for c in cut]
 
 
