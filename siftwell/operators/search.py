@@ -50,7 +50,9 @@ def keyword_scores(catalog: DataFrame, query: str) -> DataFrame:
     if not terms:
         return catalog.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     cols = [c for c in WEIGHTS if c in catalog.columns]
-    split = catalog.select("doc_id", *[spaced(F.array_join("tags", " ") if c == "tags" else F.col(c)).alias(f"t_{c}") for c in cols])
+    # One lambda folds all columns: as separate expressions they would make too much code to compile.
+    texts = F.array(*[F.array_join("tags", " ") if c == "tags" else F.col(c) for c in cols])
+    split = catalog.select("doc_id", F.transform(texts, spaced).alias("ts")).select("doc_id", *[F.get("ts", F.lit(i)).alias(f"t_{c}") for i, c in enumerate(cols)])
     tf = [sum((F.lit(WEIGHTS[c]) * _hits(f"t_{c}", t) for c in cols), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = split.select("doc_id", sum((F.regexp_count(f"t_{c}", F.lit("[^ ]+")) for c in cols), F.lit(0)).alias("len"), *tf)
     totals = counted.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))])
