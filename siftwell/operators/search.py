@@ -7,7 +7,6 @@ lengths are counted where the row is, and only df, N and the mean length are agg
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,14 +55,13 @@ def keyword_scores(catalog: DataFrame, query: str) -> DataFrame:
     tf = [sum((F.lit(WEIGHTS[c]) * _hits(f"t_{c}", t) for c in cols), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = split.select("doc_id", sum((F.regexp_count(f"t_{c}", F.lit("[^ ]+")) for c in cols), F.lit(0)).alias("len"), *tf)
     totals = counted.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))])
-    hit = counted.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
-    joined = hit.join(F.broadcast(totals))  # one row
+    joined = counted.join(F.broadcast(totals))  # one row; a filter on hits before it would be pushed down and count them again
     score = F.lit(0.0)
     for i in range(len(terms)):
         raw = F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
         score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = joined.select("doc_id", score.alias("raw"))
+    scored = joined.select("doc_id", score.alias("raw")).where("raw > 0")
     best = scored.agg(F.max("raw").alias("best"))
     return scored.join(F.broadcast(best)).where("best > 0").select("doc_id", (F.col("raw") / F.col("best")).alias("score"))
 
