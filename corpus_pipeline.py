@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates (five-word shingles)."""
     found = simhash.near_duplicates(docs, shingle=5, radius=4, kept=_begin(spark))
-    return docs.join(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(found.where("doc_id != component_id").select(F.col("doc_id").alias("__siftwell_id")).distinct(), F.col("doc_id") == F.col("__siftwell_id"), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

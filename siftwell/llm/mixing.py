@@ -69,7 +69,7 @@ class Softmax:
     @classmethod
     def fit(cls, rows: list[tuple[str, np.ndarray]], domains: list[str]) -> Softmax:
         sizes = np.array([len(x) for _, x in rows])
-        at = np.concatenate([x for _, x in rows] or [np.empty(0, np.int64)])
+        at = np.concatenate([np.empty(0, np.int64), *(x for _, x in rows)])
         common = np.bincount(at, minlength=BUCKETS + 8) >= 3
         use = common[at]
         doc, at = np.repeat(np.arange(len(rows)), sizes)[use], at[use]
@@ -208,6 +208,6 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
 
 def take_copies(docs: DataFrame, rated: DataFrame) -> DataFrame:
     """docs with each row repeated copies times; rows without an id stay once. Repeated ids take the largest of their copies."""
-    by_id = rated.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n"))
-    joined = docs.join(by_id, F.col("doc_id") == F.col("_id"), "left").withColumn("_n", F.coalesce("_n", F.lit(1))).where("_n > 0")
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    by_id = rated.where("doc_id is not null").groupBy(F.col("doc_id").alias("__siftwell_id")).agg(F.max("copies").alias("__siftwell_n"))
+    joined = docs.join(by_id, F.col("doc_id") == F.col("__siftwell_id"), "left").withColumn("__siftwell_n", F.coalesce("__siftwell_n", F.lit(1))).where("__siftwell_n > 0")
+    return joined.withColumn("__siftwell_i", F.explode(F.sequence(F.lit(1), F.col("__siftwell_n").cast("int")))).select(*docs.columns)

@@ -4,8 +4,8 @@ The model is over the bytes of texts, order 5 (five bytes are exactly one 40-bit
 bounded sample of trusted documents; their n-grams are counted by Spark, and the smoothed probabilities are
 held as tables in ascending key order, cut into shards. Scoring is a count join: a task sorts the distinct
 n-grams of a few megabytes of text and merges them with each order's shards, backing off where one is absent.
-A document is rejected if its perplexity is outside quantiles, by language, of trusted documents that were
-not trained on. Every perplexity, theirs too, counts some bytes of average trusted text along with the
+A document is rejected if its perplexity is over a quantile, by language, of trusted documents that were not
+trained on. There is no lower bound: documents of the sample, and copies of them, are rightly the least perplexing. Every perplexity, theirs too, counts some bytes of average trusted text along with the
 document's own, so that short texts, whose raw perplexities spread widely, are judged by the same thresholds.
 """
 
@@ -23,8 +23,8 @@ from siftwell.llm.common import materialise
 ORDER = 5
 #: Trusted documents that the model is trained on, at most: the documented bound of the sample.
 SAMPLE_DOCS = 4000
-#: Quantiles of held-out trusted perplexity, and the factor of the log perplexity by which a document may be outside them.
-LOW, HIGH, MARGIN = 0.001, 0.999, 1.05
+#: The quantile of held-out trusted perplexity, and the factor of the log perplexity by which a document may be over it.
+HIGH, MARGIN = 0.999, 1.05
 #: Bytes of average trusted text that count along with every document.
 PRIOR_BYTES = 400
 #: A language with fewer held-out trusted documents is judged by the thresholds of all.
@@ -179,36 +179,34 @@ def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text").mapInArrow(run, SCORED)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, low: float = LOW, high: float = HIGH, margin: float = MARGIN, kept: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, low, high, kept) for every row of docs.
+def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, high: float = HIGH, margin: float = MARGIN, kept: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity, high, kept) for every row of docs.
 
-    kept is false if the log perplexity is over margin times that of high, or under that of low divided by
-    margin. Null and empty texts have no perplexity and are rejected. Without trusted documents, or with none but the sample, nothing else is rejected.
+    kept is false if the log perplexity is over margin times that of high, the language's threshold. Null and empty texts have no perplexity and are rejected. Without trusted documents, or with none but the sample, nothing else is rejected.
     A null language is one of its own. Repeated rows are judged each; other columns are not read.
     """
     trusted = trusted_ids(labels)
     model, sample = train(docs, trusted, sample_docs)
-    out = "doc_id", "lang", "n_bytes", "perplexity", "low", "high", "kept"
+    out = "doc_id", "lang", "n_bytes", "perplexity", "high", "kept"
     if model is None:
         none = F.lit(None).cast("double")
         ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-        return ids.withColumns({"perplexity": none, "low": none, "high": none, "kept": F.col("n_bytes") > 0}).select(*out)
+        return ids.withColumns({"perplexity": none, "high": none, "kept": F.col("n_bytes") > 0}).select(*out)
     scored = materialise(perplexities(docs, model), "perplexities", kept)
     apart = scored.where("n_bytes > 0").join(trusted, "doc_id", "left_semi").join(F.broadcast(sample), "doc_id", "left_anti")
     sums = apart.agg(F.sum("log_prob"), F.sum("n_bytes")).first()
     prior = PRIOR_BYTES if sums[1] else 0
     smooth = F.exp(-(F.col("log_prob") + prior * (sums[0] / sums[1] if prior else 0.0)) / (F.col("n_bytes") + prior))
     scored, apart = (x.withColumn("perplexity", F.when(F.col("n_bytes") > 0, smooth)) for x in (scored, apart))
-    cut = F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), F.lit(10000))
+    cut = F.percentile_approx("perplexity", F.lit(high), F.lit(10000))
     by_lang = apart.groupBy("lang").agg(cut.alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).select(F.col("lang").alias("of"), "own")
-    overall = apart.agg(cut.alias("all")).first()["all"] or [None, None]
-    both = F.coalesce("own", F.array(*[F.lit(x).cast("double") for x in overall]))
-    judged = scored.join(by_lang, F.col("lang") == F.col("of"), "left").withColumns({"low": both[0], "high": both[1]})
-    bad = (F.log("perplexity") > margin * F.log("high")) | (F.log("perplexity") < F.log("low") / margin)
+    overall = apart.agg(cut.alias("all")).first()["all"]
+    judged = scored.join(by_lang, F.col("lang") == F.col("of"), "left").withColumn("high", F.coalesce("own", F.lit(overall).cast("double")))
+    bad = F.log("perplexity") > margin * F.log("high")
     return judged.withColumn("kept", (F.col("n_bytes") > 0) & ~F.coalesce(bad, F.lit(False))).select(*out)
 
 
 def keep_good(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """docs without those that judged (classify(docs, ...)) rejects; rows with a null id stay."""
-    bad = judged.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_id"), "left_anti")
+    bad = judged.where("not kept").select(F.col("doc_id").alias("__siftwell_id")).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col("__siftwell_id"), "left_anti")
