@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import EN_STOPWORDS, fold_text, spaced
+from siftwell.functions.text import EN_STOPWORDS, TOKEN, fold_table, fold_text
 
 # Column weights and BM25 parameters.
 WEIGHTS = {"name": 6.0, "title": 8.0, "author": 7.0, "subject": 5.0, "description": 3.0, "content": 3.0, "tags": 4.0}
@@ -38,9 +38,20 @@ def strip_stopwords(query: str) -> str:
 
 
 def _hits(column: str, term: tuple[list[str], bool]) -> Column:
-    """Places in column (spaced()) where the term's words stand in a row; the last may be a prefix. They may overlap."""
+    """Places in column where the term's words stand in a row; the last may be a prefix. They may overlap.
+
+    The text stays as it is: the pattern has every case and mark of the words' letters, which takes one pass where
+    folding the text would take many.
+    """
     words, prefix = term
-    return F.regexp_count(column, F.lit("(?= " + " ".join(words) + ("" if prefix else " ") + ")"))
+    marked = fold_table()
+
+    def letter(c: str) -> str:
+        same = c + marked.get(c, "")
+        return "[" + same + "".join(x.upper() for x in same if len(x.upper()) == 1 and x.upper() != x) + "]"
+
+    row = r"[^\p{L}\p{N}]+".join("".join(map(letter, w)) for w in words)
+    return F.regexp_count(column, F.lit(r"(?<![\p{L}\p{N}])(?=" + row + ("" if prefix else r"(?![\p{L}\p{N}])") + ")"))
 
 
 def keyword_scores(catalog: DataFrame, query: str) -> DataFrame:
@@ -49,11 +60,9 @@ def keyword_scores(catalog: DataFrame, query: str) -> DataFrame:
     if not terms:
         return catalog.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     cols = [c for c in WEIGHTS if c in catalog.columns]
-    # One lambda folds all columns: as separate expressions they would make too much code to compile.
-    texts = F.array(*[F.array_join("tags", " ") if c == "tags" else F.col(c) for c in cols])
-    split = catalog.select("doc_id", F.transform(texts, spaced).alias("ts")).select("doc_id", *[F.get("ts", F.lit(i)).alias(f"t_{c}") for i, c in enumerate(cols)])
+    split = catalog.select("doc_id", *[F.coalesce(F.array_join("tags", " ") if c == "tags" else F.col(c), F.lit("")).alias(f"t_{c}") for c in cols])
     tf = [sum((F.lit(WEIGHTS[c]) * _hits(f"t_{c}", t) for c in cols), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = split.select("doc_id", sum((F.regexp_count(f"t_{c}", F.lit("[^ ]+")) for c in cols), F.lit(0)).alias("len"), *tf)
+    counted = split.select("doc_id", sum((F.regexp_count(f"t_{c}", F.lit(TOKEN)) for c in cols), F.lit(0)).alias("len"), *tf)
     totals = counted.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))])
     joined = counted.join(F.broadcast(totals))  # one row; a filter on hits before it would be pushed down and count them again
     score = F.lit(0.0)
