@@ -200,6 +200,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
     scored, apart = (x.withColumn("perplexity", F.when(F.col("n_bytes") > 0, smooth)) for x in (scored, apart))
     cut = F.percentile_approx("perplexity", F.lit(high), F.lit(10000))
     by_lang = apart.groupBy("lang").agg(cut.alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).select(F.col("lang").alias("of"), "own")
+    # Written first: the join then has plain inputs, and Spark broadcasts the small one or splits a language with most rows.
+    by_lang = materialise(by_lang, "thresholds", kept)
     overall = apart.agg(cut.alias("all")).first()["all"]
     judged = scored.join(by_lang, F.col("lang") == F.col("of"), "left").withColumn("high", F.coalesce("own", F.lit(overall).cast("double")))
     bad = F.log("perplexity") > margin * F.log("high")
