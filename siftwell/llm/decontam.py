@@ -155,13 +155,14 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with hit spans cut from their texts; found: contamination(docs, ...), with unique ids."""
+    columns = docs.columns
     hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__siftwell_id"), F.col("spans").alias("__siftwell_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, spans = b.column(text_col).to_pylist(), b.column("__siftwell_spans").to_pylist()
             new = [cut(t, [(x["start"], x["end"]) for x in s]) if s and t else t for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text_col else b.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text_col else b.column(c) for c in columns], columns)
 
     return docs.join(hit, F.col(id_col) == F.col("__siftwell_id"), "left").select(*docs.columns, "__siftwell_spans").mapInArrow(run, docs.schema)
 

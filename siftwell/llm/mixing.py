@@ -68,7 +68,7 @@ class Softmax:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, np.ndarray]], domains: list[str]) -> Softmax:
-        sizes = np.array([len(x) for _, x in rows])
+        sizes = np.array([len(x) for _, x in rows], np.int64)
         at = np.concatenate([np.empty(0, np.int64), *(x for _, x in rows)])
         common = np.bincount(at, minlength=BUCKETS + 8) >= 3
         use = common[at]
