@@ -11,8 +11,10 @@ executor loses nothing.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +33,35 @@ ROUNDS, CLOSE = 30, 1e-5
 #: Distinct words whose features a worker keeps; when full it starts anew.
 CACHE = 500_000
 
-_features: dict[bytes, tuple[int, int]] = {}
+#: Bytes as their kinds: lower-case letters and what is not ASCII, upper-case letters, digits; marks stay.
+KIND = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
 
-def _features_of(word: bytes) -> tuple[int, int]:
-    """Buckets of the bare lower-cased word and of its shape."""
-    if len(_features) > CACHE:
-        _features.clear()
-    bare = word.lower().strip(b".,;:!?")
-    shape = re.sub(rb"(.)\1+", rb"\1", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", re.sub(rb"\d", b"0", word))))
-    found = xxhash.xxh32_intdigest(bare, 1) % BUCKETS, xxhash.xxh32_intdigest(shape[:24], 2) % BUCKETS
-    if len(word) <= 64:
-        _features[word] = found
-    return found
+class _Shapes(dict):
+    """Bucket of a word's kinds with runs squeezed, by the kinds."""
+
+    def __missing__(self, kinds: bytes) -> int:
+        found = xxhash.xxh32_intdigest(re.sub(rb"(.)\1+", rb"\1", kinds)[:24], 2) % BUCKETS
+        if len(kinds) <= 64:
+            if len(self) > CACHE:
+                self.clear()
+            self[kinds] = found
+        return found
+
+
+class _Features(dict):
+    """Buckets of the bare lower-cased word and of its shape, by the word."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        found = xxhash.xxh32_intdigest(word.lower().strip(b".,;:!?"), 1) % BUCKETS, _shapes[word.translate(KIND)]
+        if len(word) <= 64:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_shapes, _features = _Shapes(), _Features()
 
 
 def features(text: str | None) -> tuple[np.ndarray, int]:
@@ -51,11 +69,8 @@ def features(text: str | None) -> tuple[np.ndarray, int]:
     ws = text.encode("utf-8", "replace").split() if text else []
     if not ws:
         return np.empty(0, np.int64), 0
-    get = _features.get
-    found = set()
-    for w in set(ws):
-        found.update(get(w) or _features_of(w))
-    repeats = sum(a == b for a, b in zip(ws, ws[1:], strict=False))
+    found = set(chain.from_iterable(map(_features.__getitem__, set(ws))))
+    repeats = sum(map(operator.eq, ws, islice(ws, 1, None)))
     found.update(BUCKETS + i for i in range(5) if repeats * 10 > len(ws) * i * 2 and repeats)
     return np.fromiter(found, np.int64, len(found)), len(ws)
 
