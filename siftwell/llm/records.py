@@ -104,8 +104,6 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10)
 
 
-#: White space, of any kind, beside a space or a line's end: where a text with such a pair may be cut needs a closer look.
-_SPACED = sorted({pair for c in range(0x3001) if chr(c).isspace() for pair in (chr(c) + " ", chr(c) + "\n", "\n" + chr(c), " " + chr(c))})
 _TAILS = frozenset(".,;:!?")
 
 
@@ -134,16 +132,9 @@ class PieceEncoder:
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Stretches that are encoded apart: lines, their ends, and in lines each word with the space before it."""
-        if any(pair in text for pair in _SPACED):
-            return re.split(r"(?<=\S)(?= )", text)
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-            out.append("\n")
-        out.pop()
-        return out
+        if "\0" in text or " ".join(text.split()) != text.rstrip("\n").replace("\n", " ") or text.endswith("\n\n"):
+            return re.split(r"(?<=\S)(?= )", text)  # other white space, or two side by side: only cut before a space after a word
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
