@@ -238,3 +238,12 @@ def test_pipeline(spark):
     three = corpus_pipeline.decontamination_stage(spark, d, SF)
     assert three.columns == d.columns and {r[0] for r in three.collect()} == {i for i, _ in data} - hit
     assert corpus_pipeline.mixing_stage(spark, d, SF).columns == d.columns
+
+
+def test_pieces_of_any_white_space_encode_as_whole_texts():
+    enc = records.PieceEncoder(queries.tokenizer_path(), 2)
+    common = [" ", " ", "\n", "a", "Wort", "it's", "'s", "é", "字", "1", "23", ".", ",", "!"]
+    odd = ["\t", "\r", "\0", "\x0b", "\x1c", "\x85", " ", " ", "　", "​", "﻿", "<|endoftext|>", "é"]
+    draw = random.Random(1)
+    texts = ["".join(draw.choices(common + odd * (i % 2), k=draw.randint(0, 12))) for i in range(6000)]
+    assert enc.encode(texts) == enc._plain(texts)
