@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siftwell.llm import decontam, mixing, quality, records, simhash
+from siftwell.llm import decontam, mixing, nearcopies, quality, records
 from siftwell.llm.common import release, scratch
 from siftwell.llm.queries import table, tokenizer_path
 from siftwell.session import ship
@@ -29,9 +28,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates (five-word shingles)."""
-    found = simhash.near_duplicates(docs, shingle=5, radius=4, kept=_begin(spark))
-    return docs.join(found.where("doc_id != component_id").select(F.col("doc_id").alias("__siftwell_id")).distinct(), F.col("doc_id") == F.col("__siftwell_id"), "left_anti")
+    """One document, that with the smallest id, of each group of near-duplicates: a Jaccard similarity of five-word shingles of 0.8 or more.
+
+    Of rows that repeat one id in a group one stays. Rows without an id are thinned too, and stay only where no row of their group has one.
+    """
+    return nearcopies.distinct_documents(docs, shingle=5, radius=4, kept=_begin(spark))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from oracle import SF, same
 
 import corpus_pipeline
-from siftwell.llm import automaton, decontam, licenses, mixing, pii, quality, queries, records, rules, simhash, warc
+from siftwell.llm import automaton, decontam, licenses, mixing, nearcopies, pii, quality, queries, records, rules, simhash, warc
 from siftwell.llm.common import scratch
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, fp long, kept boolean, _id long, n_words long"
@@ -247,3 +247,42 @@ def test_pieces_of_any_white_space_encode_as_whole_texts():
     draw = random.Random(1)
     texts = ["".join(draw.choices(common + odd * (i % 2), k=draw.randint(0, 12))) for i in range(6000)]
     assert enc.encode(texts) == enc._plain(texts)
+
+
+def near_copies_brute(texts, size=5):
+    """Indexes that stay, the first of each component of Jaccard similarity 0.8 or more; all pairs are compared."""
+    sets = [set(simhash.shingle_hashes(t, size).tolist()) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [i for i in range(len(sets)) if find(i) == i]
+
+
+def test_dedup_stage_reaches_similarity(spark):
+    draw = random.Random(3)
+    texts = []
+    for _ in range(60):
+        ws = [f"w{draw.randrange(500)}" for _ in range(draw.randint(40, 300))]
+        for changes in (0, 1, 2, 4, 8):
+            own = list(ws)
+            for at in draw.sample(range(len(ws)), min(changes, len(ws) // 20)):
+                own[at] = "other"
+            texts.append(" ".join(own))
+    texts += ["", "  ", "one", "One", "two words"]
+    want = near_copies_brute(texts)
+    assert len(want) < len(texts) - 100
+    got = corpus_pipeline.dedup_stage(spark, docs_of(spark, list(enumerate(texts))), SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    many = nearcopies.distinct_documents(docs_of(spark, list(enumerate(texts))), block=2)
+    assert sorted(r["doc_id"] for r in many.collect()) == want
+    data = sorted(documents(spark))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs_of(spark, data), SF).collect()) == [data[i][0] for i in near_copies_brute([t for _, t in data])]
