@@ -2,17 +2,18 @@
 
 A softmax classifier, fitted on a bounded sample of a labelled table, gives every document a posterior over
 domains. Rates r >= 0, the expected copies of each document, are then fitted so that the expected tokens of
-each domain, the sum over documents of rate * tokens * posterior, meet the targets in least squares. The fit is
-projected gradient descent with momentum, each step scaled by the document's tokens so that long and short
-documents move alike. A step needs one vector of residuals, as long as the number of domains; a document's rate
-follows from its posterior and the residuals so far, so each pass over the posteriors recomputes it, and a lost
-executor loses nothing.
+each domain, the sum over documents of rate * tokens * posterior, meet the targets in least squares; of the rates
+that do, those nearest to 1, by tokens. The fit steps along the residuals, scaled by an inverse Gram matrix, and
+projects the rates to 0 or more. A step needs the residuals and that matrix, as large as the number of domains; a
+document's rate follows from its posterior and the sum of the scaled residuals so far, so each pass over the posteriors
+recomputes it, and a lost executor loses nothing.
 """
 
 from __future__ import annotations
 
 import operator
 import re
+import warnings
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -29,7 +30,10 @@ SAMPLE_DOCS, BUCKETS = 6000, 1 << 18
 STEPS, RIDGE = 120, 3.0
 #: Shares of tokens that the mix should have, by domain.
 TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
-ROUNDS, CLOSE = 30, 1e-5
+#: Rounds at most; fit_rates() warns if they do not do. The largest residual, and its share of the target.
+ROUNDS, CLOSE, NEAR = 100, 1e-5, 1e-3
+#: Weight of the rates' distance from 1 against the residuals, and the slope at which steps end.
+FIRM, STILL = 1e-8, 1e-10
 #: Distinct words whose features a worker keeps; when full it starts anew.
 CACHE = 500_000
 
@@ -151,14 +155,9 @@ def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after the residuals so far, and the point at which the next residual is taken."""
-    rate = ahead = np.ones(len(p))
-    for t, gap in enumerate(residuals):
-        new = np.maximum(0, ahead - step * (p @ gap))
-        ahead = new + t / (t + 3) * (new - rate)
-        rate = new
-    return rate, ahead
+def rates(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """The rates of posteriors after a pull, the sum of the scaled residuals so far: one less its share, 0 at least."""
+    return np.maximum(0, 1 - p @ pull)
 
 
 def _matrix(column) -> np.ndarray:
@@ -166,34 +165,55 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
 
 
-def fit_rates(soft: DataFrame, targets: list[float], rounds: int = ROUNDS) -> tuple[list[np.ndarray], float]:
-    """Residuals of each round and the step: what replay() needs. soft: posteriors(), materialised."""
+def fit_rates(soft: DataFrame, targets: list[float], rounds: int = ROUNDS) -> np.ndarray:
+    """The pull that rates() needs. soft: posteriors(), materialised.
+
+    Each residual is scaled by the inverse Gram matrix of the documents whose rates are above 0, so that the speed does not
+    depend on the shares of domains; a step that does not lower the objective is halved. It ends when every target
+    is met to CLOSE, and to NEAR of itself. If no rates meet the targets the steps end at the least squares,
+    and a warning tells the residuals.
+    """
     k = len(targets)
     goal = np.array(targets) / sum(targets)
-    sums = [F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-    first = soft.agg(F.sum("n_tokens"), *sums).first()
-    total = float(first[0] or 0)
+    bound = np.where(goal > 0, np.minimum(CLOSE, NEAR * goal), CLOSE)
+    total = float(soft.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
-        return [], 0.0
-    step = 1 / np.linalg.eigvalsh(np.array(first[1:], float).reshape(k, k) / total)[-1]
-    residuals: list[np.ndarray] = []
-    for _ in range(rounds):
-        held = list(residuals)
+        return np.zeros(k)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            s = np.zeros(k)
+    def measure(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The residuals, the Gram matrix and the objective at a pull."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = np.zeros(k + k * k + 1)
             for b in batches:
                 if b.num_rows:
-                    p = _matrix(b.column(1))
-                    s += (replay(p, held, step)[1] * b.column(0).to_numpy(zero_copy_only=False)) @ p
+                    p, n = _matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+                    rate = rates(p, pull)
+                    s += np.concatenate([(rate * n) @ p, ((p * (n * (rate > 0))[:, None]).T @ p).ravel(), [n @ rate**2]])
             yield pa.RecordBatch.from_arrays([pa.array([list(s)], pa.list_(pa.float64()))], ["s"])
 
-        found = soft.select("n_tokens", "p").mapInArrow(run, "s array<double>").agg(*[F.sum(F.col("s")[i]) for i in range(k)]).first()
-        gap = np.array(found, float) / total - goal
-        if np.abs(gap).max() < CLOSE:
+        found = soft.select("n_tokens", "p").mapInArrow(run, "s array<double>").agg(*[F.sum(F.col("s")[i]) for i in range(k + k * k + 1)]).first()
+        s = np.array(found, float) / total
+        return s[:k] - goal, s[k:-1].reshape(k, k), float(s[-1] / 2 + pull @ goal + FIRM / 2 * pull @ pull)
+
+    pull, step, size = np.zeros(k), np.zeros(k), 1.0
+    gap, gram, height = measure(pull)
+    for _ in range(rounds):
+        slope = gap - FIRM * pull
+        if (np.abs(gap) <= bound).all():
+            return pull
+        if np.abs(slope).max() <= STILL:
             break
-        residuals.append(gap)
-    return residuals, float(step)
+        if size == 1:
+            step = np.linalg.solve(gram + FIRM * np.eye(k), slope)
+        now = measure(pull + size * step)
+        if now[2] <= height - 1e-4 * size * (slope @ step) + 1e-15 * abs(height):
+            pull, size, (gap, gram, height) = pull + size * step, 1.0, now
+        else:
+            size /= 2
+    state = "no rates come nearer" if np.abs(gap - FIRM * pull).max() <= STILL else f"not converged after {rounds} rounds"
+    warnings.warn(f"mixing: the rates do not meet the targets {goal.tolist()}: residuals {gap.tolist()}; {state}", stacklevel=2)
+    return pull
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample_docs: int = SAMPLE_DOCS, kept: list[str] | None = None) -> DataFrame:
@@ -207,12 +227,12 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     names = list(targets)
     model = fit_classifier(docs, domains_of(labels), names, sample_docs)
     soft = materialise(posteriors(docs, model), "posteriors", kept)
-    residuals, step = fit_rates(soft, list(targets.values()))
+    pull = fit_rates(soft, list(targets.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                rate = replay(_matrix(b.column(2)), residuals, step)[0]
+                rate = rates(_matrix(b.column(2)), pull)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rate)], ["doc_id", "n_tokens", "p", "rate"])
 
     rated = soft.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import warnings
 
 import brute
 import numpy as np
@@ -286,3 +287,22 @@ def test_dedup_stage_reaches_similarity(spark):
     assert sorted(r["doc_id"] for r in many.collect()) == want
     data = sorted(documents(spark))
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs_of(spark, data), SF).collect()) == [data[i][0] for i in near_copies_brute([t for _, t in data])]
+
+
+@pytest.mark.parametrize("shares", [(0.985, 0.005, 0.01), (0.997, 0.002, 0.001), (0.8, 0.15, 0.05)])
+@pytest.mark.parametrize("sure", [1.0, 0.97])
+def test_mixing_meets_targets_of_rare_domains(spark, shares, sure):
+    p = np.full((3, 3), (1 - sure) / 2) + np.eye(3) * (sure - (1 - sure) / 2)
+    given = [(i, int(s * 1_000_000), p[d].tolist()) for i, (d, s) in enumerate(enumerate(shares))]
+    soft = spark.createDataFrame(given, "doc_id long, n_tokens long, p array<double>")
+    goal = np.array(list(mixing.TARGETS.values()))
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        rate = mixing.rates(p, mixing.fit_rates(soft, goal.tolist()))
+    told = [w for w in told if "mixing:" in str(w.message)]
+    got = (rate * np.array([n for _, n, _ in given])) @ p / 1_000_000
+    if sure == 1:
+        assert not told and (np.abs(got - goal) <= 0.01 * goal).all()
+    else:  # a toxic share below the posterior that good documents have cannot be met; least squares then
+        best = min(float(((np.array([a, b, 0]) @ p - goal) ** 2).sum()) for a in np.linspace(0.9, 1.0, 401) for b in np.linspace(0, 0.1, 201))
+        assert told and ((got - goal) ** 2).sum() <= best + 1e-8
