@@ -4,7 +4,8 @@ Validated values only: payment card numbers (issuer digit and Luhn), US social s
 numbers, IPv4 addresses, dates, e-mail addresses and access key ids. A value is read as a number below the
 size of its format, permuted by a Feistel network, and permuted again until the result is valid too; so
 every value has a pseudonym of its own format, equal values have equal ones in every document, and who has the key
-can turn them back. Separators, domains of e-mail addresses and text around values stay.
+can turn them back. Card numbers next to other digits are the one exception to equality: where their pseudonyms could
+be read as numbers cut elsewhere, they are permuted again. Separators, domains of e-mail addresses and text around values stay.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 KINDS = ("email", "card", "ssn", "phone", "ipv4", "date", "key")
 
 _EMAIL = re.compile(r"(?<![\w.+-])([A-Za-z0-9][\w.+-]*)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", re.ASCII)
-_NUMBER = re.compile(
-    r"(?<![\w.-])(?:"
+_FORMS = (
     r"(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.?\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/.-]?\d)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![ -]?\d)"
+)
+#: Digits that may hold card numbers, one after the other; forms that go before them.
+_RUN = re.compile(rf"(?<![\w.-])(?:{_FORMS}|(?P<run>\d(?:[ -]?\d){{12,}}))", re.ASCII)
+_NUMBER = re.compile(
+    rf"(?<![\w.-])(?:{_FORMS}"
     r"|(?P<key>AKIA[A-Z0-9]{16})(?![A-Za-z0-9])"
     r")|(?<![\w.-])(?P<phone>(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])",
     re.ASCII,
 )
+CARD_LENGTHS = (19, 16, 15, 14, 13)
 
 
 def permute(key: bytes, tweak: str, x: int, size: int, back: bool = False) -> int:
@@ -81,9 +86,42 @@ def _fill(value: str, digits: str) -> str:
     return re.sub(r"\d", lambda _: next(it), value)
 
 
+def _card_ok(d: str) -> bool:
+    return len(d) in CARD_LENGTHS and d[0] in "23456" and luhn_digit(d[:-1]) == d[-1]
+
+
+def card_spans(run: str) -> list[tuple[int, int]]:
+    """Card numbers in digits with single separators: all of it, or else what begins and ends at separators, the longest first."""
+    at = [i for i, c in enumerate(run) if c in _TEN]
+    d = "".join(run[i] for i in at)
+    if _card_ok(d):
+        return [(0, len(run))]
+    out, i = [], 0
+    while i <= len(d) - CARD_LENGTHS[-1]:
+        n = 0
+        if d[i] in "23456" and (i == 0 or at[i] - at[i - 1] > 1):
+            n = next((n for n in CARD_LENGTHS if i + n <= len(d) and (i + n == len(d) or at[i + n] - at[i + n - 1] > 1) and _card_ok(d[i : i + n])), 0)
+        if n:
+            out.append((at[i], at[i + n - 1] + 1))
+        i += n or 1
+    return out
+
+
+def cards(key: bytes, run: str, spans: list[tuple[int, int]], back: bool) -> str:
+    """run with the card numbers at spans replaced, again until the same spans are found in it: so that it can be turned back."""
+    while True:
+        out, last = [], 0
+        for a, b in spans:
+            out += [run[last:a], pseudonym(key, "card", run[a:b], back)]
+            last = b
+        run = "".join([*out, run[last:]])
+        if card_spans(run) == spans:
+            return run
+
+
 def card(key: bytes, value: str, back: bool) -> str | None:
     d = _digits(value)
-    if len(d) not in (13, 14, 15, 16, 19) or d[0] not in "23456" or luhn_digit(d[:-1]) != d[-1]:
+    if not _card_ok(d):
         return None
     n = len(d) - 1
     body = f"{walk(key, 'card', int(d[:-1]), 10**n, lambda x: f'{x:0{n}d}'[0] in '23456', back):0{n}d}"
@@ -119,7 +157,9 @@ def ipv4(key: bytes, value: str, back: bool) -> str | None:
     if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts):
         return None
     x = int.from_bytes(bytes(map(int, parts)), "big")
-    return ".".join(map(str, walk(key, "ipv4", x, 1 << 32, _ip_ok, back).to_bytes(4, "big"))) if _ip_ok(x) else None
+    # addresses of hosts stay addresses of hosts; this network's, loopback, multicast and reserved ones stay among themselves
+    host = _ip_ok(x)
+    return ".".join(map(str, walk(key, "ipv4", x, 1 << 32, lambda n: _ip_ok(n) == host, back).to_bytes(4, "big")))
 
 
 def date(key: bytes, value: str, back: bool) -> str | None:
@@ -192,13 +232,24 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[s
         counts[kind] = counts.get(kind, 0) + 1
         return new
 
+    def numbers(part: str) -> str:
+        out, last = [], 0
+        for m in _RUN.finditer(part):
+            if m["run"] and (spans := card_spans(m[0])):
+                new = cards(key, m[0], spans, back)
+                counts["card"] = counts.get("card", 0) + len(spans)
+                for a, b in spans:
+                    out += [_NUMBER.sub(lambda n: put(n.lastgroup, n[0]), part[last : m.start() + a]), new[a:b]]
+                    last = m.start() + b
+        return "".join([*out, _NUMBER.sub(lambda n: put(n.lastgroup, n[0]), part[last:])])
+
     if any(c in text for c in _TEN) or "AKIA" in text:
         # e-mail addresses are set apart first: their digits are no numbers
         out, last = [], 0
         for m in _EMAIL.finditer(text) if "@" in text else ():
-            out += [_NUMBER.sub(lambda n: put(n.lastgroup, n[0]), text[last : m.start()]), put("email", m[0])]
+            out += [numbers(text[last : m.start()]), put("email", m[0])]
             last = m.end()
-        return "".join([*out, _NUMBER.sub(lambda n: put(n.lastgroup, n[0]), text[last:])]), counts
+        return "".join([*out, numbers(text[last:])]), counts
     if "@" in text:
         text = _EMAIL.sub(lambda m: put("email", m[0]), text)
     return text, counts

@@ -306,3 +306,27 @@ def test_mixing_meets_targets_of_rare_domains(spark, shares, sure):
     else:  # a toxic share below the posterior that good documents have cannot be met; least squares then
         best = min(float(((np.array([a, b, 0]) @ p - goal) ** 2).sum()) for a in np.linspace(0.9, 1.0, 401) for b in np.linspace(0, 0.1, 201))
         assert told and ((got - goal) ** 2).sum() <= best + 1e-8
+
+
+def test_pseudonyms_of_every_address():
+    for v in ["233.254.104.120", "248.40.198.62", "0.0.0.0", "127.0.0.1", "255.255.255.255", "224.0.0.1"]:
+        new = pii.pseudonym(b"k", "ipv4", v)
+        assert new and new != v and pii.pseudonym(b"k", "ipv4", new, True) == v
+
+
+def test_pseudonyms_of_neighbouring_cards():
+    one, two = "4111111111111111", "4041894974608795"
+    for gap in (" ", "-", ", "):
+        for text, n in ((one + gap + one, 2), (one + gap + two + gap + one, 3), ("4111 1111 1111 1111" + gap + "4041-8949-7460-8795", 2)):
+            new, counts = pii.pseudonymise(text, b"k")
+            assert counts == {"card": n} and not any(p in new for p in (one, two, "4111 1111", "4041-8949")), (text, new)
+            assert pii.pseudonymise(new, b"k", True)[0] == text
+    new, counts = pii.pseudonymise(f"{one} 192.168.1.1 and 415-555-2671 {one} and 123-45-6789 {one}", b"k")
+    assert counts == {"card": 3, "ipv4": 1, "phone": 1, "ssn": 1}
+    draw = random.Random(5)
+    for _ in range(3000):
+        body = [draw.choice("23456") + "".join(draw.choices("0123456789", k=draw.choice((11, 12, 13, 14, 17)))) for _ in range(2)]
+        cards = [b + pii.luhn_digit(b) for b in body]
+        text = " ".join(draw.sample([*cards, str(draw.randrange(10 ** draw.randint(1, 6)))], 3))
+        new, counts = pii.pseudonymise(text, b"k")
+        assert counts["card"] and pii.pseudonymise(new, b"k", True)[0] == text, text
