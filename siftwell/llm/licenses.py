@@ -3,7 +3,8 @@
 Templates and texts become words (lower-cased runs of ASCII letters and digits). Hashes of K words are winnowed
 per template: of every WINDOW hashes in a row the smallest stays; templates shorter than one window keep all.
 A text is looked up with all its hashes, so a shared stretch of K + WINDOW - 1 words is always noticed. Hits near
-one diagonal make a candidate, which a local alignment within a band around that diagonal verifies.
+one diagonal make a candidate, which local alignments within a band around that diagonal verify: after one is
+taken the words before and after it are aligned again, so repeats within the band are all found.
 """
 
 from __future__ import annotations
@@ -96,10 +97,10 @@ class TemplateIndex:
         return out
 
 
-def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = 2 * BAND) -> tuple[int, int, int] | None:
-    """Best local alignment within band of the diagonal: matched words, and the span [start, end) of doc."""
-    low = max(0, diagonal - band)
-    part = doc[low : max(low, diagonal + len(template) + band)]
+def align(doc: np.ndarray, template: np.ndarray, diagonal: int, start: int, stop: int, band: int = 2 * BAND) -> tuple[int, int, int] | None:
+    """Best local alignment within band of the diagonal and words [start, stop) of doc: matched words, and the span [start, end) of doc."""
+    low = max(start, diagonal - band)
+    part = doc[low : max(low, min(stop, diagonal + len(template) + band))]
     best, score = None, 0
     # by row: columns within the band, each (score, matched, start); row i of the template meets doc column i + diagonal - low
     before: dict[int, tuple[int, int, int]] = {}
@@ -122,6 +123,19 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = 2 *
     return best
 
 
+def alignments(doc: np.ndarray, template: np.ndarray, diagonal: int, least: float) -> list[tuple[int, int, int]]:
+    """Alignments of the least coverage within the band: the best one, and those of the words before and after each one taken."""
+    out, parts = [], [(0, len(doc))]
+    while parts:
+        start, stop = parts.pop()
+        if min(stop, diagonal + len(template) + 2 * BAND) - max(start, diagonal - 2 * BAND) < least * len(template):
+            continue
+        if (got := align(doc, template, diagonal, start, stop)) and got[0] >= least * len(template):
+            out.append(got)
+            parts += [(start, got[1]), (got[2], stop)]
+    return out
+
+
 def scan(text: str, index: TemplateIndex, least: float = LEAST_COVERAGE) -> list[tuple]:
     """(license, coverage, matched words, word span, character span), best first where spans overlap."""
     data = text.encode("utf-8", "replace")
@@ -131,7 +145,7 @@ def scan(text: str, index: TemplateIndex, least: float = LEAST_COVERAGE) -> list
     found = set()
     for name, diagonal in index.candidates(ids):
         template = index.ids[name]
-        if (got := align(ids, template, diagonal)) and got[0] >= least * len(template):
+        for got in alignments(ids, template, diagonal, least):
             found.add((name, got[0] / len(template), *got))
     out: list[tuple] = []
     for x in sorted(found, key=lambda x: (-x[2], -x[1], x[0], x[3])):

@@ -330,3 +330,12 @@ def test_pseudonyms_of_neighbouring_cards():
         text = " ".join(draw.sample([*cards, str(draw.randrange(10 ** draw.randint(1, 6)))], 3))
         new, counts = pii.pseudonymise(text, b"k")
         assert counts["card"] and pii.pseudonymise(new, b"k", True)[0] == text, text
+
+
+def test_license_scan_finds_every_repeat():
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    text = "Copyright A. All rights reserved. Copyright B. All rights reserved."
+    assert [text[x[5] : x[6]] for x in licenses.scan(text, index)] == ["All rights reserved"] * 2
+    for n in (1, 2, 6, 40):
+        assert [x[3:5] for x in licenses.scan("All rights reserved. " * n, index)] == [(3 * i, 3 * i + 3) for i in range(n)]
+    assert [x[0] for x in licenses.scan("Licensed under CC BY 4.0, x. " * 7, index)] == ["cc-by-4.0-notice"] * 7
