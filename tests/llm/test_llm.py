@@ -339,3 +339,11 @@ def test_license_scan_finds_every_repeat():
     for n in (1, 2, 6, 40):
         assert [x[3:5] for x in licenses.scan("All rights reserved. " * n, index)] == [(3 * i, 3 * i + 3) for i in range(n)]
     assert [x[0] for x in licenses.scan("Licensed under CC BY 4.0, x. " * 7, index)] == ["cc-by-4.0-notice"] * 7
+
+
+def test_dedup_stage_repeated_and_null_ids(spark):
+    long = " ".join(map(str, range(60)))
+    given = [(4, long), (4, long), (4, "another text of its own"), (None, long), (None, "no id at all"), (None, "no id at all"), (9, None), (None, "")]
+    got = corpus_pipeline.dedup_stage(spark, docs_of(spark, given), SF).select("doc_id", "text")
+    assert rows(got) == sorted([(4, long), (4, "another text of its own"), (None, "no id at all"), (9, None)], key=repr)
+    assert corpus_pipeline.dedup_stage(spark, docs_of(spark, []), SF).count() == 0
