@@ -1,18 +1,19 @@
-"""Language-model scoring by a weighted backoff automaton over word bigrams.
-
-The model is p(w | v) = (c(v w) + MU * q(w)) / (c(v) + MU), with q(w) = (c(w) + 1/2) / (N + (V + 1) / 2) over V
-training words and one more event for all others. It sums to one after every v. As an automaton: a state for
-each training word and for a text's beginning, an arc for each training bigram with its log10 probability, and
-from every state a failure arc, log10(MU / (c(v) + MU)), to the empty state, whose arcs are log10 q(w). A traversal
-goes left to right: at a token it follows the state's arc or else the failure arc and the empty state's arc,
-adds the weights, and moves to the token's state (the empty one if the token is unknown).
-
-Counting and scoring are joins whose size follows the corpus: nothing of the model is broadcast or collected.
+"""Language-model scoring by a weighted backoff automaton over word trigrams.
+
+The model, with counts c of training texts and every text followed by one end:
+    q(w)        = (c(w) + 1/2) / (N + (V + 1) / 2)          N tokens, V distinct ones; one more event for all others
+    p(w | v)    = (c(v w) + MU * q(w)) / (c(v) + MU)
+    p(w | u v)  = (c(u v w) + MU3 * p(w | v)) / (c(u v) + MU3)   for bigrams u v seen LEAST_SEEN times or more
+Each sums to one over w. As an automaton: the empty state, a state for each training word and for a text's
+beginning, and one for each such bigram. A state has an arc for each event seen after it, with its log10 probability, to
+the longest state that ends there, and a failure arc to the next shorter state with the log10 of the mass left over. A traversal
+goes left to right and carries the state: at a token it takes failure arcs until the state has an arc, adding weights.
+
+Counting and scoring are joins whose size follows the corpus (exchange.py): nothing of the model is broadcast or collected.
 1. Texts become batches of word numbers with the words' 64-bit hashes, written once to the shared folder.
-2. Each batch sends its distinct words and bigrams, as sorted hashes with training counts, to shards by hash
-   range: one packed row per batch and shard, so copies and frequent words are added up before the shuffle.
-3. A shard adds up the counts and returns to every batch the totals, in the order in which the batch sent keys.
-4. Each batch is joined with its totals, builds the part of the automaton that its texts can reach, and runs it.
+2. The hashes of each batch's distinct words and bigrams meet those of all others and come back with their totals.
+3. The same for trigrams that follow a bigram seen LEAST_SEEN times.
+4. Each batch builds the part of the automaton that its texts can reach, and runs it.
 """
 
 from __future__ import annotations
@@ -24,22 +25,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise, words
+from siftwell.llm.exchange import CELL, Tree, answer, batch_of, map_rows, pack, split, unpack
 
-MU = 400.0
+MU, MU3 = 400.0, 20.0
+#: How often a bigram is seen in training texts to be a state.
+LEAST_SEEN = 2
 #: Tokens of a batch, at least; a text is never cut.
 BATCH_TOKENS = 1_500_000
-#: Hashes of the end of a text and of its beginning; words have others.
-END, BEGIN = np.uint64(0), np.uint64(1)
+#: Tokens that a traversal makes in a row; longer texts are stretches that are traversed at once.
+STRETCH = 256
+#: Hashes of the end of a text and of its beginning. Hashes of words are odd, of bigrams and trigrams even.
+END, BEGIN = np.uint64(1), np.uint64(3)
 
 ENCODED = "batch long, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, vocab binary"
-SENT = "shard long, batch long, n long, kind long, keys binary, counts binary"
-BACK = "batch long, shard long, kind long, totals binary, v long, n long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -48,45 +51,33 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def _pack(a: np.ndarray, kind: str) -> bytes:
-    """Byte planes, compressed: planes of zeros cost nothing."""
-    a = np.ascontiguousarray(a, kind)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
-
-
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Batches of docs as ENCODED: word numbers (0: end of text), and the hash of each number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        number, ids, sizes, tokens = {b"\n": 0}, [], [], []
+        ids, sizes, held = [], [], []
 
         def row() -> pa.RecordBatch:
-            h = xxhash.xxh64_intdigest
-            vocab = np.fromiter((max(h(w), 2) for w in number), np.uint64, len(number))
-            vocab[0] = END
-            cols = [[part << 32 | made], [ids], [[is_held_out(i) for i in ids]], [sizes], [_pack(np.concatenate(tokens), "<u4")], [vocab.tobytes()]]
+            found = pa.array(held, pa.binary()).dictionary_encode()
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+            vocab = np.maximum(hashes, np.uint64(5)) | np.uint64(1)
+            vocab[0] = END  # every text is led by "\n" here, which is no word, and followed by it in the tokens
+            tokens = np.append(found.indices.to_numpy()[1:], np.int32(0))
+            cols = [[part << 32 | made], [ids], [[is_held_out(i) for i in ids]], [sizes], [pack(tokens, "<u4")], [vocab.tobytes()]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in ENCODED.split(", ")])
 
-        n = 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ws = words(text.as_py())
-                own = np.zeros(len(ws) + 1, np.uint32)
-                own[:-1] = [number.setdefault(w, len(number)) for w in ws]  # "\n" is no word, so 0 stays the end
                 ids.append(doc_id)
-                sizes.append(len(own))
-                tokens.append(own)
-                n += len(own)
-                if n >= BATCH_TOKENS:
+                sizes.append(len(ws) + 1)
+                held.append(b"\n")
+                held += ws
+                if len(held) >= BATCH_TOKENS:
                     yield row()
-                    made, n, number, ids, sizes, tokens = made + 1, 0, {b"\n": 0}, [], [], []
+                    made, ids, sizes, held = made + 1, [], [], []
         if ids:
             yield row()
 
@@ -94,127 +85,175 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, ENCODED)
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Even hashes of pairs of hashes."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))) & ~np.uint64(1)
+
+
 class Batch:
-    """A row of ENCODED: tokens, the state before each, and the distinct words' and bigrams' hashes in ascending order."""
+    """A row of ENCODED: tokens, the word before each (n: a text's beginning), and the bigram that ends at each."""
 
     def __init__(self, row: dict):
         self.doc_ids, self.held, self.sizes = row["doc_ids"], np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-        self.tokens = _unpack(row["tokens"], "<u4").astype(np.int64)
-        vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.n = len(vocab)
+        self.tokens = unpack(row["tokens"], "<u4").astype(np.int64)
+        self.vocab = np.append(np.frombuffer(row["vocab"], np.uint64), BEGIN)
+        self.n = len(self.vocab) - 1
         self.starts = np.cumsum(self.sizes) - self.sizes
-        # States are word numbers; one more for a text's beginning.
-        self.states = np.empty_like(self.tokens)
-        self.states[1:] = self.tokens[:-1]
-        self.states[self.starts] = self.n
-        pair, self.arc = np.unique(self.states * (self.n + 1) + self.tokens, return_inverse=True)
-        heads = np.append(vocab, BEGIN)[pair // (self.n + 1)]
-        mixed = heads * np.uint64(0x9E3779B97F4A7C15) + vocab[pair % (self.n + 1)]
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        self.keys = [vocab, mixed]
-        self.order = [np.argsort(k, kind="stable") for k in self.keys]
-
-    def counts(self) -> list[np.ndarray]:
-        """Of words and bigrams, in training texts."""
-        train = np.repeat(~self.held, self.sizes)
-        return [np.bincount(x[train], minlength=len(k)) for x, k in zip((self.tokens, self.arc), self.keys, strict=True)]
-
-
-def _send(encoded: DataFrame, shards: int) -> DataFrame:
-    edges = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                batch, out = Batch(row), []
-                for kind, (keys, order, counts) in enumerate(zip(batch.keys, batch.order, batch.counts(), strict=True)):
-                    keys, counts = keys[order], counts[order]
-                    at = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
-                    for s in np.flatnonzero(np.diff(at)):
-                        k, c = keys[at[s] : at[s + 1]], counts[at[s] : at[s + 1]]
-                        out.append((int(s), row["batch"], len(k), kind, _pack(np.diff(k, prepend=np.uint64(0)), "<u8"), _pack(c, "<u8")))
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in SENT.split(", ")])
-
-    return encoded.mapInArrow(run, SENT)
-
-
-def _add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Totals of one shard's hashes, row by row in the order of the rows' keys."""
-    out = []
-    for kind, rows in pdf.groupby("kind"):
-        keys = np.concatenate([np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in rows["keys"]])
-        _, slot = np.unique(keys, return_inverse=True)
-        total = np.zeros(int(slot.max()) + 1, np.int64)
-        np.add.at(total, slot, np.concatenate([_unpack(x, "<u8") for x in rows["counts"]]).astype(np.int64))
-        ends = np.cumsum(rows["n"].to_numpy())
-        for i, (batch, n, end) in enumerate(zip(rows["batch"], rows["n"], ends, strict=True)):
-            first = i == 0
-            out.append((batch, key[0], kind, _pack(total[slot[end - n : end]], "<u8"), int((total > 0).sum()) * first, int(total.sum()) * first))
-    return pd.DataFrame(out, columns=[f.split()[0] for f in BACK.split(", ")])
+        self.train = np.repeat(~self.held, self.sizes)
+        self.before = np.empty_like(self.tokens)
+        self.before[1:] = self.tokens[:-1]
+        self.before[self.starts] = self.n
+        self.bigram, self.pairs = pd.factorize(self.before * (self.n + 1) + self.tokens)
+        self.head, self.tail = self.pairs // (self.n + 1), self.pairs % (self.n + 1)
+        self.pair_keys = _mix(self.vocab[self.head], self.vocab[self.tail])
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending hashes of words and bigrams, and their training counts."""
+        keys = np.concatenate([self.vocab[:-1], self.pair_keys])
+        counts = np.concatenate([np.bincount(self.tokens[self.train], minlength=self.n), np.bincount(self.bigram[self.train], minlength=len(self.pairs))])
+        order = np.argsort(keys)
+        return keys[order], counts[order]
+
+    def learn_first(self, totals: np.ndarray) -> None:
+        """Takes the totals of first(), in its order."""
+        back = np.empty(len(totals), np.int64)
+        back[np.argsort(np.concatenate([self.vocab[:-1], self.pair_keys]))] = totals
+        self.count, self.pair_count = back[: self.n], back[self.n :]
+        # Trigrams: tokens whose two words before are a bigram seen often enough; slots are those of the bigram before.
+        context = np.empty_like(self.bigram)
+        context[1:] = self.bigram[:-1]
+        context[self.starts] = -1
+        self.is_state = (self.pair_count >= LEAST_SEEN) & (self.tail != 0)
+        self.deep = np.flatnonzero((context >= 0) & self.is_state[context])
+        self.trigram, triples = pd.factorize(context[self.deep] * (self.n + 1) + self.tokens[self.deep])
+        self.triple_head, self.triple_tail = triples // (self.n + 1), triples % (self.n + 1)
+        self.triple_pair = np.empty(len(triples), np.int64)  # the bigram of a trigram's last two words
+        self.triple_pair[self.trigram] = self.bigram[self.deep]
+        self.triple_keys = _mix(self.pair_keys[self.triple_head] | np.uint64(1), self.vocab[self.triple_tail])
+
+    def second(self) -> tuple[np.ndarray, np.ndarray]:
+        """first() of trigrams."""
+        counts = np.bincount(self.trigram[self.train[self.deep]], minlength=len(self.triple_keys))
+        order = np.argsort(self.triple_keys)
+        return self.triple_keys[order], counts[order]
+
+    def learn_second(self, totals: np.ndarray) -> None:
+        self.triple_count = np.empty(len(totals), np.int64)
+        self.triple_count[np.argsort(self.triple_keys)] = totals
+
+    def automaton(self, total: int, distinct: int, mu: float, mu3: float) -> BackoffAutomaton:
+        """What texts of this batch can reach of the automaton. States: 0 is empty, 1 + a word's number (n: the beginning), n + 2 + a bigram's slot."""
+        q = (self.count + 0.5) / (total + 0.5 * (distinct + 1))
+        seen = np.append(self.count, self.count[0])  # every text has one beginning and one end
+        word_state = np.where(seen > 0, np.arange(self.n + 1) + 1, 0)
+        pair_state = np.where(self.is_state, np.arange(len(self.pairs)) + self.n + 2, word_state[self.tail])
+        two = (self.pair_count + mu * q[self.tail]) / (seen[self.head] + mu)
+        whole = self.pair_count[self.triple_head]
+        three = (self.triple_count + mu3 * two[self.triple_pair]) / (whole + mu3)
+        weight = np.log10(np.concatenate([q, np.maximum(two, 1e-300), np.maximum(three, 1e-300)]))
+        to = np.concatenate([word_state[: self.n], pair_state, pair_state[self.triple_pair]])
+        arcs = np.full((3, len(self.tokens)), -1)
+        arcs[0] = self.tokens
+        arcs[1] = np.where(self.pair_count > 0, np.arange(len(self.pairs)) + self.n, -1)[self.bigram]
+        arcs[2, self.deep] = np.where(self.triple_count > 0, np.arange(len(whole)) + self.n + len(self.pairs), -1)[self.trigram]
+        depth = np.repeat([0, 1, 2], [1, self.n + 1, len(self.pairs)])
+        fail_to = np.concatenate([np.zeros(self.n + 2, np.int64), word_state[self.tail]])
+        fail = np.concatenate([[0.0], np.log10(mu / (seen + mu)), np.log10(mu3 / (self.pair_count + mu3))])
+        return BackoffAutomaton(arcs, weight, to, depth, fail_to, fail, self.n + 1)
 
 
 class BackoffAutomaton:
-    """States are word numbers, the beginning (n), and the empty state. Weights are log10."""
-
-    def __init__(self, count: np.ndarray, arc_count: np.ndarray, arc_state: np.ndarray, arc_word: np.ndarray, total: int, distinct: int, mu: float):
-        q = (count + 0.5) / (total + 0.5 * (distinct + 1))
-        self.empty = np.log10(q)
-        seen = np.append(count, count[0])  # every text has one beginning and one end
-        seen[0] = 0  # nothing follows an end
-        self.fail = np.log10(mu / (seen + mu))
-        with np.errstate(divide="ignore"):
-            self.arc = np.where(arc_count > 0, np.log10((arc_count + mu * q[arc_word]) / (seen[arc_state] + mu)), -np.inf)
-
-    def traverse(self, states: np.ndarray, arcs: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """The weight added at each token: its arc's, or the failure arc's and the empty state's."""
-        own = self.arc[arcs]
-        return np.where(own > -np.inf, own, self.fail[states] + self.empty[tokens])
-
-
-def score_batch(row: dict, totals: list[dict], total: int, distinct: int, mu: float) -> dict[str, list]:
-    b = Batch(row)
-    counts = []
-    for kind in (0, 1):
-        found = np.concatenate([_unpack(t["totals"], "<u8") for t in sorted((t for t in totals if t["kind"] == kind), key=lambda t: t["shard"])])
-        back = np.empty(len(found), np.int64)
-        back[b.order[kind]] = found
-        counts.append(back)
-    arc_state, arc_word = np.zeros(len(counts[1]), np.int64), np.zeros(len(counts[1]), np.int64)
-    arc_state[b.arc], arc_word[b.arc] = b.states, b.tokens
-    machine = BackoffAutomaton(counts[0], counts[1], arc_state, arc_word, total, distinct, mu)
-    add = np.add.reduceat
-    return {
-        "doc_id": b.doc_ids,
-        "held_out": b.held.tolist(),
-        "n_tokens": b.sizes.tolist(),
-        "n_known": add((counts[0] > 0)[b.tokens].astype(np.int64), b.starts).tolist(),
-        "train_tokens": [total] * len(b.sizes),
-        "base_score": add(machine.empty[b.tokens], b.starts).tolist(),
-        "score": add(machine.traverse(b.states, b.arc, b.tokens), b.starts).tolist(),
-    }
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, kept: list[str] | None = None) -> DataFrame:
+    """Arcs with a weight and the state that each leads to, and a failure arc for each state but 0, the empty one.
+
+    The words of a state of depth d are the d before the token that is read, so the arcs out of it are held by depth and
+    token: arcs[d, i] is the arc for token i out of a state of depth d, or -1. The empty state has one for every token.
+    """
+
+    def __init__(self, arcs: np.ndarray, weight: np.ndarray, to: np.ndarray, depth: np.ndarray, fail_to: np.ndarray, fail: np.ndarray, start: int):
+        self.arcs, self.weight, self.to, self.depth, self.fail_to, self.fail, self.start = arcs, weight, to, depth, fail_to, fail, start
+
+    def traverse(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text, a run of tokens.
+
+        Texts step along together, each carrying its state. A long text is stretches of STRETCH tokens: each begins two tokens
+        early, without weight, after which the state is the same as that of a traversal from the text's beginning.
+        """
+        n = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), n)
+        begin = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRETCH
+        early = np.where(begin > 0, 2, 0)
+        size = np.minimum(sizes[text] - begin, STRETCH) + early
+        order = np.argsort(-size, kind="stable")
+        left, begin, early = np.sort(size), (starts[text] + begin - early)[order], early[order]
+        state, score = np.where(early > 0, 0, self.start), np.zeros(len(text))
+        for t in range(int(size.max(initial=0))):
+            at = np.arange(len(text) - int(np.searchsorted(left, t, "right")))  # stretches that have a token here
+            while len(at):
+                own = state[at]
+                arc = self.arcs[self.depth[own], begin[at] + t]
+                hit = arc >= 0
+                go, stay, arc = at[hit], at[~hit], arc[hit]
+                score[go] += self.weight[arc]
+                state[go] = self.to[arc]
+                own = own[~hit]
+                score[stay] += self.fail[own]
+                state[stay] = self.fail_to[own]
+                at = stay
+            if t < 2:
+                score[early > 0] = 0
+        return np.bincount(text[order], score, len(sizes))
+
+
+def _cells(encoded: DataFrame, batches: int, firsts: str | None) -> DataFrame:
+    """Cells (CELL) of every batch's words and bigrams, or of its trigrams, given the answers on those."""
+
+    def cells(row: dict) -> Iterator[pa.RecordBatch]:
+        batch = Batch(row)
+        if firsts is not None:
+            batch.learn_first(answer(firsts, row["batch"], "<u8"))
+        keys, counts = batch.first() if firsts is None else batch.second()
+        yield batch_of(split(keys, counts, 1, 0, row["batch"], batches), CELL)
+
+    return map_rows(encoded, cells, CELL)
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, mu3: float = MU3, kept: list[str] | None = None) -> DataFrame:
     """SCORES for every row of docs: log10 probabilities of whole texts under q (base_score) and the automaton (score).
 
     Training rows are all those that are not held out. Null and empty texts are an end alone. Repeated rows
     train and are scored each. Where no row trains, q is 1 for each token and both scores are 0. An empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. A text's tokens are never cut: one of many million is a batch of its own.
     """
     encoded = materialise(encode(docs, id_col, text_col), "encoded", kept)
     batches = encoded.select("batch").count()
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * batches)
-    back = materialise(_send(encoded, shards).groupBy("shard").applyInPandas(_add_up, BACK), "totals", kept)
-    found = back.where("kind = 0").agg(F.sum("n"), F.sum("v")).first()
-    total, distinct = found[0] or 0, found[1] or 0
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(own: pa.Table, totals: pa.Table) -> pa.Table:
-        return pa.Table.from_pydict(score_batch(own.to_pylist()[0], totals.to_pylist(), total, distinct, mu), schema)
 
-    totals = back.select("batch", "shard", "kind", "totals")
-    return encoded.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(run, SCORES)
+    def measure(keys: np.ndarray, sums: np.ndarray) -> tuple[int, int]:
+        word = (keys & np.uint64(1)).astype(bool)
+        return int(sums[word].sum()), int((sums[word] > 0).sum())
+
+    tree = Tree(_cells(encoded, batches, None), batches, "lm-bigrams", kept)
+    values, total, distinct = tree.totals(measure)
+    firsts = tree.answers(values, "<u8", tree.levels - 1)
+    tree = Tree(_cells(encoded, batches, firsts), batches, "lm-trigrams", kept)
+    seconds = tree.answers(tree.totals(measure)[0], "<u8", tree.levels - 1)
+
+    def score(row: dict) -> Iterator[pa.RecordBatch]:
+        b = Batch(row)
+        b.learn_first(answer(firsts, row["batch"], "<u8"))
+        b.learn_second(answer(seconds, row["batch"], "<u8") if len(b.triple_keys) else np.empty(0, np.int64))
+        q = np.log10((b.count + 0.5) / (total + 0.5 * (distinct + 1)))
+        add = np.add.reduceat
+        cols = {
+            "doc_id": pa.array(b.doc_ids, pa.int64()),
+            "held_out": pa.array(b.held),
+            "n_tokens": pa.array(b.sizes),
+            "n_known": pa.array(add((b.count > 0)[b.tokens].astype(np.int64), b.starts)),
+            "train_tokens": pa.array([total] * len(b.sizes), pa.int64()),
+            "base_score": pa.array(add(q[b.tokens], b.starts)),
+            "score": pa.array(b.automaton(total, distinct, mu, mu3).traverse(b.starts, b.sizes)),
+        }
+        yield pa.RecordBatch.from_pydict(cols)
+
+    return map_rows(encoded, score, SCORES)

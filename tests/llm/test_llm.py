@@ -9,7 +9,7 @@ import pytest
 from oracle import SF, same
 
 import corpus_pipeline
-from siftwell.llm import automaton, decontam, licenses, mixing, nearcopies, pii, quality, queries, records, rules, simhash, warc
+from siftwell.llm import automaton, decontam, exchange, licenses, mixing, nearcopies, pii, quality, queries, records, rules, simhash, warc
 from siftwell.llm.common import scratch
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, fp long, kept boolean, _id long, n_words long"
@@ -127,27 +127,75 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert quality.classify(docs_of(spark, []), labels).count() == 0
 
 
-def test_automaton_matches_plain_traversal(spark):
-    data = documents(spark)
-    got = {r["doc_id"]: r for r in queries.op6_lm_scores(spark, SF).collect()}
-    toks = {d: [*(t or "").encode().lower().split(), None] for d, t in data}
-    one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+def plain_scores(texts, total=None):
+    """Of texts by id: (n_tokens, n_known, train_tokens, base, score) by a token-by-token walk over dictionaries."""
+    toks = {d: [*(t or "").encode().lower().split(), None] for d, t in texts.items()}
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for d, t in toks.items():
         if not automaton.is_held_out(d):
+            t = ["begin", *t]
             one.update(t)
-            pairs = list(zip(["begin", *t[:-1]], t, strict=True))
-            two.update(pairs)
-            before.update(a for a, _ in pairs)
-    n, v = sum(one.values()), len(one)
+            two.update(zip(t, t[1:]))
+            three.update(zip(t, t[1:], t[2:]))
+    n, v = sum(c for w, c in one.items() if w != "begin"), sum(w != "begin" for w in one)
+    q = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def p(state, w):
+        if not state:
+            return q(w), ()
+        seen, mu = (one[state[0]], automaton.MU) if len(state) == 1 else (two[state], automaton.MU3)
+        count = (two if len(state) == 1 else three)[*state, w]
+        lower, _ = p(state[1:], w)
+        return (count + mu * lower) / (seen + mu), count
+
+    out = {}
     for d, t in toks.items():
-        q = [(one[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
-        p = [(two[a, w] + automaton.MU * x) / (before[a] + automaton.MU) for a, w, x in zip(["begin", *t[:-1]], t, q, strict=True)]
-        r = got[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(one[w] > 0 for w in t), n)
-        assert math.isclose(r["base_score"], sum(map(math.log10, q)), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(map(math.log10, p)), rel_tol=1e-9)
-    odd = automaton.lm_scores(docs_of(spark, ODD))
-    assert odd.count() == len(ODD) and automaton.lm_scores(docs_of(spark, [])).count() == 0
+        state, score, base = ("begin",) if one["begin"] else (), 0.0, 0.0
+        for w in t:
+            score += math.log10(p(state, w)[0])
+            base += math.log10(q(w))
+            state = (*state[-1:], w)
+            while state and not (one[w] if len(state) == 1 else two[state] >= automaton.LEAST_SEEN):
+                state = state[1:]
+        out[d] = len(t), sum(one[w] > 0 for w in t), n, base, score
+    return out
+
+
+def same_scores(got, want):
+    assert {r["doc_id"] for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:3]
+        assert math.isclose(r["base_score"], want[r["doc_id"]][3], rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r["score"], want[r["doc_id"]][4], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_automaton_matches_plain_traversal(spark):
+    same_scores(queries.op6_lm_scores(spark, SF).collect(), plain_scores(dict(documents(spark))))
+
+
+def test_automaton_odd_rows(spark):
+    odd = {i: t for i, t in ODD}
+    odd |= {9: "a b a b a b a b " * 2000, 10: "a b a b", 11: " \n\t", 12: "A B A b c"}
+    given = docs_of(spark, list(odd.items()))
+    same_scores(automaton.lm_scores(given).collect(), plain_scores(odd))
+    held = dict(zip(filter(automaton.is_held_out, range(100)), ["x y z x y", "one two", None, "x x x"], strict=False))
+    assert all(r["score"] == r["base_score"] == 0 and r["train_tokens"] == 0 for r in automaton.lm_scores(docs_of(spark, list(held.items()))).collect())
+    assert automaton.lm_scores(docs_of(spark, [])).count() == 0
+
+
+def test_exchange_tree_of_two_levels(spark):
+    draw = np.random.default_rng(2)
+    many = exchange.FAN + 40
+    lists = {b * 7: np.unique(draw.integers(0, 5000, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for b in range(many)}
+    want = collections.Counter(k for ks in lists.values() for k in ks.tolist())
+    cells = spark.createDataFrame([x for b, ks in lists.items() for x in exchange.split(ks, np.ones(len(ks)), 1, 0, b, many)], exchange.CELL)
+    tree = exchange.Tree(cells, many, "t", None)
+    assert tree.levels == 2
+    values, total, distinct = tree.totals(lambda k, c: (int(c.sum()), len(k)))
+    assert (total, distinct) == (sum(want.values()), len(want))
+    uri = tree.answers(values, "<u8", tree.levels - 1)
+    for b, ks in lists.items():
+        assert exchange.answer(uri, b, "<u8").tolist() == [want[k] for k in ks.tolist()]
 
 
 def test_mixing_meets_targets(spark):
