@@ -1,6 +1,6 @@
 """Sharded count joins: many batches of sorted 64-bit keys meet in a tree of hash ranges, and each gets values back.
 
-A batch splits its keys by their first FAN_BITS bits into cells. A node of the tree gathers the cells of one range
+A batch splits its keys by their first bits into FAN cells. A node of the tree gathers the cells of one range
 from about FAN batches, adds up equal keys, splits the union by the next bits and sends it on to the next level, until
 one group is left. A batch makes FAN cells however many batches there are, a node reads about as many keys as
 one batch has, and the number of levels grows with the logarithm of the batches: rows grow with the input, never with its
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import commit_file, materialise, scratch, storage
 
-FAN_BITS = 8
+FAN_BITS = 7
 FAN = 1 << FAN_BITS
 
 #: Cells on their way up: node (grp, prefix) gathers them; child is the batch or the group that sent one.
@@ -56,25 +56,29 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
 
 
-def levels_of(batches: int) -> int:
-    n = 1
-    while FAN**n < batches:
-        n += 1
-    return n
+def levels_of(batches: int) -> list[tuple[int, int, int]]:
+    """Of each level from 1 on: its groups, the bits by which keys are split for it, and all bits up to it."""
+    groups, bits = -(-batches // FAN), FAN_BITS
+    out = [(max(1, groups), bits, bits)]
+    while groups > 1:
+        own = (min(groups, FAN) - 1).bit_length()
+        groups, bits = -(-groups // FAN), bits + own
+        out.append((groups, own, bits))
+    return out
 
 
-def group_of(child: int, level: int, batches: int) -> int:
+def group_of(child: int, level: int, groups: int) -> int:
     """The group at a level that a child's keys go to; groups hold about FAN children."""
-    groups = -(-batches // FAN**level)
-    return (((child + level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32) % groups if groups > 1 else 0
+    return (((child + level) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32) % groups
 
 
 def split(keys: np.ndarray, counts: np.ndarray, level: int, prefix: int, child: int, batches: int) -> list[tuple]:
     """Cells of a sorted list for the nodes of a level, by the level's bits."""
-    digit = (keys >> np.uint64(64 - FAN_BITS * level)) & np.uint64(FAN - 1)
-    at = np.searchsorted(digit, np.arange(FAN + 1, dtype=np.uint64))
-    group = group_of(child, level, batches)
-    return [(group, prefix << FAN_BITS | d, child, int(at[d + 1] - at[d]), pack_keys(keys[at[d] : at[d + 1]]), pack(counts[at[d] : at[d + 1]], "<u8")) for d in np.flatnonzero(np.diff(at)).tolist()]
+    groups, own, bits = levels_of(batches)[level - 1]
+    digit = (keys >> np.uint64(64 - bits)) & np.uint64((1 << own) - 1)
+    at = np.searchsorted(digit, np.arange((1 << own) + 1, dtype=np.uint64))
+    group = group_of(child, level, groups)
+    return [(group, prefix << own | d, child, int(at[d + 1] - at[d]), pack_keys(keys[at[d] : at[d + 1]]), pack(counts[at[d] : at[d + 1]], "<u8")) for d in np.flatnonzero(np.diff(at)).tolist()]
 
 
 def merge(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -112,12 +116,24 @@ def _node(level: int, batches: int, last: Callable[[tuple, pd.DataFrame], list[t
     return run
 
 
+def _down(bits: int, kind: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What a node that was split by so many bits does with its values: its children's go to them."""
+
+    def run(ranks: pd.DataFrame, vals: pd.DataFrame) -> pd.DataFrame:
+        own = np.concatenate([unpack(v, kind) for v in vals.sort_values("piece")["vals"]])
+        rows = [(c, int(p) >> bits, int(p) & (1 << bits) - 1, pack(own[unpack(r, "<u4")], kind)) for p, c, r in zip(ranks["prefix"], ranks["child"], ranks["keys"], strict=True)]
+        return _frame(rows, VALUES)
+
+    return run
+
+
 class Tree:
     """A tree over some cells (CELL, of level 1). totals() or roots() climbs it, answers() comes back down."""
 
     def __init__(self, cells: DataFrame, batches: int, name: str, kept: list[str] | None):
         self.batches, self.name, self.kept = batches, name, kept
-        self.levels = levels_of(batches)
+        self.plan = levels_of(batches)
+        self.levels = len(self.plan)
         self.ranks: dict[int, DataFrame] = {}
         self.cells = cells
 
@@ -134,9 +150,11 @@ class Tree:
     def totals(self, measure: Callable[[np.ndarray, np.ndarray], tuple[int, int]]) -> tuple[DataFrame, int, int]:
         """Values (VALUES) of the last level's children: the sums of their keys' counts ('<u8'); and the sums of the two measures of every root's keys and counts."""
 
+        own = self.plan[-1][1]
+
         def last(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
             union, sums, ranks = merge(pdf)
-            rows = [(3, c, int(key[1]) >> FAN_BITS, int(key[1]) & FAN - 1, 0, pack(sums[r], "<u8"), b"") for c, r in zip(pdf["child"], ranks, strict=True)]
+            rows = [(3, c, int(key[1]) >> own, int(key[1]) & (1 << own) - 1, 0, pack(sums[r], "<u8"), b"") for c, r in zip(pdf["child"], ranks, strict=True)]
             one, two = measure(union, sums)
             return [*rows, (2, one, two, 0, 0, b"", b"")]
 
@@ -160,12 +178,7 @@ class Tree:
         values (VALUES) belong to the nodes of a level, or to the batches if it is 0; kind is their type.
         """
         while level:
-
-            def run(ranks: pd.DataFrame, vals: pd.DataFrame) -> pd.DataFrame:
-                own = np.concatenate([unpack(v, kind) for v in vals.sort_values("piece")["vals"]])
-                rows = [(c, int(p) >> FAN_BITS, int(p) & FAN - 1, pack(own[unpack(r, "<u4")], kind)) for p, c, r in zip(ranks["prefix"], ranks["child"], ranks["keys"], strict=True)]
-                return _frame(rows, VALUES)
-
+            run = _down(self.plan[level - 1][1], kind)
             values = self.ranks[level].groupBy("grp", "prefix").cogroup(values.groupBy("grp", "prefix")).applyInPandas(run, VALUES)
             values = materialise(values, f"{self.name}-down-{level}", self.kept)
             level -= 1
