@@ -142,6 +142,7 @@ class Tree:
         cells = self.cells
         for level in range(1, self.levels + 1):
             run = _node(level, self.batches, last if level == self.levels else None)
+            cells = cells.repartition(shards(cells, self.batches), "grp", "prefix")
             made = materialise(cells.groupBy("grp", "prefix").applyInPandas(run, MADE), f"{self.name}-{level}", self.kept)
             self.ranks[level] = made.where("kind = 1").select("grp", "prefix", "child", "keys")
             cells = made.where("kind = 0").drop("kind")
@@ -172,6 +173,11 @@ class Tree:
 
         return self._climb(last).where("kind = 2").select("prefix", "keys", "counts")
 
+    @staticmethod
+    def union(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The keys and counts of a row of roots()."""
+        return unpack_keys(row["keys"]), unpack(row["counts"], "<u8")
+
     def answers(self, values: DataFrame, kind: str, level: int) -> str:
         """Write the values of every batch's keys, in ascending order of the keys, below the returned URI (see answer()).
 
@@ -182,20 +188,31 @@ class Tree:
             values = self.ranks[level].groupBy("grp", "prefix").cogroup(values.groupBy("grp", "prefix")).applyInPandas(run, VALUES)
             values = materialise(values, f"{self.name}-down-{level}", self.kept)
             level -= 1
-        uri = scratch(values.sparkSession, f"{self.name}-answers", self.kept)
+        return deliver(values, kind, self.batches, f"{self.name}-answers", self.kept)
+
+
+def shards(df: DataFrame, batches: int) -> int:
+    """Partitions for what batches send: a task gets about as much as eight batches sent."""
+    return max(batches // 8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def deliver(values: DataFrame, kind: str, batches: int, name: str, kept: list[str] | None = None) -> str:
+    """Write a file for each batch grp of values (VALUES), its pieces in order, below the returned URI: see answer()."""
+    uri = scratch(values.sparkSession, name, kept)
 
-        def write(pdf: pd.DataFrame) -> pd.DataFrame:
-            own = np.concatenate([unpack(v, kind) for v in pdf.sort_values("piece")["vals"]])
-            batch = int(pdf["grp"].iloc[0])
-            commit_file(f"{uri}/{batch % 997:03d}/{batch}", lambda out: out.write(pack(own, kind)))
-            return pd.DataFrame({"batch": [batch], "n": [len(own)]})
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.concatenate([unpack(v, kind) for v in pdf.sort_values("piece")["vals"]])
+        batch = int(pdf["grp"].iloc[0])
+        commit_file(f"{uri}/{batch % 997:03d}/{batch}", lambda out: out.write(pack(own, kind)))
+        return pd.DataFrame({"batch": [batch], "n": [len(own)]})
 
-        values.groupBy("grp").applyInPandas(write, "batch long, n long").agg(F.sum("n")).collect()
-        return uri
+    values = values.repartition(shards(values, batches), "grp")
+    values.groupBy("grp").applyInPandas(write, "batch long, n long").agg(F.sum("n")).collect()
+    return uri
 
 
 def answer(uri: str, batch: int, kind: str) -> np.ndarray:
-    """The values that answers() wrote for a batch; on executors. A batch without keys has none."""
+    """The values that deliver() wrote for a batch; on executors. A batch without keys has none."""
     fs, path = storage(f"{uri}/{batch % 997:03d}/{batch}")
     with fs.open_input_stream(path, compression=None) as f:
         return unpack(f.read(), kind)

@@ -1,38 +1,53 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, and perplexity thresholds.
 
-The model is over the bytes of texts, order 5 (five bytes are exactly one 40-bit key). It is trained on a
-bounded sample of trusted documents; their n-grams are counted by Spark, and the smoothed probabilities are
-held as tables in ascending key order, cut into shards. Scoring is a count join: a task sorts the distinct
-n-grams of a few megabytes of text and merges them with each order's shards, backing off where one is absent.
-A document is rejected if its perplexity is over a quantile, by language, of trusted documents that were not
-trained on. There is no lower bound: documents of the sample, and copies of them, are rightly the least perplexing. Every perplexity, theirs too, counts some bytes of average trusted text along with the
+The model is over the bytes of texts, order 5 (five bytes are exactly one 40-bit key), and of all trusted documents with
+an even id hash. Everything is a join of counts sharded by n-gram hash; no part of the model is collected or broadcast:
+1. Texts become batches of a few megabytes, written once to the shared folder.
+2. The distinct n-grams of each batch, with their counts in trusted text, meet those of all others (exchange.py).
+3. Each n-gram that occurs anywhere gets its smoothed probability by aggregations and joins, order by order: continuation
+   counts from the n-grams one longer, discounts from the counts of counts, the mass left over from the sums by context.
+4. The probabilities come back to the batches that asked for them, which add them up by document.
+
+A document is rejected if its perplexity is over a high quantile, by language, of trusted documents that were not trained on,
+or under a low quantile of those that were: endless repetition is too easy. A language's quantiles are drawn towards those of all
+languages by SHRINK documents, at every size. Every perplexity counts some bytes of average trusted text along with the
 document's own, so that short texts, whose raw perplexities spread widely, are judged by the same thresholds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from siftwell.llm.common import materialise
+from siftwell.llm.exchange import CELL, VALUES, Tree, answer, batch_of, deliver, map_rows, pack, shards, split
 
 ORDER = 5
-#: Trusted documents that the model is trained on, at most: the documented bound of the sample.
-SAMPLE_DOCS = 4000
-#: The quantile of held-out trusted perplexity, and the factor of the log perplexity by which a document may be over it.
-HIGH, MARGIN = 0.999, 1.05
+#: The quantiles of trusted perplexity that bound it: of documents not trained on, and of those trained on.
+HIGH, LOW = 0.999, 0.001
 #: Bytes of average trusted text that count along with every document.
 PRIOR_BYTES = 400
-#: A language with fewer held-out trusted documents is judged by the thresholds of all.
-LEAST_DOCS = 100
-SHARDS, CHUNK = 8, 2_000_000
+#: Documents by which a language's quantiles are drawn towards those of all; steps of log perplexity that quantiles are told in.
+SHRINK, GRID = 100, 10_000
+#: Bytes of a batch, about; a longer text is cut into stretches, which know the bytes before them.
+BATCH_BYTES = 8_000_000
 PAD = b"\n" * (ORDER - 1)
+#: A bijection of 64-bit numbers that spreads n-grams over hash ranges.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+UNMIX = np.uint64(pow(int(MIX), -1, 1 << 64))
+#: Roles of rows: the model is trained on them, thresholds are taken from them, neither.
+TRAINED, APART, OTHER = 1, 2, 0
 
-SCORED = "doc_id long, lang string, n_bytes long, log_prob double"
+ENCODED = "batch long, rows array<long>, doc_ids array<long>, langs array<string>, sizes array<long>, data binary"
+SCORED = "row long, doc_id long, lang string, n_bytes long, log_prob double, role long"
 
 
 def ngram_keys(data: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -43,106 +58,69 @@ def ngram_keys(data: np.ndarray, order: int = ORDER) -> np.ndarray:
     return keys
 
 
-class Shards:
-    """A map from ascending keys to values, cut into ranges; get() merges ascending queries with each."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, n: int = SHARDS):
-        self.parts = [(k, v) for k, v in zip(np.array_split(keys, n), np.array_split(values, n), strict=True) if len(k)]
-
-    def get(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and whether each asked key (ascending) is present."""
-        out, found = np.zeros(len(asked)), np.zeros(len(asked), bool)
-        for keys, values in self.parts:
-            a, b = np.searchsorted(asked, keys[0], "left"), np.searchsorted(asked, keys[-1], "right")
-            at = np.searchsorted(keys, asked[a:b])
-            hit = keys[at] == asked[a:b]
-            found[a:b], out[a:b] = hit, np.where(hit, values[at], 0)
-        return out, found
-
-
-class KneserNey:
-    """Modified Kneser-Ney from counts of the highest order; log_prob() takes ascending keys of that order."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.order = order
-        grams = {order: (keys, counts.astype(np.float64))}
-        for n in range(order - 1, 0, -1):  # continuation counts: how many bytes stand before an n-gram
-            k, c = np.unique(grams[n + 1][0] & np.uint64((1 << 8 * n) - 1), return_counts=True)
-            grams[n] = k, c.astype(np.float64)
-        lower = np.full(1, 1 / 256)
-        self.probs, self.backs = {}, {}
-        for n in range(1, order + 1):
-            k, c = grams[n]
-            times = [max(1.0, float((c == i).sum())) for i in (1, 2, 3, 4)]
-            y = times[0] / (times[0] + 2 * times[1])
-            d = np.clip([0, 1 - 2 * y * times[1] / times[0], 2 - 3 * y * times[2] / times[1], 3 - 4 * y * times[3] / times[2]], 0.05, [1, 0.95, 1.9, 2.8])
-            taken = d[np.minimum(c, 3).astype(int)]
-            context, slot = np.unique(k >> np.uint64(8), return_inverse=True)
-            whole, left = np.bincount(slot, c), np.bincount(slot, taken)
-            if n > 1:
-                below = lower[np.searchsorted(grams[n - 1][0], k & np.uint64((1 << 8 * (n - 1)) - 1))]
-            else:
-                below = lower[0]
-            p = (c - taken) / whole[slot] + left[slot] / whole[slot] * below
-            self.probs[n], self.backs[n] = Shards(k, np.log(p)), Shards(context, np.log(left / whole))
-            lower = p
-
-    def log_prob(self, keys: np.ndarray, n: int | None = None) -> np.ndarray:
-        n = self.order if n is None else n
-        if n == 0:
-            return np.full(len(keys), -np.log(256))
-        out, found = self.probs[n].get(keys)
-        if not found.all():
-            missing = keys[~found]
-            back, _ = self.backs[n].get(missing >> np.uint64(8))  # an unseen context passes on all: log 1
-            short, slot = np.unique(missing & np.uint64((1 << 8 * (n - 1)) - 1), return_inverse=True)
-            out[~found] = back + self.log_prob(short, n - 1)[slot]
-        return out
-
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """The log probability of each text, as a text that begins after a line's end."""
-        out = np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            if len(t) > CHUNK:  # overlapping stretches
-                data = PAD + t
-                out[i] = sum(self._sum([data[a : a + CHUNK + len(PAD)]])[0] for a in range(0, len(t), CHUNK))
-        short, held = [i for i, t in enumerate(texts) if 0 < len(t) <= CHUNK], []
-        while short:
-            held, size = [], 0
-            while short and size + len(texts[short[-1]]) <= CHUNK:
-                held.append(short.pop())
-                size += len(texts[held[-1]])
-            out[held] = self._sum([PAD + texts[i] for i in held])
-        return out
-
-    def _sum(self, padded: list[bytes]) -> np.ndarray:
-        """Of texts that each begin with len(PAD) bytes of context."""
-        sizes = np.array([len(x) for x in padded])
-        ends = np.cumsum(sizes)
-        keys = ngram_keys(np.frombuffer(b"".join(padded), np.uint8), self.order)
-        # n-grams that cross into the next text are left out
-        inside = np.concatenate([np.arange(a, b) for a, b in zip((ends - sizes).tolist(), (ends - len(PAD)).tolist(), strict=True)])
-        own, slot = np.unique(keys[inside], return_inverse=True)
-        n = sizes - len(PAD)
-        return np.add.reduceat(self.log_prob(own)[slot], np.cumsum(n) - n)
-
-
-def _bytes(texts: list[str | None]) -> list[bytes]:
-    return [t.encode("utf-8", "replace") if t else b"" for t in texts]
+def encode(docs: DataFrame) -> DataFrame:
+    """Batches of docs as ENCODED. data: of each stretch the ORDER - 1 bytes before it and its own, compressed; rows: one number for all stretches of a row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, count, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[tuple] = []
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(key long, n long) of the n-grams in column text; added up in each task first."""
+        def row() -> pa.RecordBatch:
+            rows, ids, langs, sizes, data = map(list, zip(*held, strict=True))
+            cols = [[part << 32 | made], [rows], [ids], [langs], [sizes], [zstandard.ZstdCompressor(level=1).compress(b"".join(data))]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in ENCODED.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                found = [ngram_keys(np.frombuffer(PAD + t, np.uint8)) for t in _bytes(b.slice(a, 256).column(0).to_pylist()) if t]
-                if found:
-                    keys, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            for doc_id, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                text = PAD + (text.as_py() or "").encode("utf-8", "replace")
+                for a in range(0, max(1, len(text) - len(PAD)), BATCH_BYTES):
+                    part_of = text[a : a + BATCH_BYTES + len(PAD)]
+                    held.append((part << 40 | count, doc_id, lang, len(part_of) - len(PAD), part_of))
+                    size += len(part_of)
+                    if size >= BATCH_BYTES:
+                        yield row()
+                        made, size, held = made + 1, 0, []
+                count += 1
+        if held:
+            yield row()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text")
+    return rows.mapInArrow(run, ENCODED)
+
+
+class Batch:
+    """A row of ENCODED: the n-gram at each byte, as a slot of the distinct ones."""
+
+    def __init__(self, row: dict):
+        self.sizes = np.array(row["sizes"], np.int64)
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
+        self.slot, self.grams = np.empty(0, np.int64), np.empty(0, np.uint64)
+        if self.sizes.sum():
+            keys = ngram_keys(data)
+            ends = np.cumsum(self.sizes + len(PAD))
+            across = np.zeros(len(keys) + 1, np.int64)  # n-grams that cross into the next stretch are left out
+            np.add.at(across, ends[:-1] - len(PAD), 1)
+            np.add.at(across, ends[:-1], -1)
+            self.slot, self.grams = pd.factorize(keys[np.cumsum(across[:-1]) == 0])
+        mixed = self.grams * MIX
+        self.order = np.argsort(mixed)
+        self.keys = mixed[self.order]
+
+    def counts(self, role: np.ndarray) -> np.ndarray:
+        """Of the ascending keys, in what the model is trained on."""
+        own = np.repeat(role == TRAINED, self.sizes)
+        return np.bincount(self.slot[own], minlength=len(self.grams))[self.order]
+
+    def log_probs(self, values: np.ndarray) -> np.ndarray:
+        """Of each stretch, given the log probabilities of the ascending keys."""
+        out = np.zeros(len(self.sizes))
+        if len(self.slot):
+            of = np.empty(len(self.grams))
+            of[self.order] = values
+            some = np.flatnonzero(self.sizes)
+            out[some] = np.add.reduceat(of[self.slot], (np.cumsum(self.sizes) - self.sizes)[some])
+        return out
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -151,61 +129,132 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return ok.where("doc_id is not null").groupBy("doc_id").agg(F.min("ok").alias("ok")).where("ok").select("doc_id")
 
 
-def train(docs: DataFrame, trusted: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[KneserNey | None, DataFrame]:
-    """The model and the ids of its sample: of the trusted documents with even id hashes, at most sample_docs in the hashes' order.
-
-    The odd half is never trained on, so thresholds have documents of their own at every size.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(trusted, "doc_id", "left_semi").where(F.xxhash64("doc_id") % 2 == 0).distinct()
-    sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
-    sample = docs.sparkSession.createDataFrame([(r[0],) for r in sample], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left_semi").select("text")
-    counts = count_ngrams(rows).toPandas().sort_values("key")  # as large as the sample at most
-    if not len(counts):
-        return None, sample
-    return KneserNey(counts["key"].to_numpy(np.int64).astype(np.uint64), counts["n"].to_numpy()), sample
-
-
-def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+def roles(encoded: DataFrame, trusted: DataFrame, batches: int, kept: list[str] | None) -> str:
+    """Delivers the roles of each batch's stretches. Trusted documents with an even id hash are trained on; the others never are, so thresholds have documents of their own at every size."""
+    known = trusted.select(F.col("doc_id").alias("id"), F.when(F.xxhash64("doc_id") % 2 == 0, TRAINED).otherwise(APART).alias("role"))
+    each = encoded.select("batch", F.posexplode("doc_ids").alias("i", "id"))
+    with_id = each.where("id is not null").join(known, "id", "left").select("batch", "i", F.coalesce("role", F.lit(OTHER)).alias("role"))
+    joined = with_id.unionByName(each.where("id is null").select("batch", "i", F.lit(OTHER).alias("role")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                texts = _bytes(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "log_prob": held.value.texts(texts)})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"grp": [int(pdf["batch"].iloc[0])], "prefix": [0], "piece": [0], "vals": [pack(pdf.sort_values("i")["role"].to_numpy(), "<u1")]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text").mapInArrow(run, SCORED)
+    joined = joined.repartition(shards(joined, batches), "batch")
+    return deliver(joined.groupBy("batch").applyInPandas(run, VALUES), "<u1", batches, "roles", kept)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, high: float = HIGH, margin: float = MARGIN, kept: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, high, kept) for every row of docs.
+def smoothed(grams: DataFrame, kept: list[str] | None = None, order: int = ORDER) -> DataFrame:
+    """grams (k, c, ...) with log_prob: of every n-gram k, also of those that training text has not (c = 0).
 
-    kept is false if the log perplexity is over margin times that of high, the language's threshold. Null and empty texts have no perplexity and are rejected. Without trusted documents, or with none but the sample, nothing else is rejected.
-    A null language is one of its own. Repeated rows are judged each; other columns are not read.
+    Interpolated modified Kneser-Ney: of each order, (c - D(c) + left * p(shorter)) / whole, with the sum of counts after a context,
+    whole, and of their discounts, left; the shorter one's p alone after contexts that training text has not.
+    Counts of shorter n-grams are the distinct bytes before them.
+    """
+    tables = {order: grams}
+    for n in range(order - 1, 0, -1):
+        shorter = F.col("k").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("k")
+        tables[n] = materialise(tables[n + 1].groupBy(shorter).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")), f"grams-{n}", kept)
+    times = None
+    for n, t in tables.items():
+        own = t.agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).withColumn("n", F.lit(n))
+        times = own if times is None else times.unionByName(own)
+    discounts = {}
+    for r in times.collect():
+        t = [max(1.0, float(r[f"n{i}"] or 0)) for i in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1])
+        discounts[r["n"]] = np.clip([1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]], 0.05, [0.95, 1.9, 2.8]).tolist()
+    lower = None
+    for n in range(1, order + 1):
+        one, two, more = (F.lit(x) for x in discounts[n])
+        c = F.col("c")
+        taken = F.when(c == 0, 0.0).when(c == 1, one).when(c == 2, two).otherwise(more)
+        after = tables[n].groupBy(F.shiftright("k", 8).alias("ctx")).agg(F.sum("c").alias("whole"), F.sum(taken).alias("left"))
+        joined = tables[n].withColumn("ctx", F.shiftright("k", 8)).join(after, "ctx")
+        if n > 1:
+            joined = joined.withColumn("short", F.col("k").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(lower, "short")
+        else:
+            joined = joined.withColumn("below", F.lit(1 / 256))
+        p = F.when(F.col("whole") > 0, (c - taken + F.col("left") * F.col("below")) / F.col("whole")).otherwise(F.col("below"))
+        if n == order:
+            return joined.select(*grams.columns, F.log(p).alias("log_prob"))
+        lower = materialise(joined.select(F.col("k").alias("short"), p.alias("below")), f"below-{n}", kept)
+
+
+def scores(docs: DataFrame, trusted: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """SCORED for every row of docs, written: bytes, log probability under the model of trusted (doc_id), and role."""
+    encoded = materialise(encode(docs), "texts", kept)
+    batches = encoded.select("batch").count()
+    own = roles(encoded, trusted, batches, kept)
+
+    def cells(row: dict) -> Iterator[pa.RecordBatch]:
+        b = Batch(row)
+        yield batch_of(split(b.keys, b.counts(answer(own, row["batch"], "<u1")), 1, 0, row["batch"], batches), CELL)
+
+    tree = Tree(map_rows(encoded, cells, CELL), batches, "grams", kept)
+
+    def unpacked(row: dict) -> Iterator[pa.RecordBatch]:
+        keys, counts = Tree.union(row)
+        yield pa.RecordBatch.from_pydict({"prefix": np.full(len(keys), row["prefix"]), "k": (keys * UNMIX).view(np.int64), "c": counts.view(np.int64)})
+
+    grams = materialise(map_rows(tree.roots(), unpacked, "prefix long, k long, c long"), "grams-5", kept)
+
+    def values(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(pdf["k"].to_numpy().view(np.uint64) * MIX)
+        return pd.DataFrame({"grp": [0], "prefix": [int(pdf["prefix"].iloc[0])], "piece": [0], "vals": [pack(pdf["log_prob"].to_numpy()[order], "<f4")]})
+
+    asked = smoothed(grams, kept)
+    asked = asked.repartition(shards(asked, batches), "prefix").groupBy("prefix").applyInPandas(values, VALUES)
+    found = tree.answers(asked, "<f4", tree.levels)
+
+    def score(row: dict) -> Iterator[pa.RecordBatch]:
+        b = Batch(row)
+        log_probs = b.log_probs(answer(found, row["batch"], "<f4") if len(b.grams) else np.empty(0))
+        role = answer(own, row["batch"], "<u1").astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_bytes": b.sizes, "log_prob": log_probs, "role": role})
+
+    each = map_rows(encoded, score, SCORED)
+    # The stretches of one row are few and have one id, language and role.
+    whole = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.sum("n_bytes").alias("n_bytes"), F.sum("log_prob").alias("log_prob"), F.first("role").alias("role"))
+    return materialise(whole, "perplexities", kept)
+
+
+def quantile(bins: DataFrame, by: list[str], q: float) -> DataFrame:
+    """(by..., n, value): the least bin whose share of rows up to it is q or more. bins (by..., bin, n): a bounded number for each value of by."""
+    run = W.partitionBy(*by, F.lit(0)).orderBy("bin")
+    up_to = bins.withColumn("below", F.sum("n").over(run)).withColumn("all", F.sum("n").over(W.partitionBy(*by, F.lit(0))))
+    return up_to.where(F.col("below") >= q * F.col("all")).groupBy(*by).agg(F.max("all").alias("n"), F.min("bin").alias("value"))
+
+
+def thresholds(scored: DataFrame, role: int, q: float, edge: Callable[[Column], Column], shrink: float, name: str, kept: list[str] | None) -> tuple[DataFrame, Column]:
+    """(of, name) log perplexities by language, written, and that of all languages; scored has lang, role and x, the log perplexity. edge: floor or ceil."""
+    bins = scored.where(F.col("x").isNotNull() & (F.col("role") == role)).groupBy("lang", edge(F.col("x") * GRID).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = materialise(bins, f"bins-{name}", kept)
+    every = quantile(bins.groupBy("bin").agg(F.sum("n").alias("n")), [], q).first()
+    every = F.lit(every["value"] if every else None).cast("double")
+    drawn = (F.col("n") * F.col("value") + shrink * every) / (F.col("n") + shrink) / GRID
+    return materialise(quantile(bins, ["lang"], q).select(F.col("lang").alias("of"), drawn.alias("own")), f"thresholds-{name}", kept), every / GRID
+
+
+def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, low: float = LOW, shrink: float = SHRINK, kept: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity, low, high, kept) for every row of docs.
+
+    kept is false if the perplexity is over high or under low, the language's thresholds. Null and empty texts have no perplexity and are rejected.
+    Without trusted documents nothing else is; a threshold that no document was set aside for is null and rejects nothing. A language without
+    trusted documents has the thresholds of all. A null language is one of its own, as an empty one. Repeated rows, also of one id, are judged each;
+    rows without an id are judged and never trained on. An empty table gives no rows; other columns are not read; texts of any length count whole.
     """
-    trusted = trusted_ids(labels)
-    model, sample = train(docs, trusted, sample_docs)
-    out = "doc_id", "lang", "n_bytes", "perplexity", "high", "kept"
-    if model is None:
-        none = F.lit(None).cast("double")
-        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-        return ids.withColumns({"perplexity": none, "high": none, "kept": F.col("n_bytes") > 0}).select(*out)
-    scored = materialise(perplexities(docs, model), "perplexities", kept)
-    apart = scored.where("n_bytes > 0").join(trusted, "doc_id", "left_semi").join(F.broadcast(sample), "doc_id", "left_anti")
-    sums = apart.agg(F.sum("log_prob"), F.sum("n_bytes")).first()
+    scored = scores(docs, trusted_ids(labels), kept)
+    sums = scored.where(F.col("role") == APART).agg(F.sum("log_prob"), F.sum("n_bytes")).first()
     prior = PRIOR_BYTES if sums[1] else 0
-    smooth = F.exp(-(F.col("log_prob") + prior * (sums[0] / sums[1] if prior else 0.0)) / (F.col("n_bytes") + prior))
-    scored, apart = (x.withColumn("perplexity", F.when(F.col("n_bytes") > 0, smooth)) for x in (scored, apart))
-    cut = F.percentile_approx("perplexity", F.lit(high), F.lit(10000))
-    by_lang = apart.groupBy("lang").agg(cut.alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).select(F.col("lang").alias("of"), "own")
-    # Written first: the join then has plain inputs, and Spark broadcasts the small one or splits a language with most rows.
-    by_lang = materialise(by_lang, "thresholds", kept)
-    overall = apart.agg(cut.alias("all")).first()["all"]
-    judged = scored.join(by_lang, F.col("lang") == F.col("of"), "left").withColumn("high", F.coalesce("own", F.lit(overall).cast("double")))
-    bad = F.log("perplexity") > margin * F.log("high")
-    return judged.withColumn("kept", (F.col("n_bytes") > 0) & ~F.coalesce(bad, F.lit(False))).select(*out)
+    x = -(F.col("log_prob") + prior * (sums[0] / sums[1] if prior else 0.0)) / (F.col("n_bytes") + prior)
+    scored = scored.withColumn("x", F.when(F.col("n_bytes") > 0, x))
+    judged = scored
+    for name, role, q, edge in (("high", APART, high, F.ceil), ("low", TRAINED, low, F.floor)):
+        own, every = thresholds(scored, role, q, edge, shrink, name, kept)
+        judged = judged.join(own, F.col("lang") == F.col("of"), "left").withColumn(name, F.coalesce("own", every)).drop("of", "own")
+    bad = (F.col("x") > F.col("high")) | (F.col("x") < F.col("low"))
+    judged = judged.withColumn("kept", (F.col("n_bytes") > 0) & ~F.coalesce(bad, F.lit(False)))
+    return judged.select("doc_id", "lang", "n_bytes", F.exp("x").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
 
 
 def keep_good(docs: DataFrame, judged: DataFrame) -> DataFrame:

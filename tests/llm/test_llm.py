@@ -102,29 +102,113 @@ def test_ball_links_equal_all_pairs():
     assert classes(found) == classes(want)
 
 
-def test_kneser_ney_sums_to_one_and_learns():
-    text = b"the cat sat on the mat and the rat sat on the cat " * 20
-    keys, counts = np.unique(quality.ngram_keys(np.frombuffer(quality.PAD + text, np.uint8)), return_counts=True)
-    model = quality.KneserNey(keys, counts)
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney over bytes with dictionaries, one n-gram at a time."""
+
+    def __init__(self, texts, order=5):
+        self.order, counts = order, collections.Counter()
+        for t in texts:
+            data = b"\n" * (order - 1) + t
+            counts.update(data[i : i + order] for i in range(len(t)))
+        self.tables = {order: dict(counts)}
+        for n in range(order - 1, 0, -1):
+            self.tables[n] = dict(collections.Counter(g[1:] for g in self.tables[n + 1]))
+        self.discounts, self.after = {}, {}
+        for n, table in self.tables.items():
+            times = [max(1, sum(c == i for c in table.values())) for i in (1, 2, 3, 4)]
+            y = times[0] / (times[0] + 2 * times[1])
+            most = [0.95, 1.9, 2.8]
+            self.discounts[n] = [0] + [min(most[i], max(0.05, i + 1 - (i + 2) * y * times[i + 1] / times[i])) for i in range(3)]
+            for g, c in table.items():
+                whole, left = self.after.get((n, g[:-1]), (0, 0))
+                self.after[n, g[:-1]] = whole + c, left + self.discounts[n][min(c, 3)]
+
+    def p(self, gram):
+        n = len(gram)
+        below = self.p(gram[1:]) if n > 1 else 1 / 256
+        if (n, gram[:-1]) not in self.after:
+            return below
+        whole, left = self.after[n, gram[:-1]]
+        c = self.tables[n].get(gram, 0)
+        return (c - self.discounts[n][min(c, 3)] + left * below) / whole
+
+    def log_prob(self, text):
+        data = b"\n" * (self.order - 1) + text
+        return sum(math.log(self.p(data[i : i + self.order])) for i in range(len(text)))
+
+
+def plain_quality(texts, langs, trained, apart):
+    """By id: the perplexity and whether it is kept; texts are bytes."""
+    model = PlainKneserNey([texts[i] for i in sorted(trained)])
+    lp = {i: model.log_prob(t) for i, t in texts.items()}
+    own = [i for i in apart if texts[i]]
+    each = sum(lp[i] for i in own) / sum(len(texts[i]) for i in own)
+    x = {i: -(lp[i] + quality.PRIOR_BYTES * each) / (len(t) + quality.PRIOR_BYTES) for i, t in texts.items() if t}
+
+    def limit(ids, q, edge):
+        bins = sorted(edge(x[i] * quality.GRID) for i in ids if i in x)
+        return bins[max(0, math.ceil(q * len(bins)) - 1)] if bins else None
+
+    out = {}
+    for i in texts:
+        if i not in x:
+            out[i] = None, False
+            continue
+        sides = []
+        for ids, q, edge in ((apart, quality.HIGH, math.ceil), (trained, quality.LOW, math.floor)):
+            ids = [j for j in ids if j in x]
+            every, mine = limit(ids, q, edge), [j for j in ids if langs[j] == langs[i]]
+            n = len(mine)
+            sides.append((n * (limit(mine, q, edge) or 0) + quality.SHRINK * every) / (n + quality.SHRINK) / quality.GRID)
+        out[i] = math.exp(x[i]), sides[1] <= x[i] <= sides[0]
+    return out
+
+
+def test_plain_kneser_ney_sums_to_one():
+    model = PlainKneserNey([b"the cat sat on the mat and the rat sat on the cat " * 20])
     for context in (b"the ", b"zzzz", b" sat"):
-        k = np.array(sorted(int.from_bytes(context + bytes([c]), "big") for c in range(256)), np.uint64)
-        assert abs(np.exp(model.log_prob(k)).sum() - 1) < 1e-9
-    good, bad = model.texts([b"the rat sat on the mat", b"QQ## zz!! 99"])
-    assert good / 22 > bad / 12
-    parts = model.texts([b"abc", b"", text])
-    assert parts[1] == 0 and abs(parts[2] - model.texts([text])[0]) < 1e-6
+        assert abs(sum(model.p(context + bytes([c])) for c in range(256)) - 1) < 1e-9
 
 
-def test_quality_keeps_good_and_rejects_bad(spark):
-    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    judged = quality.classify(d, labels)
-    assert judged.count() == d.count()
-    kept = {r["doc_id"] for r in judged.where("kept").collect()}
-    good = {r[0] for r in quality.trusted_ids(labels).collect()}
-    assert len(good & kept) > 0.95 * len(good)
-    none = quality.classify(docs_of(spark, ODD), labels.where("false"))
-    assert none.count() == len(ODD) and none.where("not kept").count() == 2
+def split_trusted(spark, labels):
+    from pyspark.sql import functions as F
+
+    found = quality.trusted_ids(labels).select("doc_id", (F.xxhash64("doc_id") % 2 == 0).alias("even")).collect()
+    return {r[0] for r in found if r[1]}, {r[0] for r in found if not r[1]}
+
+
+def test_quality_matches_plain_version(spark):
+    """The registered query against dictionaries, at the whole of sf0.001."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    texts, langs = {r[0]: (r[1] or "").encode() for r in d}, {r[0]: r[2] or "" for r in d}
+    trained, apart = (ids & set(texts) for ids in split_trusted(spark, spark.read.parquet(f"{SF}/labels.parquet")))
+    want = plain_quality(texts, langs, trained, apart)
+    got = queries.op4_quality_classifier(spark, SF).collect()
+    assert len(got) == len(want) and sum(not k for _, k in want.values()) > 5
+    for r in got:
+        p, kept = want[r["doc_id"]]
+        assert r["kept"] == kept and (p is None) == (r["perplexity"] is None) and (p is None or math.isclose(p, r["perplexity"], rel_tol=1e-5))
+
+
+def test_quality_odd_rows(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, 1, 0) for i in (3, 4, 5, 7, 8, None)] + [(4, 1, 0), (8, None, 0), (9, 1, None), (10, 0, 0)], "doc_id long, quality int, toxic int")
+    texts = [*ODD, (8, "one two"), (9, "it is one"), (10, "zzz"), (11, "x " * 30_000 + "end")]
+    given = [(i, t, "en" if i != 9 else None, "s", 0, 1, True, 2, 3) for i, t in texts]
+    trained, apart = split_trusted(spark, labels)
+    own = {n: (i, (t or "").encode(), "" if i == 9 else "en") for n, (i, t) in enumerate(texts)}
+    rows_of = lambda ids: {n for n, (i, _, _) in own.items() if i in ids}
+    want = plain_quality({n: t for n, (_, t, _) in own.items()}, {n: g for n, (_, _, g) in own.items()}, rows_of(trained), rows_of(apart))
+    want = sorted(((own[n][0], own[n][2], len(own[n][1]), p and round(p, 3), k) for n, (p, k) in want.items()), key=repr)
+    docs = spark.createDataFrame(given, EXTRA)
+    for size in (quality.BATCH_BYTES, 1000):  # also in stretches
+        monkeypatch.setattr(quality, "BATCH_BYTES", size)
+        got = quality.classify(docs, labels).select("doc_id", "lang", "n_bytes", "perplexity", "kept").collect()
+        assert sorted(((r[0], r[1], r[2], r[3] and round(r[3], 3), r[4]) for r in got), key=repr) == want
+    none = quality.classify(docs, labels.where("false"))
+    assert none.count() == len(texts) and none.where("not kept").count() == 2
     assert quality.classify(docs_of(spark, []), labels).count() == 0
+    kept = quality.keep_good(docs, spark.createDataFrame([(4, False), (4, False), (None, False), (3, True)], "doc_id long, kept boolean"))
+    assert kept.columns == docs.columns and kept.count() == len(texts) - 2
 
 
 def plain_scores(texts, total=None):
