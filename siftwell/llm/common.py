@@ -80,6 +80,11 @@ def commit_file(uri: str, write) -> None:
     fs.move(own, path)
 
 
-def parts(df: DataFrame, least: int = 1) -> int:
-    """Partitions for a shuffle of whole texts: as many as the input has, or the session's setting if more."""
-    return max(least, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def parts(df: DataFrame, size: int) -> int:
+    """Partitions for a shuffle of whole texts: one for about size bytes of the tables that df reads, or the session's setting if more.
+
+    Taken from the plan alone, nothing runs. Leaves that cannot tell their size (more than an exabyte) are left out.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(n for n in sizes if n < 1 << 60) // size))

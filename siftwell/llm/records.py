@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import commit_file, parts, storage
 
-#: Distinct pieces of text whose ids a worker keeps; when full it starts anew.
-CACHE = 1_200_000
+#: Bytes of distinct pieces of text, with their ids, that a worker keeps; when full it starts anew. Longer pieces than LONG are not kept.
+CACHE_BYTES, LONG = 160_000_000, 200
+#: About what a piece costs besides its characters and ids.
+ENTRY_BYTES = 120
+#: Bytes of input that a shard is made from, about.
+SHARD_BYTES = 16 << 20
 BLOCK = 512
 
 
@@ -111,7 +115,7 @@ class PieceEncoder:
     """Token ids of whole texts by a byte-level BPE tokenizer that joins a space with what follows it.
 
     Its pre-tokenizer never joins a non-space character with white space after it, nor a line's end with a word,
-    so a text may be cut there and the pieces encoded apart. Pieces repeat, so each distinct one goes to the tokenizer once. Pieces of one
+    so a text may be cut there and the pieces encoded apart. Texts that spell an added token, which may span pieces, are encoded whole. Pieces repeat, so each distinct one goes to the tokenizer once. Pieces of one
     leading space go there many at a time: the ids that begin with a space tell them apart again.
     """
 
@@ -120,14 +124,14 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self.kind, self.cache = f"<u{width}", {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.kind, self.cache, self.held = f"<u{width}", {}, 0
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -141,10 +145,13 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little endian."""
-        if not self.cuts:
-            return self._plain(texts)
-        if len(self.cache) > CACHE:
+        special = {i for a in self.added for i, t in enumerate(texts) if a in t} if self.cuts else set(range(len(texts)))
+        if special:
+            plain, rest = iter(self._plain([texts[i] for i in sorted(special)])), iter(self.encode([t for i, t in enumerate(texts) if i not in special]) if len(special) < len(texts) else [])
+            return [next(plain) if i in special else next(rest) for i in range(len(texts))]
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         cut = [self.pieces(t) for t in texts]
         # A letter and a mark after it are never joined: words with a mark at the end are made from those without.
         new = set(chain.from_iterable(cut)).difference(self.cache)
@@ -167,7 +174,13 @@ class PieceEncoder:
             self.cache.update((p, data[a * size : b * size]) for p, a, b in zip(group, at.tolist(), ends, strict=True))
         get = self.cache.__getitem__
         self.cache.update((x, get(x[:-1]) + get(x[-1])) for x in marked)
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        for x in chain(apart, joined, marked):
+            if len(x) > LONG:
+                del self.cache[x]
+            else:
+                self.held += len(x) + len(get(x)) + ENTRY_BYTES
+        return out
 
 
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
@@ -193,7 +206,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int, i
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     end = np.array([end_id], f"<u{width}").tobytes()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards or parts(rows), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionByRange(shards or parts(rows, SHARD_BYTES), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, index, shard = encoder(tokenizer_path, width), [], TaskContext.get().partitionId()

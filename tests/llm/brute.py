@@ -12,7 +12,6 @@ def op1(rows, tokenizer_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path)
-    tok.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
