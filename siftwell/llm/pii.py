@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Dates of these years stay among themselves; so do all others.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+DAYS = datetime.date.max.toordinal()
 KINDS = ("email", "card", "ssn", "phone", "ipv4", "date", "key")
 
 _EMAIL = re.compile(r"(?<![\w.+-])([A-Za-z0-9][\w.+-]*)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", re.ASCII)
@@ -163,23 +165,36 @@ def ipv4(key: bytes, value: str, back: bool) -> str | None:
 
 
 def date(key: bytes, value: str, back: bool) -> str | None:
-    """Year first, or month/day/year, or day.month.year; day/month/year where the first number can't be a month."""
-    a, b, c = map(int, re.split(r"\D", value))
+    """Year first, or month/day/year, or day.month.year; day/month/year where the first number can't be a month.
+
+    A date stays within its format, which is the order, the separator and the number of digits of day and month: one
+    digit is a format of its own, of the dates that need no more. Years 1900 to 2099 and the others stay among themselves.
+    """
     sep = re.search(r"\D", value)[0]
-    year, month, day = (a, b, c) if sep == "-" else (c, b, a) if sep == "." or a > 12 else (c, a, b)
+    parts = value.split(sep)
+    if len(parts) != 3:
+        return None  # two kinds of separators
+    a, b, c = map(int, parts)
+    day_first = sep == "." or sep == "/" and a > 12
+    year, month, day = (a, b, c) if sep == "-" else (c, b, a) if day_first else (c, a, b)
     try:
         x = datetime.date(year, month, day).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= x <= LAST_DAY:
-        return None
-    # month/day and day/month texts are told apart by the first number, so each stays within its own kind
-    kind = sep + ("d" if sep == "/" and a > 12 else "")
-    ok = (lambda n: datetime.date.fromordinal(FIRST_DAY + n).day > 12) if kind == "/d" else (lambda n: True)
-    new = datetime.date.fromordinal(FIRST_DAY + walk(key, "date" + kind, x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, ok, back))
-    if sep == "-":
-        return new.isoformat()
-    return f"{new.month:02d}/{new.day:02d}/{new.year}" if kind == "/" else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year}"
+    digits = [len(p) for p in parts]
+    wide_day, wide_month = (digits[2], digits[1]) if sep == "-" else (digits[0], digits[1]) if day_first else (digits[1], digits[0])
+    near = FIRST_DAY <= x <= LAST_DAY
+    low, size = (FIRST_DAY, LAST_DAY - FIRST_DAY + 1) if near else (1, DAYS)
+
+    def ok(n: int) -> bool:
+        d = datetime.date.fromordinal(low + n)
+        # month/day and day/month texts are told apart by the first number, so each stays within its own kind
+        return (near or not FIRST_DAY <= low + n <= LAST_DAY) and (wide_day > 1 or d.day < 10) and (wide_month > 1 or d.month < 10) and (sep != "/" or not day_first or d.day > 12)
+
+    kind = f"date{sep}{'d' if day_first else 'm'}{wide_day}{wide_month}{'' if near else 'far'}"
+    new = datetime.date.fromordinal(low + walk(key, kind, x - low, size, ok, back))
+    y, m, d = f"{new.year:04d}", f"{new.month:0{wide_month}d}", f"{new.day:0{wide_day}d}"
+    return sep.join((y, m, d) if sep == "-" else (d, m, y) if day_first else (m, d, y))
 
 
 def _characters(key: bytes, tweak: str, value: str, alphabets: list[str], back: bool) -> str:
