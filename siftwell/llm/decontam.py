@@ -2,26 +2,30 @@
 
 A window's hash is a polynomial over word numbers, computed for all windows of a batch at once; every hit is
 verified word by word. The set is broadcast only up to a stated number of windows; a larger benchmark is
-scanned in pieces of that size, and the pieces' hits are united per document.
+scanned in pieces of that size, one after the other: each piece's hits are written and its broadcast is dropped before the
+next is read, and at the end the hits are united per row. Rows then have a number that is written with them once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import materialise
+
 #: Windows broadcast at once (10 words each: about 100 MB at most).
 MOST_WINDOWS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of words: digits, letters and all bytes of non-ASCII characters; A-Z become a-z, the rest spaces.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
+SCHEMA = "doc_id long, text_hash long, n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -84,38 +88,37 @@ class WindowSet:
 
 
 def _pieces(benchmark: DataFrame, n: int, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in pieces of at most most windows; read one partition at a time, never all at once. A longer item is a piece of its own."""
+    """Items in pieces of at most most windows; read one partition at a time, never all at once. A longer item is cut into stretches, which share n - 1 words."""
     held, size = [], 0
     for row in benchmark.toLocalIterator():
         ws = plain_words(row["text"])
         count = max(1, len(ws) - n + 1)
-        if held and size + count > most:
-            yield held
-            held, size = [], 0
-        if ws:
-            held.append((str(row["item_id"]), ws))
-            size += count
+        for a in range(0, count if ws else 0, most):
+            own = min(most, count - a)
+            if held and size + own > most:
+                yield held
+                held, size = [], 0
+            held.append((str(row["item_id"]), ws[a : a + own + n - 1]))
+            size += own
     yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, spans, item_ids) for every row of docs.
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", most_windows: int = MOST_WINDOWS, kept: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, spans, item_ids, text_hash) for every row of docs; text_hash is xxhash64 of the text.
 
     Words are lower-cased runs of ASCII letters, digits and non-ASCII characters. A window is n consecutive
     words of an item, or the whole item if it has fewer, but not none. spans are the maximal runs of words
     inside some occurrence; item_ids, sorted as strings, those with an occurring window. Null and empty texts have
     no words and no hits; null items are skipped, repeated items count once, and items with a null id count
     as item "None". With an empty benchmark nothing is hit. Repeated rows are scanned each on its own where one piece
-    suffices; beyond that rows are told apart by position, so the result is the same.
+    suffices; beyond that rows are told apart by the number written with them, so the result is the same. Very long texts and items count whole.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     pieces = _pieces(benchmark.select("item_id", "text"), n, most_windows)
     first = next(pieces)
     second = next(pieces, None)
 
-    def scanned(df: DataFrame, items: list, key: str) -> DataFrame:
-        held = df.sparkSession.sparkContext.broadcast(WindowSet(items, n))
-
+    def scanned(df: DataFrame, held: Broadcast, key: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for a in range(0, b.num_rows, 512):
@@ -128,17 +131,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
         return df.mapInArrow(run, key + SCHEMA)
 
+    context, out = docs.sparkSession.sparkContext, ("doc_id", "n_words", "spans", "item_ids", "text_hash")
     if second is None:
-        return scanned(rows, first, "")
-    keyed = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
-    parts = [scanned(keyed, x, "row long, ") for x in (first, second, *pieces)]
-    union = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+        return scanned(rows, context.broadcast(WindowSet(first, n)), "").select(*out)
+    keyed = materialise(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_hash", "text"), "numbered", kept)
+    sizes = materialise(scanned(keyed, context.broadcast(WindowSet([], n)), "row long, ").select("row", "doc_id", "text_hash", "n_words"), "sizes", kept)
+    hits = None
+    for items in chain((first, second), pieces):
+        held = context.broadcast(WindowSet(items, n))
+        found = materialise(scanned(keyed, held, "row long, ").where(F.size("spans") > 0).select("row", "spans", "item_ids"), "hits", kept)
+        held.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    union = sizes.join(hits, "row", "left").withColumns({c: F.coalesce(c, F.array().cast(k)) for c, k in (("spans", "array<struct<start:long,end:long>>"), ("item_ids", "array<string>"))})
     # Spans of the pieces overlap: sorted by start, each either extends the last run or opens a new one.
     merged = F.expr(
         "aggregate(array_sort(spans), cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).end >= x.start, "
         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))), concat(acc, array(x))))"
     )
-    return union.select("doc_id", "n_words", merged.alias("spans"), "item_ids")
+    return union.withColumn("spans", merged).select(*out)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -154,9 +165,14 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with hit spans cut from their texts; found: contamination(docs, ...), with unique ids."""
+    """docs with hit spans cut from their texts; found: contamination(docs, ...).
+
+    Rows are matched by id and text, so rows that repeat an id each lose their own spans and none is multiplied; rows without an
+    id are matched alike. Null and empty texts stay as they are; other columns are passed on, whatever their names.
+    """
     columns = docs.columns
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__siftwell_id"), F.col("spans").alias("__siftwell_spans"))
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__siftwell_id"), F.col("text_hash").alias("__siftwell_hash"), F.col("spans").alias("__siftwell_spans"))
+    hit = hit.dropDuplicates(["__siftwell_id", "__siftwell_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,10 +180,11 @@ def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
             new = [cut(t, [(x["start"], x["end"]) for x in s]) if s and t else t for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text_col else b.column(c) for c in columns], columns)
 
-    return docs.join(hit, F.col(id_col) == F.col("__siftwell_id"), "left").select(*docs.columns, "__siftwell_spans").mapInArrow(run, docs.schema)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__siftwell_id")) & (F.xxhash64(text_col) == F.col("__siftwell_hash"))
+    return docs.join(hit, same, "left").select(*docs.columns, "__siftwell_spans").mapInArrow(run, docs.schema)
 
 
 def remove_documents(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those that have a hit; rows with a null id stay."""
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__siftwell_id"))
+    """docs without those that have a hit; all rows of an id go if one of them has. Rows with a null id stay."""
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__siftwell_id")).distinct()
     return docs.join(hit, F.col(id_col) == F.col("__siftwell_id"), "left_anti")
