@@ -1,14 +1,16 @@
 """License scan: winnowed fingerprints of templates in an inverted index, then banded alignment of candidates.
 
 Templates and texts become words (lower-cased runs of ASCII letters and digits). Hashes of K words are winnowed
-per template: of every WINDOW hashes in a row the smallest stays; templates shorter than one window keep all.
-A text is looked up with all its hashes, so a shared stretch of K + WINDOW - 1 words is always noticed. Hits near
+per template: of every window of hashes in a row the smallest stays. A window has WINDOW hashes, or as many as a match of the least
+coverage has in a row, if those are fewer. A text is looked up with all its hashes, so a shared stretch of K words and
+a window's other hashes is always noticed. Hits near
 one diagonal make a candidate, which local alignments within a band around that diagonal verify: after one is
 taken the words before and after it are aligned again, so repeats within the band are all found.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -23,7 +25,14 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-# Public license notices.
+# Public license texts and notices.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 TEMPLATES = {
     "mit-notice": "Released under the MIT License",
     "mit-licensed": "Licensed under the MIT License",
@@ -33,11 +42,17 @@ TEMPLATES = {
     "cc-by-4.0-notice": "Licensed under CC BY 4.0",
     "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "all-rights-reserved": "All rights reserved",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "mit": f"{_MIT_GRANT} {_MIT_WARRANTY}",
+    "mit-grant": _MIT_GRANT,
+    "isc": f"{_ISC_GRANT} {_ISC_WARRANTY}",
+    "isc-grant": _ISC_GRANT,
+    "bsd-2-clause": f"{_BSD_TERMS} {_BSD_WARRANTY}",
+    "bsd-3-clause": f"{_BSD_TERMS} {_BSD_ENDORSE} {_BSD_WARRANTY}",
+    "bsd-terms": _BSD_TERMS,
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
     "apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 
@@ -49,7 +64,7 @@ def license_words(text: str) -> list[bytes]:
 
 
 class TemplateIndex:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
         self.number: dict[bytes, int] = {}
         self.words = {n: license_words(t) for n, t in templates.items()}
         self.ids = {n: np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.uint64) for n, ws in self.words.items() if ws}
@@ -57,7 +72,7 @@ class TemplateIndex:
         for name, ids in self.ids.items():
             k = min(K, len(ids))
             hashes = self.hashes(ids, k)
-            for i in self.winnow(hashes):
+            for i in self.winnow(hashes, max(1, min(WINDOW, int(least * len(ids)) - k + 1))):
                 self.index.setdefault(int(hashes[i]), []).append((name, int(i)))
         self.keys = np.unique(np.array(list(self.index), np.uint64))
         self.sizes = sorted({min(K, len(ids)) for ids in self.ids.values()})
@@ -70,12 +85,10 @@ class TemplateIndex:
         return h
 
     @staticmethod
-    def winnow(hashes: np.ndarray) -> list[int]:
-        """Positions of the smallest hash of each window, the rightmost if equal; all, if there is less than a window and a half."""
-        if len(hashes) <= WINDOW + WINDOW // 2:
-            return list(range(len(hashes)))
-        windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-        at = np.arange(len(windows)) + WINDOW - 1 - np.argmin(windows[:, ::-1], axis=1)
+    def winnow(hashes: np.ndarray, window: int) -> list[int]:
+        """Positions of the smallest hash of each window, the rightmost if equal."""
+        windows = np.lib.stride_tricks.sliding_window_view(hashes, min(window, len(hashes)))
+        at = np.arange(len(windows)) + windows.shape[1] - 1 - np.argmin(windows[:, ::-1], axis=1)
         return np.unique(at).tolist()
 
     def candidates(self, ids: np.ndarray) -> list[tuple[str, int]]:
@@ -148,24 +161,30 @@ def scan(text: str, index: TemplateIndex, least: float = LEAST_COVERAGE) -> list
         for got in alignments(ids, template, diagonal, least):
             found.add((name, got[0] / len(template), *got))
     out: list[tuple] = []
+    starts: list[int] = []  # of the spans taken, ascending, and their ends: they never overlap
+    ends: list[int] = []
     for x in sorted(found, key=lambda x: (-x[2], -x[1], x[0], x[3])):
-        if not any(x[3] < y[4] and y[3] < x[4] for y in out):
+        i = bisect.bisect_left(starts, x[4])
+        if i == 0 or ends[i - 1] <= x[3]:
+            starts.insert(i, x[3])
+            ends.insert(i, x[4])
             out.append(x)
     if not out:
         return []
     at = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(TABLE))]
-    chars = lambda a: len(data[:a].decode("utf-8"))
-    return sorted(((*x, chars(at[x[3]][0]), chars(at[x[4] - 1][1])) for x in out), key=lambda x: (x[3], x[0]))
+    raw = np.frombuffer(data, np.uint8)
+    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80))).tolist()  # characters that begin before each byte
+    return sorted(((*x, chars[at[x[3]][0]], chars[at[x[4] - 1][1]]) for x in out), key=lambda x: (x[3], x[0]))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per license found in a row of docs, as SCHEMA: spans are [start, end), of words and of characters.
 
-    Of overlapping matches the one with most matched words stays. Null and empty texts have none, repeated rows
+    Of overlapping matches the one with most matched words stays; of those, the one with the higher coverage, then the first by name and place. Null and empty texts have none, repeated rows
     each their own, an empty table no rows. Other columns are not read. Texts of any length are scanned whole.
     The index holds the templates only, whatever the data.
     """
-    held = docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates))
+    held = docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
