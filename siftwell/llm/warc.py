@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import commit_file, storage
+from siftwell.llm.common import as_uri, commit_file, storage
 
 SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: The dictionary is learnt from an archive's first payloads: at most so many, of so many bytes each. It only compresses.
@@ -172,7 +172,7 @@ def write_pages(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: st
     groups come from map-side aggregation, and only groups of two or more join back.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha1("html")))
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= least, F.concat(F.sha1("html"), F.lit("-"), F.octet_length("html").cast("string"))))
     groups = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"), "refers_to")
     # A payload without a digest gets a key of its own: as nulls, all of them would meet in one task.
     rows = rows.withColumn("key", F.coalesce("digest", F.concat(F.lit("row-"), F.xxhash64("page_id", "url").cast("string"))))
@@ -204,35 +204,61 @@ def write_pages(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: st
     return [r.asDict() for r in rows.mapInArrow(run, "shard long, records long").collect()]
 
 
-def read_pages(spark: SparkSession, uri: str, archives: list[dict], payloads: bool = False) -> DataFrame:
-    """Records of the archives as rows: ROW's columns, or LONG's with headers and payload.
+def payload_of(rec: Record) -> tuple[int, str, bytes | None]:
+    """Bytes and hexadecimal SHA-1 of the full payload, and the payload where the record has it.
 
-    payload_bytes and payload_digest (lower-case hexadecimal SHA-1) are of the full payload; for a response
-    they are computed and checked against the headers, for a revisit they are the headers'.
+    The payload of a response or revisit of HTTP is the body; it is checked against the headers, and for a revisit, which has none, they
+    are taken from the headers where those tell them. Other records (warcinfo, request, metadata, resource, dns responses) have their block as payload.
+    """
+    h, kind = rec.headers, rec.headers["warc-type"]
+    if kind not in ("response", "revisit") or not h.get("content-type", "application/http").lower().startswith("application/http"):
+        return len(rec.block), hashlib.sha1(rec.block).hexdigest(), rec.block
+    http, body = rec.http if rec.block else ({}, b"")
+    told = h.get("warc-payload-digest")
+    if kind == "response":
+        if "content-length" in http and "transfer-encoding" not in http and int(http["content-length"]) != len(body):
+            raise ValueError("a payload has not the length of its headers")
+        if told and told.lower().startswith("sha1:") and told.upper() != digest_header(body).upper():
+            raise ValueError("a payload's digest does not agree")
+        return len(body), hashlib.sha1(body).hexdigest(), body
+    digest = base64.b32decode(told[5:].upper()).hex() if told and told.lower().startswith("sha1:") else ""
+    return int(http.get("content-length", 0)), digest, None
+
+
+def read_pages(spark: SparkSession, uri: str, archives: list[dict] | None = None, payloads: bool = False) -> DataFrame:
+    """Records of the archives (*.warc.zst) in a folder as rows: ROW's columns, or LONG's with headers and payload.
+
+    archives: what write_pages() returned, whose counts are then checked; without it the folder is listed, so archives of others are
+    read too. page_id is null for records that write_pages() did not name. See payload_of() for sizes and digests. A folder without archives gives no rows.
     """
-    files = spark.createDataFrame([(a["shard"], a["records"]) for a in archives], "shard long, records long").repartition(max(1, len(archives)), "shard")
     schema = LONG if payloads else ROW
+    if archives is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(uri).select(F.col("path"), F.lit(-1).cast("long").alias("records"))
+        files = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
+    else:
+        files = spark.createDataFrame([(f"{uri}/{a['shard']:05d}.warc.zst", a["records"]) for a in archives], "path string, records long").repartition(max(1, len(archives)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in b.to_pylist():
-                fs, path = storage(f"{uri}/{a['shard']:05d}.warc.zst")
+                fs, path = storage(as_uri(a["path"]))
                 rows, count, size = [], 0, 0
                 with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                     for rec in read_archive(stream):
-                        h, (http, body) = rec.headers, rec.http
-                        n, revisit = int(http["content-length"]), h["warc-type"] == "revisit"
-                        if not revisit and (len(body) != n or digest_header(body) != h["warc-payload-digest"]):
-                            raise ValueError(f"{path}: a payload does not agree with its headers")
-                        row = {"page_id": _number(h["warc-record-id"]), "payload_bytes": n, "payload_digest": base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex(), "record_type": h["warc-type"], "refers_to": _number(h.get("warc-refers-to"))}
+                        h = rec.headers
+                        try:
+                            n, digest, payload = payload_of(rec)
+                        except ValueError as e:
+                            raise ValueError(f"{path}, {h['warc-record-id']}: {e}") from e
+                        row = {"page_id": _number(h["warc-record-id"]), "payload_bytes": n, "payload_digest": digest, "record_type": h["warc-type"], "refers_to": _number(h.get("warc-refers-to"))}
                         if payloads:
-                            row |= {"uri": h.get("warc-target-uri"), "headers": list(h.items()), "payload": None if revisit else body}
+                            row |= {"uri": h.get("warc-target-uri"), "headers": list(h.items()), "payload": payload}
                         rows.append(row)
-                        count, size = count + 1, size + len(body)
+                        count, size = count + 1, size + len(payload or b"")
                         if len(rows) >= 2000 or payloads and size > 1 << 22:
                             yield pa.RecordBatch.from_pylist(rows, _arrow(payloads))
                             rows, size = [], 0
-                if count != a["records"]:
+                if a["records"] not in (-1, count):
                     raise ValueError(f"{path}: {count} records; {a['records']} were written")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _arrow(payloads))
