@@ -126,17 +126,20 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_docs: int = SAMPLE_DOCS) -> Softmax:
-    """Fitted on documents with a domain in labelled (doc_id, domain): at most sample_docs, in the order of their ids' hashes."""
+    """Fitted on documents with a domain in labelled (doc_id, domain): at most sample_docs, in the order of their ids' hashes.
+
+    Of rows that repeat an id one is taken. What is collected is sample_docs lists of at most BUCKETS features, whatever the texts' lengths.
+    """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(labelled.where(F.col("domain").isin(domains)), "doc_id")
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample_docs).collect()], "doc_id long, domain string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("domain", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t)[0] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["domain", "found"])
+            found = [np.sort(features(t)[0]) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "domain", "found"])
 
-    found = rows.mapInArrow(run, "domain string, found array<long>").collect()
+    found = rows.mapInArrow(run, "doc_id long, domain string, found array<long>").groupBy("doc_id", "domain").agg(F.min("found").alias("found")).select("domain", "found").collect()
     return Softmax.fit(sorted(((r[0], np.array(sorted(r[1]), np.int64)) for r in found), key=lambda r: (r[0], r[1].tobytes())), domains)
 
 
