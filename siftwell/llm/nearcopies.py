@@ -26,6 +26,8 @@ ROWS, BANDS = 6, 40
 #: The least similarity of linked sets, as a fraction.
 LEAST = (4, 5)
 BLOCK = 500
+#: A column of docs' own rows; their columns may have any other names.
+ROW = "__siftwell_row"
 #: Shingles that are min-hashed at once.
 PIECE = 2048
 FACTORS = np.random.default_rng(42).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -103,7 +105,7 @@ def candidate_groups(heads: DataFrame, radius: int, kept: list[str] | None = Non
     by_fp = materialise(heads.groupBy("fp").agg(F.min("set_id").alias("least")), "by-fp", kept)
     same = heads.join(by_fp, "fp").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
     to = lambda c: by_fp.select(F.col("fp").alias(c), F.col("least").alias(c + "_set"))
-    balls = links(by_fp.select("fp"), radius).join(to("a"), "a").join(to("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    balls = links(by_fp.select("fp"), radius, kept).join(to("a"), "a").join(to("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
     return components(by_band.unionByName(same).unionByName(balls).where("a != b"), kept)
 
 
@@ -128,7 +130,8 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 4, kept:
 
     Null, empty and wordless texts equal each other and nothing else. An empty table gives no rows; texts of any length count whole.
     """
-    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "rows", kept)
+    given = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", kept)
+    rows = given.select(F.col(ROW).alias("row"), "doc_id", "text")
     found = materialise(sketches(rows, shingle), "sketches", kept)
     classes = materialise(found.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "classes", kept)
     heads = materialise(found.join(classes.select(F.col("least.row").alias("row")), "row", "left_semi"), "heads", kept)
@@ -138,4 +141,4 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 4, kept:
     linked = components(verified_links(texts, groups, shingle, block), kept)
     rooted = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left")
     stay = materialise(rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("least").alias("least")).select("least.row"), "stay", kept)
-    return rows.join(stay, "row", "left_semi").select(*docs.columns)
+    return given.join(stay.withColumnRenamed("row", ROW), ROW, "left_semi").select(*docs.columns)

@@ -6,8 +6,9 @@ those that meet at a variant are linked, each to the smallest there: a star, nev
 
 The exchange is by the variants' first k bits. A fingerprint reaches a prefix within R/2 bits of its own, and
 what lies below the prefix follows from both, so the shuffle carries one row per fingerprint and prefix and
-the task of a prefix makes the variants itself. Inside it the same step repeats on the next bits until a
-piece fits in memory. k grows with the logarithm of the number of fingerprints.
+the task of a prefix makes the variants itself. k grows with the logarithm of the number of fingerprints. A prefix that more
+than HOT fingerprints reach, since theirs are alike, is dealt again by its next bits, as often as it takes; inside a task the same
+step repeats until a piece fits in memory.
 
 Copies with equal fingerprints are one fingerprint throughout; components are found by alternating stars.
 """
@@ -30,6 +31,8 @@ from siftwell.llm.common import materialise, words
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at once, and variants that are sorted at once.
 CHUNK, PIECE = 400_000, 2_000_000
+#: Fingerprints of one prefix in one task, at most, and the bits by which a hotter one is dealt again.
+HOT, DEAL_BITS = 50_000, 4
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -147,7 +150,7 @@ def ball_links(fps: np.ndarray, prefix: int, k: int, radius: int) -> np.ndarray:
     return np.stack([own[moved], own[root[moved]]], 1)
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, kept: list[str] | None = None, hot_at: int = HOT) -> DataFrame:
     """(a, b) long: links that connect what fingerprints (column fp, distinct) within radius bits connect."""
     if radius % 2:
         raise ValueError("the radius must be even")
@@ -155,13 +158,27 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     ball = sum(math.comb(BITS, i) for i in range(half + 1))
     k = min(40, max(6, math.ceil(math.log2(max(n, 1) * ball / 1_000_000))))
     masks = [int(m) for m in _flips(k, half)]
-    spread = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("m")).select(F.shiftrightunsigned("fp", BITS - k).bitwiseXOR(F.col("m")).alias("prefix"), "fp")
+    flips = F.explode(F.array(*[F.lit(m) for m in masks])).alias("m")
+    spread = distinct.select("fp", flips).select(F.lit(k).alias("k"), F.shiftrightunsigned("fp", BITS - k).bitwiseXOR(F.col("m")).alias("prefix"), (half - F.bit_count("m")).alias("left"), "fp")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = ball_links(pdf["fp"].to_numpy(np.int64), int(key[0]), k, radius).view(np.int64)
+        found = ball_links(pdf["fp"].to_numpy(np.int64), int(key[1]), int(key[0]), radius).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return spread.groupBy("prefix").applyInPandas(run, "a long, b long")
+    done = None
+    while True:
+        hot = materialise(spread.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > hot_at).select("prefix"), "hot-prefixes", kept)
+        some = k + DEAL_BITS <= 40 and not hot.isEmpty()
+        cold = spread.join(hot, "prefix", "left_anti") if some else spread
+        done = cold if done is None else done.unionByName(cold)
+        if not some:
+            return done.groupBy("k", "prefix").applyInPandas(run, "a long, b long")
+        # One more row for each way to spend what is left of the radius on the next bits.
+        more = [(m, m.bit_count()) for m in map(int, _flips(DEAL_BITS, half))]
+        dealt = spread.join(hot, "prefix", "left_semi").select("fp", "prefix", "left", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(n).alias("n")) for m, n in more])).alias("x")).where("x.n <= left")
+        k += DEAL_BITS
+        own = F.shiftrightunsigned("fp", BITS - k).bitwiseAND(F.lit((1 << DEAL_BITS) - 1)).bitwiseXOR(F.col("x.m"))
+        spread = materialise(dealt.select(F.lit(k).alias("k"), (F.shiftleft("prefix", DEAL_BITS) + own).alias("prefix"), (F.col("left") - F.col("x.n")).cast("int").alias("left"), "fp"), "dealt", kept)
 
 
 def components(edges: DataFrame, kept: list[str] | None = None) -> DataFrame:
@@ -208,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col:
     """
     fps = materialise(fingerprints(docs, shingle, id_col, text_col), "fps", kept)
     classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", kept)
-    found = components(links(classes.select("fp"), radius), kept)
+    found = components(links(classes.select("fp"), radius, kept), kept)
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
     alone = rooted.where("root is null").select("fp", F.col("least").alias("component_id"))
     linked = materialise(rooted.where("root is not null"), "linked", kept)
