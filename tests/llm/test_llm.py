@@ -366,7 +366,7 @@ def test_pipeline(spark):
     one = corpus_pipeline.quality_stage(spark, d, SF)
     assert one.columns == d.columns and 0 < one.count() < d.count()
     two = corpus_pipeline.dedup_stage(spark, d, SF)
-    assert two.columns == d.columns and sorted(r[0] for r in two.collect()) == sorted(i for i, _, c in brute.op3(data, shingle=5) if i == c)
+    assert two.columns == d.columns and sorted(r[0] for r in two.collect()) == [sorted(data)[i][0] for i in near_copies_brute([t for _, t in sorted(data)])]
     hit = {r["doc_id"] for r in queries.op8_decontamination(spark, SF).where("contaminated").collect()}
     three = corpus_pipeline.decontamination_stage(spark, d, SF)
     assert three.columns == d.columns and {r[0] for r in three.collect()} == {i for i, _ in data} - hit
@@ -479,3 +479,255 @@ def test_dedup_stage_repeated_and_null_ids(spark):
     got = corpus_pipeline.dedup_stage(spark, docs_of(spark, given), SF).select("doc_id", "text")
     assert rows(got) == sorted([(4, long), (4, "another text of its own"), (None, "no id at all"), (9, None)], key=repr)
     assert corpus_pipeline.dedup_stage(spark, docs_of(spark, []), SF).count() == 0
+
+
+def test_records_spell_special_tokens_as_the_tokenizer_does(spark):
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|>\n\ny z"), (4, "plain words"), (5, "no" * 200_000), (6, None), (7, "a\n\n b\t<|endoftext|> ")]
+    uri = scratch(spark, "t")
+    manifest = records.write_records(docs_of(spark, texts), uri, queries.tokenizer_path(), 2, shards=3)
+    got = records.read_records(spark, uri, manifest).drop("ids")
+    assert rows(got) == sorted(brute.op1(texts, queries.tokenizer_path()), key=repr)
+
+
+def test_records_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(records, "CACHE_BYTES", 5_000)
+    enc = records.PieceEncoder(queries.tokenizer_path(), 2)
+    draw = random.Random(4)
+    for _ in range(30):
+        texts = ["".join(draw.choices("abcdefgh", k=9)) + " " + "z" * draw.choice((3, 500)) for _ in range(20)]
+        assert enc.encode(texts) == enc._plain(texts)
+        assert enc.held <= 5_000 + 40 * 2 * (records.ENTRY_BYTES + 3 * records.LONG) and all(len(x) <= records.LONG for x in enc.cache)
+
+
+def test_pseudonyms_of_dates_keep_their_format():
+    import datetime
+    import re
+
+    draw, key = random.Random(6), b"k"
+    shape = lambda v: re.sub(r"\d", "0", v)
+    forms = ("{y:04d}-{m:02d}-{d:02d}", "{m}/{d}/{y:04d}", "{m:02d}/{d}/{y:04d}", "{m}/{d:02d}/{y:04d}", "{m:02d}/{d:02d}/{y:04d}", "{d}.{m}.{y:04d}", "{d:02d}.{m}.{y:04d}", "{d:02d}.{m:02d}.{y:04d}", "{d}/{m}/{y:04d}", "{d:02d}/{m:02d}/{y:04d}")
+    seen = set()
+    for _ in range(1500):
+        day = datetime.date.fromordinal(draw.choice((draw.randrange(pii.FIRST_DAY, pii.LAST_DAY), draw.randrange(1, pii.DAYS))))
+        v = draw.choice(forms).format(y=day.year, m=day.month, d=day.day)
+        new = pii.pseudonym(key, "date", v)
+        assert new and shape(new) == shape(v) and pii.pseudonym(key, "date", new, True) == v, (v, new)
+        seen.add((v, new))
+    assert len({v for v, _ in seen}) == len({n for _, n in seen}) and sum(v != n for v, n in seen) > 0.99 * len(seen)
+    text = "born 1/2/1999, on 3/14/0950 or 30.12.1999"
+    new, counts = pii.pseudonymise(text, key)
+    assert counts == {"date": 3} and shape(new) == shape(text) and pii.pseudonymise(new, key, True)[0] == text
+    assert pii.pseudonym(key, "date", "31/31/1999") is None and pii.pseudonym(key, "date", "0000-01-01") is None
+
+
+def test_pseudonyms_match_plain_version(spark):
+    """The registered query: every value that it counts turns back, equal values have equal pseudonyms, and other text stays."""
+    given, forward, backward = dict(documents(spark)), {}, {}
+    found = collections.Counter()
+    for r in queries.op5_pseudonyms(spark, SF).collect():
+        text = given[r["doc_id"]]
+        if not text:
+            assert r["text"] == text and r["n_values"] == 0
+            continue
+        back, counts = pii.pseudonymise(r["text"], queries.PII_KEY, True)
+        assert back == text and len(r["text"]) >= len(text) - 12 * r["n_values"]
+        assert {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]} == counts
+        found.update(counts)
+        for pattern in (pii._EMAIL,):
+            for a, b in zip(pattern.finditer(text), pattern.finditer(r["text"]), strict=True):
+                assert forward.setdefault(a[0], b[0]) == b[0] and backward.setdefault(b[0], a[0]) == a[0]
+    assert found["email"] and found["phone"]
+
+
+def test_decontamination_of_long_items_and_repeats(spark):
+    draw = random.Random(8)
+    item = " ".join(f"w{draw.randrange(400)}" for _ in range(300))
+    ws = item.split()
+    texts = [(1, "a b " + " ".join(ws[40:75]) + " c"), (2, " ".join(ws[3:12])), (3, " ".join(ws[280:300])), (3, "clean text"), (None, " ".join(ws[:10])), (1, "a b " + " ".join(ws[40:75]) + " c"), (3, None)]
+    bench = spark.createDataFrame([("long", item), ("short", "clean text")], "item_id string, text string")
+    d = docs_of(spark, texts)
+    want = rows(decontam.contamination(d, bench))
+    for most in (64, 200):
+        assert rows(decontam.contamination(d, bench, most_windows=most)) == want
+    by_text = {(r["doc_id"], r["n_words"]): r for r in decontam.contamination(d, bench).collect()}
+    assert [tuple(x) for x in by_text[1, 38]["spans"]] == [(2, 37)] and not by_text[2, 9]["spans"] and by_text[3, 2]["item_ids"] == ["short"]
+    cleaned = decontam.remove_spans(d, decontam.contamination(d, bench))
+    assert cleaned.columns == d.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in cleaned.collect()), key=repr) == sorted([(1, "a b  c"), (1, "a b  c"), (2, texts[1][1]), (3, ""), (3, ""), (3, None), (None, "")], key=repr)
+    left = decontam.remove_documents(d, decontam.contamination(d, bench))
+    assert rows(left.select("doc_id", "text")) == sorted([(2, texts[1][1]), (None, texts[4][1])], key=repr)
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    return row[-1]
+
+
+def test_license_scan_matches_brute_force(spark):
+    """The registered query: every window of a text that agrees with a template at enough places is covered, and what is told is true."""
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    found = collections.defaultdict(list)
+    for r in queries.op9_license_scan(spark, SF).collect():
+        found[r["doc_id"]].append(r)
+    hits = 0
+    for doc_id, text in documents(spark):
+        ws = licenses.license_words(text or "")
+        ids = np.array([index.number.get(w, 0) for w in ws], np.int64)
+        for r in found[doc_id]:
+            template = index.ids[r["license"]].astype(np.int64).tolist()
+            own = ids[r["start_word"] : r["end_word"]].tolist()
+            assert r["coverage"] >= licenses.LEAST_COVERAGE and r["matched_words"] <= longest_common(own, template)
+            assert licenses.license_words(text[r["start_char"] : r["end_char"]]) == ws[r["start_word"] : r["end_word"]]
+        for name, template in index.ids.items():
+            n = len(template)
+            if len(ids) < n:
+                continue
+            same = (np.lib.stride_tricks.sliding_window_view(ids, n) == template.astype(np.int64)).sum(1)
+            for at in np.flatnonzero(same >= licenses.LEAST_COVERAGE * n).tolist():
+                hits += 1
+                assert any(r["start_word"] < at + n and at < r["end_word"] and r["matched_words"] >= same[at] - 1 for r in found[doc_id]), (doc_id, name, at)
+    assert hits
+
+
+def test_license_scan_of_whole_licenses_ties_and_long_texts(spark):
+    index, t = licenses.TemplateIndex(licenses.TEMPLATES), licenses.TEMPLATES
+    for name in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib", "unlicense", "apache-2.0", "gpl-header", "mpl-2.0"):
+        assert [x[0] for x in licenses.scan(f"Copyright 2020 me\n\n{t[name]}\n\ncode", index)] == [name]
+    assert [x[0] for x in licenses.scan(licenses._MIT_GRANT, index)] == ["mit-grant"]
+    same = licenses.TemplateIndex({"b": "one two three four", "a": "one two three four"})
+    assert [x[0] for x in licenses.scan("say one two three four", same)] == ["a"]
+    for n in range(1, 12):  # one word in five may differ, wherever it stands
+        words = [f"w{i}" for i in range(n)]
+        own = licenses.TemplateIndex({"t": " ".join(words)})
+        assert len(licenses.scan("x " + " ".join(words) + " y", own)) == 1
+    long = "word " * 200_000 + "All rights reserved. é " * 3_000
+    got = licenses.license_matches(docs_of(spark, [(1, long), (1, long), (2, None)])).collect()
+    assert len(got) == 6_000 and all(long[r["start_char"] : r["end_char"]] == "All rights reserved" for r in got)
+
+
+def test_warc_reads_archives_of_others(spark):
+    """Records of every kind, listed by folder, also without the headers that are optional."""
+    import io
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nbody"
+    base = {"WARC-Date": warc.DATE}
+    kinds = [
+        ({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>", "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        ({"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:2>", "Content-Type": "application/http;msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n"),
+        ({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:3>", "Content-Type": "application/http;msgtype=response"}, http),
+        ({"WARC-Type": "metadata", "WARC-Record-ID": "<urn:uuid:4>", "Content-Type": "application/warc-fields"}, b""),
+        ({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:5>", "Content-Type": "text/dns"}, b"x 1 IN A 1.2.3.4"),
+        ({"WARC-Type": "revisit", "WARC-Record-ID": "<urn:uuid:6>", "Content-Type": "application/http;msgtype=response"}, http[:-4]),
+    ]
+    out = io.BytesIO()
+    warc.write_archive(out, iter([warc.serialise(base | h, block) for h, block in kinds]))
+    uri = scratch(spark, "others")
+    from siftwell.llm.common import commit_file
+
+    commit_file(f"{uri}/crawl-1.warc.zst", lambda f: f.write(out.getvalue()))
+    got = {r["headers"]["warc-record-id"][-2]: r for r in warc.read_pages(spark, uri, payloads=True).collect()}
+    assert {k: r["record_type"] for k, r in got.items()} == {"1": "warcinfo", "2": "request", "3": "response", "4": "metadata", "5": "response", "6": "revisit"}
+    assert bytes(got["3"]["payload"]) == b"body" and got["3"]["payload_bytes"] == 4 and got["5"]["payload_bytes"] == 16 and got["6"]["payload"] is None and got["4"]["payload_bytes"] == 0
+    clash = spark.createDataFrame([(1, "u", "é" * 700_000, "x", 5), (1, "u", "é" * 700_000, "y", 6), (2, "v", "", "z", 7)], "page_id long, url string, html string, digest string, refers_to long")
+    again = scratch(spark, "long")
+    warc.write_pages(clash, again)
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.read_pages(spark, again).collect()) == [(1, "response", 1_400_000)] * 2 + [(2, "response", 0)]
+    empty = scratch(spark, "none")
+    assert warc.write_pages(clash.where("false"), empty) == [] and warc.read_pages(spark, empty, []).count() == 0
+
+
+def plain_rates(p, n, goal):
+    """Rates nearest to 1, by tokens, whose expected tokens meet the goal: the multipliers by plain ascent of the dual."""
+    pull = np.zeros(len(goal))
+    for _ in range(200_000):
+        gap = (np.maximum(0, 1 - p @ pull) * n) @ p / n.sum() - goal
+        if np.abs(gap).max() < 1e-8:
+            break
+        pull += gap
+    return np.maximum(0, 1 - p @ pull)
+
+
+def test_mixing_matches_plain_version(spark):
+    """The registered query: posteriors feature by feature, rates by another solver, copies by the rates."""
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = mixing.fit_classifier(d, mixing.domains_of(labels), list(mixing.TARGETS))
+    got = {r["doc_id"]: r for r in queries.op2_mixing(spark, SF).collect()}
+    names = list(mixing.TARGETS)
+    for doc_id, text in documents(spark):
+        found, n = mixing.features(text)
+        z = [model.bias[k] + sum(float(model.weights[i, k]) for i in found.tolist()) for k in range(len(names))]
+        e = [math.exp(x - max(z)) for x in z]
+        assert got[doc_id]["n_tokens"] == n == len((text or "").encode().split())
+        assert all(math.isclose(got[doc_id][f"p_{k}"], x / sum(e), abs_tol=1e-5) for k, x in zip(names, e, strict=True))
+    order = sorted(got)
+    p = np.array([[got[i][f"p_{k}"] for k in names] for i in order])
+    n = np.array([got[i]["n_tokens"] for i in order], float)
+    rate = np.array([got[i]["rate"] for i in order])
+    goal = np.array(list(mixing.TARGETS.values()))
+    assert (np.abs((rate * n) @ p / n.sum() - goal) <= 1e-3 * goal + 1e-5).all()
+    assert np.abs(rate - plain_rates(p, n, goal)).max() < 0.02
+    assert all(got[i]["copies"] in (math.floor(got[i]["rate"]), math.ceil(got[i]["rate"])) for i in order)
+
+
+def test_mixing_odd_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3, 8)] + [(None, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    d = docs_of(spark, ODD)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        rated = mixing.mixing_rates(d, labels)
+        assert rated.count() == len(ODD)
+        given = spark.createDataFrame([(4, 2), (4, 3), (3, 0), (None, 5)], "doc_id long, copies long")
+        taken = mixing.take_copies(d, given)
+    assert taken.columns == d.columns
+    assert collections.Counter(r["doc_id"] for r in taken.collect()) == {4: 6, None: 1, 1: 1, 2: 1, 5: 1, 7: 1}
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeats, clashing column names; then no rows."""
+    for given in ([*ODD, (8, "one two three four five six")], []):
+        d = docs_of(spark, given).withColumnsRenamed({"fp": "row", "n_words": "copies", "_id": "text_hash"})
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            for _, stage in corpus_pipeline.STAGES[:-1]:
+                own = stage(spark, d, SF)
+                assert own.schema.names == d.schema.names and {r["row"] for r in own.collect()} <= {1} | {r["row"] for r in d.collect()}
+            assert corpus_pipeline.records_stage(spark, d, SF).count() == len(given)
+
+
+def test_ball_links_of_hot_prefixes(spark):
+    """Many fingerprints that share their first bits, dealt again and again, against all pairs."""
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 1 << 52, 60, dtype=np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x), dtype=np.uint64))
+    fps = np.unique(np.concatenate([low, flip(low), flip(flip(low)), flip(flip(flip(low)))]))
+    df = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long")
+
+    def classes(pairs):
+        root = {int(x): int(x) for x in fps.view(np.int64)}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        groups = collections.defaultdict(set)
+        for x in root:
+            groups[find(x)].add(x)
+        return sorted(map(sorted, groups.values()))
+
+    signed = fps.view(np.int64).tolist()
+    want = classes([(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4])
+    for hot in (100, 10**6):
+        assert classes([tuple(r) for r in simhash.links(df, 4, hot_at=hot).collect()]) == want
+
+
+def test_fingerprint_of_very_many_shingles(monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 100)
+    text = " ".join(str(i % 977) for i in range(5000))
+    assert [int(x) for x in simhash.fingerprint_many([simhash.shingle_hashes(t, 4) for t in (text, "a b", "")])] == [brute.fingerprint(t, 4) for t in (text, "a b", "")]
