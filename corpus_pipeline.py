@@ -11,50 +11,62 @@ from siftwell.llm.common import release, scratch
 from siftwell.llm.queries import table, tokenizer_path
 from siftwell.session import ship
 
-#: Scratch folders of the stages so far. A stage's result is written before the next stage begins, which then clears them.
-_scratch: list[str] = []
 
 
-def _begin(spark: SparkSession) -> list[str]:
-    ship(spark)
-    release(spark, _scratch)
-    return _scratch
-
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[str] | None = None) -> DataFrame:
+    """Documents whose perplexity the quality classifier accepts.
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity the quality classifier accepts."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), kept=_begin(spark))
+    Null and empty texts go. Rows without an id stay, as their verdict cannot be told from those of others; if rows repeat an id, all of
+    them go if one is rejected. Long texts count whole, other columns are passed on, an empty table gives no rows.
+    """
+    ship(spark)
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"), kept=kept)
     return quality.keep_good(docs, judged)
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[str] | None = None) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates: a Jaccard similarity of five-word shingles of 0.8 or more.
 
     Of rows that repeat one id in a group one stays. Rows without an id are thinned too, and stay only where no row of their group has one.
+    Null, empty and wordless texts are one group. Long texts count whole, other columns are passed on, an empty table gives no rows.
     """
-    return nearcopies.distinct_documents(docs, shingle=5, radius=4, kept=_begin(spark))
+    ship(spark)
+    return nearcopies.distinct_documents(docs, shingle=5, radius=4, kept=kept)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[str] | None = None) -> DataFrame:
+    """Documents without a window of the benchmark.
 
+    If rows repeat an id, all of them go if one has a hit. Rows without an id stay, null and empty texts too: they have no words.
+    Long texts count whole, other columns are passed on, an empty table gives no rows and an empty benchmark rejects none.
+    """
+    ship(spark)
+    return decontam.remove_documents(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark"), kept=kept))
 
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
-    _begin(spark)
-    return decontam.remove_documents(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark")))
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[str] | None = None) -> DataFrame:
+    """Documents as often as the mix takes them.
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), kept=_begin(spark))
+    Rows that repeat an id take the largest of their copies each; rows without an id stay once. Null and empty texts weigh nothing and are
+    taken as any other. Long texts count whole, other columns are passed on, an empty table gives no rows.
+    """
+    ship(spark)
+    rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), kept=kept)
     return mixing.take_copies(docs, rated)
 
 
-def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records of all documents, as read back from their files."""
-    uri = scratch(spark, "records", _begin(spark))
+def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[str] | None = None) -> DataFrame:
+    """Token records of all documents, as read back from their files: (doc_id, start, n_tokens, ids_crc32).
+
+    Every row has a record, also repeated ones; null ids come first, null and empty texts have the end alone. An empty table gives no rows.
+    """
+    ship(spark)
+    uri = scratch(spark, "records", kept)
     manifest = records.write_records(docs, uri, tokenizer_path(), end_id=2)
     return records.read_records(spark, uri, manifest).drop("ids")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Callable[..., DataFrame]]] = [
     ("quality classifier", quality_stage),
     ("SimHash near-dedup", dedup_stage),
     ("benchmark decontamination", decontamination_stage),
@@ -67,10 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents, each written as Parquet and read again. A stage's scratch folders, and the input that it had from the one before, are deleted when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        uri = scratch(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(uri)
+        uri, kept = scratch(spark, name.replace(" ", "-")), []
+        stage(spark, docs, sf_dir, kept).write.parquet(uri)
         docs = spark.read.parquet(uri)
+        release(spark, kept + before)
+        before = [uri]
     return docs
