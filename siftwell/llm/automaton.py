@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise, words
+from siftwell.llm.common import materialise, release, words
 from siftwell.llm.exchange import CELL, Tree, answer, batch_of, map_rows, pack, split, unpack
 
 MU, MU3 = 400.0, 20.0
@@ -233,11 +233,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         word = (keys & np.uint64(1)).astype(bool)
         return int(sums[word].sum()), int((sums[word] > 0).sum())
 
-    tree = Tree(_cells(encoded, batches, None), batches, "lm-bigrams", kept)
+    inner: list[str] = []
+    tree = Tree(_cells(encoded, batches, None), batches, "lm-bigrams", inner)
     values, total, distinct = tree.totals(measure)
-    firsts = tree.answers(values, "<u8", tree.levels - 1)
-    tree = Tree(_cells(encoded, batches, firsts), batches, "lm-trigrams", kept)
-    seconds = tree.answers(tree.totals(measure)[0], "<u8", tree.levels - 1)
+    firsts = tree.answers(values, "<u8", tree.levels - 1, kept)
+    release(docs.sparkSession, inner)
+    tree = Tree(_cells(encoded, batches, firsts), batches, "lm-trigrams", inner)
+    seconds = tree.answers(tree.totals(measure)[0], "<u8", tree.levels - 1, kept)
+    release(docs.sparkSession, inner)
 
     def score(row: dict) -> Iterator[pa.RecordBatch]:
         b = Batch(row)

@@ -178,17 +178,18 @@ class Tree:
         """The keys and counts of a row of roots()."""
         return unpack_keys(row["keys"]), unpack(row["counts"], "<u8")
 
-    def answers(self, values: DataFrame, kind: str, level: int) -> str:
+    def answers(self, values: DataFrame, kind: str, level: int, kept: list[str] | None) -> str:
         """Write the values of every batch's keys, in ascending order of the keys, below the returned URI (see answer()).
 
-        values (VALUES) belong to the nodes of a level, or to the batches if it is 0; kind is their type.
+        values (VALUES) belong to the nodes of a level, or to the batches if it is 0; kind is their type. kept notes the
+        answers alone; what the tree itself wrote can then be deleted.
         """
         while level:
             run = _down(self.plan[level - 1][1], kind)
             values = self.ranks[level].groupBy("grp", "prefix").cogroup(values.groupBy("grp", "prefix")).applyInPandas(run, VALUES)
             values = materialise(values, f"{self.name}-down-{level}", self.kept)
             level -= 1
-        return deliver(values, kind, self.batches, f"{self.name}-answers", self.kept)
+        return deliver(values, kind, self.batches, f"{self.name}-answers", kept)
 
 
 def shards(df: DataFrame, batches: int) -> int:

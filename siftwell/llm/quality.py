@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from siftwell.llm.common import materialise
+from siftwell.llm.common import materialise, release
 from siftwell.llm.exchange import CELL, VALUES, Tree, answer, batch_of, deliver, map_rows, pack, shards, split
 
 ORDER = 5
@@ -43,6 +43,8 @@ PAD = b"\n" * (ORDER - 1)
 #: A bijection of 64-bit numbers that spreads n-grams over hash ranges.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNMIX = np.uint64(pow(int(MIX), -1, 1 << 64))
+#: Log probabilities travel as whole steps of 1 / STEPS, which the sums of documents do not feel.
+STEPS = 1 << 14
 #: Roles of rows: the model is trained on them, thresholds are taken from them, neither.
 TRAINED, APART, OTHER = 1, 2, 0
 
@@ -67,7 +69,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             rows, ids, langs, sizes, data = map(list, zip(*held, strict=True))
-            cols = [[part << 32 | made], [rows], [ids], [langs], [sizes], [zstandard.ZstdCompressor(level=1).compress(b"".join(data))]]
+            cols = [[part << 32 | made], [rows], [ids], [langs], [sizes], [zstandard.ZstdCompressor(level=3).compress(b"".join(data))]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in ENCODED.split(", ")])
 
@@ -182,40 +184,45 @@ def smoothed(grams: DataFrame, kept: list[str] | None = None, order: int = ORDER
 
 def scores(docs: DataFrame, trusted: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """SCORED for every row of docs, written: bytes, log probability under the model of trusted (doc_id), and role."""
-    encoded = materialise(encode(docs), "texts", kept)
+    inner: list[str] = []  # written for the model alone, or for the scores alone
+    late: list[str] = []
+    encoded = materialise(encode(docs), "texts", late)
     batches = encoded.select("batch").count()
-    own = roles(encoded, trusted, batches, kept)
+    own = roles(encoded, trusted, batches, late)
 
     def cells(row: dict) -> Iterator[pa.RecordBatch]:
         b = Batch(row)
         yield batch_of(split(b.keys, b.counts(answer(own, row["batch"], "<u1")), 1, 0, row["batch"], batches), CELL)
 
-    tree = Tree(map_rows(encoded, cells, CELL), batches, "grams", kept)
+    tree = Tree(map_rows(encoded, cells, CELL), batches, "grams", inner)
 
     def unpacked(row: dict) -> Iterator[pa.RecordBatch]:
         keys, counts = Tree.union(row)
         yield pa.RecordBatch.from_pydict({"prefix": np.full(len(keys), row["prefix"]), "k": (keys * UNMIX).view(np.int64), "c": counts.view(np.int64)})
 
-    grams = materialise(map_rows(tree.roots(), unpacked, "prefix long, k long, c long"), "grams-5", kept)
+    grams = materialise(map_rows(tree.roots(), unpacked, "prefix long, k long, c long"), "grams-5", inner)
 
     def values(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(pdf["k"].to_numpy().view(np.uint64) * MIX)
-        return pd.DataFrame({"grp": [0], "prefix": [int(pdf["prefix"].iloc[0])], "piece": [0], "vals": [pack(pdf["log_prob"].to_numpy()[order], "<f4")]})
+        return pd.DataFrame({"grp": [0], "prefix": [int(pdf["prefix"].iloc[0])], "piece": [0], "vals": [pack(np.rint(-STEPS * pdf["log_prob"].to_numpy()[order]), "<u4")]})
 
-    asked = smoothed(grams, kept)
+    asked = smoothed(grams, inner)
     asked = asked.repartition(shards(asked, batches), "prefix").groupBy("prefix").applyInPandas(values, VALUES)
-    found = tree.answers(asked, "<f4", tree.levels)
+    found = tree.answers(asked, "<u4", tree.levels, late)
+    release(docs.sparkSession, inner)
 
     def score(row: dict) -> Iterator[pa.RecordBatch]:
         b = Batch(row)
-        log_probs = b.log_probs(answer(found, row["batch"], "<f4") if len(b.grams) else np.empty(0))
+        log_probs = b.log_probs(answer(found, row["batch"], "<u4") / -STEPS if len(b.grams) else np.empty(0))
         role = answer(own, row["batch"], "<u1").astype(np.int64)
         yield pa.RecordBatch.from_pydict({"row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_bytes": b.sizes, "log_prob": log_probs, "role": role})
 
     each = map_rows(encoded, score, SCORED)
     # The stretches of one row are few and have one id, language and role.
     whole = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.sum("n_bytes").alias("n_bytes"), F.sum("log_prob").alias("log_prob"), F.first("role").alias("role"))
-    return materialise(whole, "perplexities", kept)
+    done = materialise(whole, "perplexities", kept)
+    release(docs.sparkSession, late)
+    return done
 
 
 def quantile(bins: DataFrame, by: list[str], q: float) -> DataFrame:

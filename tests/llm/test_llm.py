@@ -277,7 +277,7 @@ def test_exchange_tree_of_two_levels(spark):
     assert tree.levels == 2
     values, total, distinct = tree.totals(lambda k, c: (int(c.sum()), len(k)))
     assert (total, distinct) == (sum(want.values()), len(want))
-    uri = tree.answers(values, "<u8", tree.levels - 1)
+    uri = tree.answers(values, "<u8", tree.levels - 1, None)
     for b, ks in lists.items():
         assert exchange.answer(uri, b, "<u8").tolist() == [want[k] for k in ks.tolist()]
 
