@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -14,41 +16,45 @@ CJK = "\\u3040-\\u30ff\\u3400-\\u9fff\\uf900-\\ufaff\\uac00-\\ud7a3"
 EN_STOPWORDS = ("a", "an", "the", "and", "or", "but", "nor", "for", "so", "yet")
 KEYWORD_STOPWORDS = ("the", "and", "for", "that", "with", "from", "this")
 
-# Leading consonants of Hangul syllables, in code point order.
+# Leading consonants of Hangul syllables, in code point order; index letters of titles, where tense ones count as their base.
 HANGUL_LEADS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
+TENSE = {"ㄲ": "ㄱ", "ㄸ": "ㄷ", "ㅃ": "ㅂ", "ㅆ": "ㅅ", "ㅉ": "ㅈ"}
 
 
-def fold_table() -> dict[str, str]:
-    """Bare lower-case letters, and the Latin letters with marks that fold to each, from Unicode decompositions."""
-    out: dict[str, str] = {}
-    for c in range(0xC0, 0x250):
-        bare = unicodedata.normalize("NFD", chr(c))
-        if len(bare) > 1 and chr(c).lower() == chr(c):
-            out[bare[0]] = out.get(bare[0], "") + chr(c)
-    return out
+@functools.cache
+def fold_pairs() -> tuple[str, str]:
+    """Lower-case letters with marks, of any script but Hangul, and the bare letter of each, from Unicode decompositions."""
+    marked, bare = [], []
+    for c in map(chr, range(0xC0, 0x2C00)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and c.lower() == c and parts[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+            marked.append(c)
+            bare.append(parts[0])
+    return "".join(marked), "".join(bare)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics; only texts with other than ASCII characters are gone through letter by letter."""
+    """Lower case without diacritics, written as letters of their own or as combining marks; ASCII texts are only lower-cased."""
     low = F.lower(text)
-    bare = low
-    for letter, marked in sorted(fold_table().items()):
-        bare = F.regexp_replace(bare, f"[{marked}]", letter)
-    return F.when(low.rlike(r"[^\x00-\x7f]"), bare).otherwise(low)
+    marked, bare = fold_pairs()
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), marked, bare)).otherwise(low)
 
 
 def fold_text(text: str) -> str:
-    return text.lower().translate({ord(c): letter for letter, marked in fold_table().items() for c in marked})
+    low = "".join(c for c in text.lower() if unicodedata.category(c) != "Mn")
+    return low.translate(str.maketrans(*fold_pairs()))
 
 
 def tokens(text: Column) -> Column:
-    """Folded runs of letters and digits; null has none."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """Folded runs of letters and digits, CJK runs as bigrams; null has none."""
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(text.rlike(f"[{CJK}]"), cjk_segment(text)).otherwise(text)
+    return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
-def spaced(text: Column) -> Column:
-    """The tokens with one space before, between and after; null has none."""
-    return F.concat(F.lit(" "), F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+def segment_text(text: str) -> str:
+    """cjk_segment() of a query."""
+    return re.sub(f"[{CJK}]+", lambda m: " " + " ".join(m[0][i : i + 2] for i in range(max(1, len(m[0]) - 1))) + " ", text).strip()
 
 
 def cjk_segment(text: Column) -> Column:
@@ -65,12 +71,12 @@ def index_letter(title: Column) -> Column:
 
 
 def korean_letter(title: Column) -> Column:
-    """The leading consonant of a first Hangul syllable, else null."""
+    """The leading consonant of a first Hangul syllable, a tense one as its base, else null."""
     first = F.substring(title, 1, 1)
     out = F.lit(None).cast("string")
     for i, lead in reversed(list(enumerate(HANGUL_LEADS))):
         lo, hi = chr(0xAC00 + 588 * i), chr(0xAC00 + 588 * i + 587)
-        out = F.when(first.between(lo, hi), lead).otherwise(out)
+        out = F.when(first.between(lo, hi), TENSE.get(lead, lead)).otherwise(out)
     return out
 
 

@@ -121,9 +121,11 @@ def path_state(paths: DataFrame, listing: DataFrame) -> DataFrame:
     return found.select("path", F.when(F.col("here"), "present").when(F.col("busy"), "missing").otherwise("unmounted").alias("state"))
 
 
-def eta(samples: DataFrame, window: int = 50, by: list[str] | None = None) -> DataFrame:
-    """samples (t seconds, n done, total, and the columns in by) with the seconds left at the rate of the last window samples."""
-    w = W.partitionBy(*(by or [])).orderBy("t", "n").rowsBetween(-(window - 1), 0)
+def eta(samples: DataFrame, by: list[str], window: int = 50) -> DataFrame:
+    """samples (t seconds, n done, total, and the columns in by, which tell one job from another) with the seconds left at the rate of the last window samples."""
+    if not by:
+        raise ValueError("eta needs a column that tells one job from another")
+    w = W.partitionBy(*by).orderBy("t", "n").rowsBetween(-(window - 1), 0)
     t0, n0 = F.first("t").over(w), F.first("n").over(w)
     rate = (F.col("n") - n0) / F.nullif(F.col("t") - t0, F.lit(0))
     return samples.withColumn("eta", F.when(rate > 0, (F.col("total") - F.col("n")) / rate))

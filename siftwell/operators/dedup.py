@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.store import shared_folder
+
 #: Pivots that deal vectors out: collected, so bounded, whatever the data.
 PIVOTS = 64
 
@@ -72,9 +73,7 @@ def _settled(df: DataFrame) -> DataFrame:
     """df in the checkpoint folder; a local session without one gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 

@@ -1,17 +1,20 @@
 """Browse, keyword (BM25), semantic and hybrid search over a catalog of documents.
 
-A catalog has doc_id, name, title, content, tags (array) and path; see plans.catalog(). Keyword search reads each document once: hits and
-lengths are counted where the row is, and only df, N and the mean length are aggregated, into one row.
+A catalog has doc_id, name, title, content, tags (array) and path; see plans.catalog(). Keyword search reads postings, a row
+for each token of a column, sorted by term: written once as an index, a query reads the row groups of its own terms alone. Without an
+index the postings are made in the plan, where the filter on terms is applied before anything is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import EN_STOPWORDS, TOKEN, fold_table, fold_text
+from siftwell.functions.text import EN_STOPWORDS, fold_text, korean_letter, segment_text, tokens
 
 # Column weights and BM25 parameters.
 WEIGHTS = {"name": 6.0, "title": 8.0, "author": 7.0, "subject": 5.0, "description": 3.0, "content": 3.0, "tags": 4.0}
@@ -20,13 +23,13 @@ KEYWORD_FLOOR, SEMANTIC_FLOOR = 0.01, 0.30
 
 
 def parse_query(query: str) -> list[tuple[list[str], bool]]:
-    """Terms, OR-ed: (tokens, whether the last is a prefix). Quoted phrases come first; a repeated term counts twice."""
-    terms = []
+    """Terms, OR-ed: (tokens, whether the last is a prefix). Quoted phrases come first; a repeated term counts twice. CJK runs are bigrams, as in the index."""
+    terms, query = [], segment_text(query)
     for phrase in re.findall(r'"([^"]*)"', query):
         if found := re.findall(r"[^\W_]+", fold_text(phrase)):
             terms.append((found, False))
-    for word in re.findall(r"\w+", re.sub(r'"[^"]*"', " ", query).lower()):
-        if found := re.findall(r"[^\W_]+", fold_text(word)):
+    for word in re.findall(r"\w+", fold_text(re.sub(r'"[^"]*"', " ", query))):
+        if found := re.findall(r"[^\W_]+", word):
             terms.append((found, True))
     return terms
 
@@ -37,34 +40,77 @@ def strip_stopwords(query: str) -> str:
     return " ".join(kept) if kept else query
 
 
-def _hits(column: str, term: tuple[list[str], bool]) -> Column:
-    """Places in column where the term's words stand in a row; the last may be a prefix. They may overlap.
+def _posting(column: str) -> Callable[[Column, Column], Column]:
+    return lambda t, i: F.struct(t.alias("term"), F.lit(column).alias("col"), F.lit(WEIGHTS[column]).alias("weight"), i.alias("pos"))
+
+
+def postings(catalog: DataFrame) -> DataFrame:
+    """(term, doc_id, col, weight, pos, len): a row for each token of a weighted column; len is the number of the document's tokens."""
+    cols = [c for c in WEIGHTS if c in catalog.columns]
+    split = catalog.select("doc_id", *[tokens(F.array_join("tags", " ") if c == "tags" else F.col(c)).alias(f"t_{c}") for c in cols])
+    each = [F.transform(f"t_{c}", _posting(c)) for c in cols]
+    rows = split.select("doc_id", sum((F.size(f"t_{c}") for c in cols), F.lit(0)).alias("len"), F.explode(F.concat(*each)).alias("x"))
+    return rows.select("x.term", "doc_id", "x.col", "x.weight", "x.pos", "len")
+
+
+def lengths(catalog: DataFrame) -> DataFrame:
+    """(N, avgdl): one row, the number of documents and their mean length in tokens."""
+    cols = [c for c in WEIGHTS if c in catalog.columns]
+    size = sum((F.size(tokens(F.array_join("tags", " ") if c == "tags" else F.col(c))) for c in cols), F.lit(0))
+    return catalog.select(size.alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
+
+
+@dataclass
+class Index:
+    """Postings and lengths of a catalog, written (read_index) or in the plan."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def write_index(catalog: DataFrame, uri: str) -> Index:
+    """Write the index of a catalog: postings dealt by ranges of terms and documents, so a frequent term is many files' matter, and sorted by them."""
+    postings(catalog).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "col", "pos").write.parquet(f"{uri}/postings")
+    lengths(catalog).write.parquet(f"{uri}/lengths")
+    return read_index(catalog.sparkSession, uri)
+
+
+def read_index(spark: SparkSession, uri: str) -> Index:
+    return Index(spark.read.parquet(f"{uri}/postings"), spark.read.parquet(f"{uri}/lengths"))
 
-    The text stays as it is: the pattern has every case and mark of the words' letters, which takes one pass where
-    folding the text would take many.
-    """
-    words, prefix = term
-    marked = fold_table()
 
-    def letter(c: str) -> str:
-        same = c + marked.get(c, "")
-        return "[" + same + "".join(x.upper() for x in same if len(x.upper()) == 1 and x.upper() != x) + "]"
+def _is(word: str, prefix: bool) -> Column:
+    return F.col("term").startswith(word) if prefix else F.col("term") == word
 
-    row = r"[^\p{L}\p{N}]+".join("".join(map(letter, w)) for w in words)
-    return F.regexp_count(column, F.lit(r"(?<![\p{L}\p{N}])(?=" + row + ("" if prefix else r"(?![\p{L}\p{N}])") + ")"))
 
+def keyword_scores(source: DataFrame | Index, query: str) -> DataFrame:
+    """(doc_id, score) of matching documents of a catalog or an index; the best has 1. A query without terms matches none.
 
-def keyword_scores(catalog: DataFrame, query: str) -> DataFrame:
-    """(doc_id, score) of matching documents; the best has 1. A query without terms matches none."""
+    A term of several words is found where they stand in a row in one column; places may overlap.
+    """
+    index = source if isinstance(source, Index) else Index(postings(source), lengths(source))
     terms = parse_query(query)
     if not terms:
-        return catalog.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    cols = [c for c in WEIGHTS if c in catalog.columns]
-    split = catalog.select("doc_id", *[F.coalesce(F.array_join("tags", " ") if c == "tags" else F.col(c), F.lit("")).alias(f"t_{c}") for c in cols])
-    tf = [sum((F.lit(WEIGHTS[c]) * _hits(f"t_{c}", t) for c in cols), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = split.select("doc_id", sum((F.regexp_count(f"t_{c}", F.lit(TOKEN)) for c in cols), F.lit(0)).alias("len"), *tf)
-    totals = counted.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))])
-    joined = counted.join(F.broadcast(totals))  # one row; a filter on hits before it would be pushed down and count them again
+        return index.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    found = None
+    for i, (ws, prefix) in enumerate(terms):
+        last = len(ws) - 1
+        if not last:
+            hits = index.postings.where(_is(ws[0], prefix)).select("doc_id", "len", "weight")
+        else:
+            own = [(_is(w, prefix and j == last), j) for j, w in enumerate(ws)]
+            any_of = own[0][0]
+            for test, _ in own[1:]:
+                any_of = any_of | test
+            at = F.explode(F.filter(F.array(*[F.when(test, F.col("pos") - j) for test, j in own]), lambda x: x.isNotNull())).alias("at")
+            places = index.postings.where(any_of).select("doc_id", "len", "col", "weight", at)
+            hits = places.groupBy("doc_id", "len", "col", "weight", "at").count().where(F.col("count") == len(ws)).select("doc_id", "len", "weight")
+        hits = hits.withColumn("i", F.lit(i))
+        found = hits if found is None else found.unionByName(hits)
+    tf = [F.sum(F.when(F.col("i") == i, F.col("weight")).otherwise(0.0)).alias(f"tf{i}") for i in range(len(terms))]
+    counted = found.groupBy("doc_id").agg(F.max("len").alias("len"), *tf)
+    df = counted.agg(*[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))])
+    joined = counted.join(F.broadcast(index.lengths)).join(F.broadcast(df))  # one row each
     score = F.lit(0.0)
     for i in range(len(terms)):
         raw = F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
@@ -110,12 +156,63 @@ def without_hidden(scores: DataFrame, tags: DataFrame) -> DataFrame:
     return scores.join(tags.where(F.lower("tag") == "hidden").select("doc_id"), "doc_id", "left_anti")
 
 
-def browse(catalog: DataFrame, letter: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
-    """Documents by title (case ignored, null first) and id; letter: A-Z, or "0-9" (also "0") for all others."""
-    first = F.upper(F.substring(F.coalesce("title", "name", F.lit("")), 1, 1))
+def by_letter(catalog: DataFrame, letter: str | None, korean: bool = False) -> DataFrame:
+    """Documents whose title, or else name, begins with a letter: A-Z, a Korean leading consonant, or "0-9" (also "0") for all others; of a Korean catalog those that are no Hangul syllable."""
+    start = F.coalesce("title", "name", F.lit(""))
+    first = F.upper(F.substring(start, 1, 1))
+    if not letter:
+        return catalog
     if letter in ("0", "0-9"):
-        catalog = catalog.where(~first.rlike("^[A-Z]$"))
-    elif letter:
-        catalog = catalog.where(first == letter.upper())
-    cut = catalog.orderBy(F.lower("title").asc_nulls_first(), "doc_id").offset(max(0, offset)).limit(min(200, max(1, limit)))
+        return catalog.where(F.coalesce(korean_letter(start).isNull(), F.lit(True)) if korean else ~first.rlike("^[A-Z]$"))
+    if "\u3131" <= letter <= "\u314e":
+        return catalog.where(korean_letter(start) == letter)
+    return catalog.where(first == letter.upper())
+
+
+def browse(catalog: DataFrame, letter: str | None = None, offset: int = 0, limit: int = 50, korean: bool = False) -> DataFrame:
+    """Documents by title (case ignored, null first) and id; letter: see by_letter()."""
+    cut = by_letter(catalog, letter, korean).orderBy(F.lower("title").asc_nulls_first(), "doc_id").offset(max(0, offset)).limit(min(200, max(1, limit)))
     return cut.select("doc_id", "name", "title", "path", F.sort_array("tags").alias("tags"), F.lit(1.0).alias("score"))
+
+
+@dataclass
+class Found:
+    """A page of results, how many there are in all, and whether more follow."""
+
+    page: DataFrame
+    total: int
+    has_more: bool
+
+
+def results(catalog: DataFrame, index: DataFrame | Index, vectors: DataFrame, tags: DataFrame, query: str, mode: str = "both", vector: list[float] | None = None, include_hidden: bool = False) -> DataFrame:
+    """(doc_id, score, kw, sem) of all results of a query in a mode: both, keyword or semantic; vector is the query's embedding."""
+    if mode not in ("both", "keyword", "semantic"):
+        raise ValueError(f"mode {mode!r} is none of both, keyword and semantic")
+    none = catalog.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    kw = keyword_scores(index, query).join(catalog.select("doc_id"), "doc_id", "left_semi") if mode != "semantic" else none
+    sem = semantic_scores(vectors, vector) if mode != "keyword" and vector else none
+    if mode == "keyword":
+        found = kw.where(F.col("score") > KEYWORD_FLOOR).select("doc_id", "score", F.col("score").alias("kw"), F.lit(0.0).alias("sem"))
+    elif mode == "semantic":
+        found = sem.where(F.col("score") >= SEMANTIC_FLOOR).select("doc_id", "score", F.lit(0.0).alias("kw"), F.col("score").alias("sem"))
+    else:
+        found = hybrid_scores(kw, sem)
+    return found if include_hidden else without_hidden(found, tags)
+
+
+def search(catalog: DataFrame, index: DataFrame | Index, vectors: DataFrame, tags: DataFrame, query: str = "", mode: str = "both", vector: list[float] | None = None, offset: int = 0, limit: int = 50, letter: str | None = None, include_hidden: bool = False, korean: bool = False) -> Found:
+    """A page of documents for a query, best first; without a query, of all documents by title, or of those under a letter.
+
+    limit is held between 1 and 200. Scores are told to three places; a result without a title shows its name. Only the page's documents
+    are fetched.
+    """
+    offset, limit = max(0, offset), min(200, max(1, limit))
+    if not query.strip():
+        own = by_letter(catalog if include_hidden else without_hidden(catalog, tags), letter, korean)
+        total = own.count()
+        return Found(browse(own, None, offset, limit), total, offset + limit < total)
+    found = results(catalog, index, vectors, tags, query, mode, vector, include_hidden)
+    cut = found.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
+    rows = cut.join(catalog, "doc_id").select("doc_id", "name", F.coalesce("title", "name").alias("title"), "path", F.sort_array("tags").alias("tags"), F.round("score", 3).alias("score"), F.round("kw", 3).alias("fts_score"), F.round("sem", 3).alias("sem_score"))
+    total = found.count()
+    return Found(rows, total, offset + limit < total)

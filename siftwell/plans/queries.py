@@ -13,6 +13,7 @@ from siftwell.operators import dedup as D
 from siftwell.operators import passages as P
 from siftwell.operators import pii_scan as I
 from siftwell.operators import search as S
+from siftwell.store import shared_folder
 
 MODEL = "model-a"
 
@@ -44,8 +45,39 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return vectors(spark, sf_dir).where("doc_id = 7").first()["embedding"]
 
 
+_indexes: dict[tuple[str, str], S.Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The search index of the catalog, written to the shared folder once for an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = S.write_index(catalog(spark, sf_dir), shared_folder(spark, "index"))
+    return _indexes[key]
+
+
+def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a new index holds, by column: terms, postings, documents."""
+    made = S.write_index(catalog(spark, sf_dir), shared_folder(spark, "index"))
+    return made.postings.groupBy("col").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.count_distinct("doc_id").alias("documents"))
+
+
 def bm25(query: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: S.keyword_scores(catalog(spark, sf_dir), query).where(F.col("score") > S.KEYWORD_FLOOR).select("doc_id", F.round("score", 6).alias("score"))
+    return lambda spark, sf_dir: S.keyword_scores(index_of(spark, sf_dir), query).where(F.col("score") > S.KEYWORD_FLOOR).select("doc_id", F.round("score", 6).alias("score"))
+
+
+#: Words in scripts that the tables lack, put before titles by id.
+SCRIPTS = ("機械学習 研究", "학습 데이터", "씨앗", "tiếng Việt", "東京", "학", "plain", "ひらカタカナ 学習", "Ἀθῆναι", "가나다 빨강")
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with titles that begin with a word of SCRIPTS."""
+    word = F.element_at(F.array(*[F.lit(w) for w in SCRIPTS]), (F.col("doc_id") % len(SCRIPTS) + 1).cast("int"))
+    return catalog(spark, sf_dir).withColumn("title", F.concat_ws(" ", word, "title"))
+
+
+def bm25_scripts(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: S.keyword_scores(scripts(spark, sf_dir), query).where(F.col("score") > S.KEYWORD_FLOOR).select("doc_id", F.round("score", 6).alias("score"))
 
 
 CATALOG_SQL = """
@@ -58,10 +90,19 @@ t AS (SELECT doc_id, unnest([lang, source]) AS tag, 'auto' AS source FROM docume
 """
 
 
-def bm25_sql(query: str) -> str:
+SCRIPTS_SQL = f"""
+o AS (SELECT * REPLACE (concat_ws(' ', {list(SCRIPTS)}[doc_id % {len(SCRIPTS)} + 1], title) AS title) FROM c)
+"""
+_CJK_SQL = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xAC00, 0xD7A3)))
+_SEGMENTS = rf"""array_to_string(list_transform(string_split(regexp_replace(title, '([{_CJK_SQL}]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)),
+  lambda x: CASE WHEN length(x) > 1 AND regexp_matches(x, '^[{_CJK_SQL}]') THEN array_to_string(list_transform(range(1, length(x)), lambda i: substr(x, i, 2)), ' ') ELSE x END), ' ')"""
+
+
+def bm25_sql(query: str, catalog: str = "c", title: str = "title") -> str:
     terms = S.parse_query(query)
     cols = ["name", "title", "content", "tags"]
     tok = lambda c: rf"regexp_extract_all(lower(strip_accents(coalesce({c}, ''))), '[\p{{L}}\p{{N}}]+')"
+    given = f", {SCRIPTS_SQL}" if catalog != "c" else ""
 
     def hits(c: str, words: list[str], prefix: bool) -> str:
         tests = [f"starts_with(t_{c}[i + {k}], '{w}')" if prefix and k == len(words) - 1 else f"t_{c}[i + {k}] = '{w}'" for k, w in enumerate(words)]
@@ -71,7 +112,7 @@ def bm25_sql(query: str) -> str:
     ns = ", ".join(f"sum((tf{i} > 0)::INT) AS n{i}" for i in range(len(terms)))
     idf = lambda i: f"CASE WHEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - n{i} + 0.5) / (n{i} + 0.5)) END"
     score = " + ".join(f"({idf(i)}) * tf{i}::DOUBLE * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))" for i in range(len(terms)))
-    return f"""WITH {CATALOG_SQL}, k AS (SELECT doc_id, {tok('name')} AS t_name, {tok('title')} AS t_title, {tok('content')} AS t_content, {tok("array_to_string(tags, ' ')")} AS t_tags FROM c),
+    return f"""WITH {CATALOG_SQL}{given}, k AS (SELECT doc_id, {tok('name')} AS t_name, {tok(title)} AS t_title, {tok('content')} AS t_content, {tok("array_to_string(tags, ' ')")} AS t_tags FROM {catalog}),
     h AS (SELECT doc_id, {' + '.join(f'len(t_{c})' for c in cols)} AS len, {tfs} FROM k),
     s AS (SELECT count(*)::DOUBLE AS N, avg(len) AS avgdl, {ns} FROM h),
     r AS (SELECT doc_id, {score} AS raw FROM h, s WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(terms)))}),
@@ -87,16 +128,26 @@ QUERY = 'the thof "of the" mentoi'
 
 def keyword_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    return S.page(S.keyword_scores(c, QUERY).where(F.col("score") > S.KEYWORD_FLOOR).withColumn("score", F.round("score", 9)), c, 0, 50)
+    return S.page(S.keyword_scores(index_of(spark, sf_dir), QUERY).where(F.col("score") > S.KEYWORD_FLOOR).withColumn("score", F.round("score", 9)), c, 0, 50)
 
 
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = S.semantic_scores(vectors(spark, sf_dir), _query_vector(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    s = S.semantic_scores(vectors(spark, sf_dir), _query_vector(spark, sf_dir)).where(F.col("score") >= S.SEMANTIC_FLOOR).withColumn("score", F.round("score", 6))
     return s.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+def search(mode: str, offset: int = 0, limit: int = 50, include_hidden: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """A page of search() for "tion", with the total and whether more follow."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = S.search(catalog(spark, sf_dir), index_of(spark, sf_dir), vectors(spark, sf_dir), tags(spark, sf_dir), "tion", mode, _query_vector(spark, sf_dir), offset, limit, include_hidden=include_hidden)
+        return found.page.select("doc_id", "name", "title", "path", "score", "fts_score", "sem_score", F.lit(found.total).cast("long").alias("total"), F.lit(found.has_more).alias("has_more"))
+
+    return run
+
+
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kw = S.keyword_scores(catalog(spark, sf_dir), "tion")
+    kw = S.keyword_scores(index_of(spark, sf_dir), "tion")
     found = S.hybrid_scores(kw.where(F.col("score") > S.KEYWORD_FLOOR), S.semantic_scores(vectors(spark, sf_dir), _query_vector(spark, sf_dir)))
     return S.without_hidden(found, tags(spark, sf_dir)).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -196,33 +247,29 @@ def path_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eta_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.floor(_micros_of() / 1_000_000).alias("t"), F.col("event_id").alias("n"), F.lit(1_000_000_000).alias("total"))
-    return C.eta(e, 50, by=["user_id"]).select("n", F.floor("eta").alias("eta"))
-
-
-# Literal rows: the tables have no CJK text.
-CJK_ROWS = ["機械学習", "学", "abc 機械学習 def", "한국어 검색", "東京", "plain", "ひらがなカタカナ"]
-KO_ROWS = ["가나다", "한국", "씨앗", "abc", "힣", "학습"]
+    return C.eta(e, ["user_id"], 50).select("n", F.floor("eta").alias("eta"))
 
 
 def cjk_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in CJK_ROWS], "t string")
-    return rows.select("t", T.cjk_segment(F.col("t")).alias("s"))
+    return scripts(spark, sf_dir).select("doc_id", T.cjk_segment(F.col("title")).alias("s"))
 
 
 def korean_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in KO_ROWS], "t string")
-    return rows.select("t", T.korean_letter(F.col("t")).alias("letter"))
-
-
-def _values(pairs: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in p) + ")" for p in pairs)
+    return scripts(spark, sf_dir).select("doc_id", T.korean_letter(F.col("title")).alias("letter"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_keyword": bm25("tion"),
     "bm25_prefix_or": bm25("thof mentoi mentoi src1"),
     "bm25_phrase": bm25('"of the" eaux'),
+    "bm25_scripts": bm25_scripts('学習 viet 학 "機械学習" αθηναι'),
+    "build_index": build_index,
     "keyword_page": keyword_page,
+    "search_both": search("both", offset=10, limit=30),
+    "search_keyword": search("keyword"),
+    "search_semantic": search("semantic", include_hidden=True),
+    "browse_korean": lambda s, d: S.browse(scripts(s, d), letter="ㅅ", limit=200, korean=True),
+    "browse_korean_other": lambda s, d: S.browse(scripts(s, d), letter="0-9", limit=200, korean=True),
     "semantic_topk": semantic_topk,
     "hybrid_search": hybrid_search,
     "stats": stats,
@@ -274,11 +321,78 @@ def _strip_sql(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[ \t\r\n]+', ' ', 'g'))"
 
 
+def _passages_sql(units: str, words: list[str], columns: str) -> str:
+    """Of units (doc_id, unit_no, location, text): passages with any of the words, whole and in any case."""
+    any_of = "|".join(words)
+    return rf"""WITH {units}, h AS (SELECT *, len(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}\p{{M}}_]+'), lambda x: x IN ({', '.join(f"'{w}'" for w in words)}))) AS score,
+      regexp_extract(' ' || text || ' ', '(?is)^(.*?[^\p{{L}}\p{{N}}\p{{M}}_])(?:{any_of})[^\p{{L}}\p{{N}}\p{{M}}_]', 1) AS before,
+      regexp_extract(' ' || text || ' ', '(?is)^.*?[^\p{{L}}\p{{N}}\p{{M}}_]({any_of})[^\p{{L}}\p{{N}}\p{{M}}_]', 1) AS hit FROM u WHERE len(regexp_extract_all(text, '\p{{L}}')) >= 2),
+    p AS (SELECT *, length(before) - 1 AS match_start, length(before) - 1 + length(hit) AS match_end FROM h WHERE score > 0),
+    w AS (SELECT *, list_filter(string_split_regex(substr(text, 1, match_start), ' +'), lambda x: x <> '') AS l, list_filter(string_split_regex(substr(text, match_end + 1), ' +'), lambda x: x <> '') AS r FROM p),
+    k AS (SELECT *, array_to_string(list_concat(l[greatest(len(l) - 4, 1):], [hit], r[:5]), ' ') AS sample, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, unit_no) AS rank FROM w)
+    SELECT {columns} FROM k WHERE rank <= 200"""
+
+
+_LINES_SQL = r"""u AS (SELECT doc_id, i AS unit_no, trim(ls[i], ' ') AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
+_BLOCKS_SQL = rf"""s AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g') AS t FROM pages),
+t AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{P.BLOCK_END}', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS t FROM s),
+e AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ls FROM t),
+u AS (SELECT doc_id, i AS unit_no, 'section ' || i AS location, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM e))"""
+
+
+def _pii_sql(select: str) -> str:
+    """The patterns without looking around, which takes the characters beside a match along; the checks over lists of digits."""
+    lead, tail, end = r"(?<![0-9\-])", r"(?![0-9\-])", r"(?!\d)"
+
+    def grouped(p: str) -> str:
+        if p.startswith(lead):
+            return r"(?:^|[^0-9\-])(" + p.removeprefix(lead).removesuffix(tail) + r")(?:[^0-9\-]|$)"
+        rest = p.removeprefix("(?i)").replace(r"(?<!\d)", "")
+        return "(?i)(" + rest.removesuffix(end) + ")" + (r"(?:\D|$)" if rest.endswith(end) else "")
+
+    digits = r"regexp_replace(m, '\D', '', 'g')"
+    at = lambda i: f"substr({digits}, {i}, 1)::INT"
+    twice = f"2 * substr({digits}, i, 1)::INT"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 0 THEN substr({digits}, i, 1)::INT ELSE ({twice}) // 10 + ({twice}) % 10 END)) % 10 = 0"
+    same = f"regexp_matches({digits}, '^({'|'.join(str(i) * 9 for i in range(10))})$')"
+    first = f"substr({digits}, 1, 2)::INT"
+    checks = {
+        None: "true",
+        "ssn": f"length({digits}) = 9 AND NOT {same} AND substr({digits}, 1, 3) NOT IN ('000', '666') AND substr({digits}, 1, 1) <> '9' AND substr({digits}, 4, 2) <> '00' AND substr({digits}, 6) <> '0000'",
+        "card": f"length({digits}) IN (13, 14, 15, 16, 19) AND substr({digits}, 1, 1) BETWEEN '2' AND '6' AND {luhn}",
+        "aba": f"CASE WHEN length({digits}) = 9 THEN NOT {same} AND (3 * ({at(1)} + {at(4)} + {at(7)}) + 7 * ({at(2)} + {at(5)} + {at(8)}) + {at(3)} + {at(6)} + {at(9)}) % 10 = 0 AND ({first} BETWEEN 1 AND 12 OR {first} BETWEEN 21 AND 32 OR {first} BETWEEN 61 AND 72 OR {first} = 80) ELSE false END",
+    }
+    quoted = lambda p: grouped(p).replace("'", "''")
+    parts = [f"SELECT doc_id, '{name}' AS name, list_filter(regexp_extract_all(text, '{quoted(p)}', 1), lambda m: {checks[check]})[1] AS match FROM documents" for name, p, check in I.PATTERNS]
+    return f"WITH x AS ({' UNION ALL '.join(parts)}), found AS (SELECT * FROM x WHERE match IS NOT NULL) {select}"
+
+
+_SEARCH_SQL = """SELECT doc_id, name, coalesce(title, name) AS title, path, round(score, 3) AS score, round(k, 3) AS fts_score, round(s, 3) AS sem_score, total, total > %d AS has_more
+    FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM f) JOIN c USING (doc_id) WHERE n > %d AND n <= %d"""
+_BOTH_SQL = f"""WITH kw AS ({bm25_sql("tion").replace("round(raw / best, 6)", "raw / best").replace("WHERE raw / best > 0.01", "")}), {COSINE_SQL}, {TAGS_SQL}, {CATALOG_SQL},
+    b AS (SELECT coalesce(kw.doc_id, v.doc_id) AS doc_id, coalesce(score, 0) AS k, coalesce(sem, 0) AS s FROM kw FULL JOIN v ON kw.doc_id = v.doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "bm25_scripts": bm25_sql('学習 viet 학 "機械学習" αθηναι', "o", _SEGMENTS),
+    "build_index": rf"""WITH {CATALOG_SQL}, k AS (SELECT doc_id, unnest([{{'col': 'name', 't': name}}, {{'col': 'title', 't': title}}, {{'col': 'content', 't': content}}, {{'col': 'tags', 't': array_to_string(tags, ' ')}}]) AS x FROM c),
+    e AS (SELECT doc_id, x.col AS col, unnest(regexp_extract_all(lower(strip_accents(coalesce(x.t, ''))), '[\p{{L}}\p{{N}}]+')) AS term FROM k)
+    SELECT col, count(DISTINCT term) AS terms, count(*) AS postings, count(DISTINCT doc_id) AS documents FROM e GROUP BY col""",
+    "keyword_page": f"""WITH {CATALOG_SQL}, s AS ({bm25_sql(QUERY).replace("round(raw / best, 6)", "round(raw / best, 9)")}), p AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 50)
+    SELECT doc_id, name, title, path, list_sort(tags) AS tags, round(score, 3) AS score FROM p JOIN c USING (doc_id)""",
+    "search_both": _BOTH_SQL + """, f AS (SELECT doc_id, k, s, CASE WHEN k > 0 AND s >= 0.3 THEN least(greatest(k, s) + 0.1::DOUBLE * least(k, s), 1) ELSE greatest(k, s) END AS score FROM b
+    WHERE (k > 0 OR s >= 0.3) AND greatest(k, s) > 0.01 AND doc_id NOT IN (SELECT doc_id FROM t WHERE lower(tag) = 'hidden')) """ + _SEARCH_SQL % (40, 10, 40),
+    "search_keyword": _BOTH_SQL + ", f AS (SELECT doc_id, k, 0.0::DOUBLE AS s, k AS score FROM b WHERE k > 0.01 AND doc_id NOT IN (SELECT doc_id FROM t WHERE lower(tag) = 'hidden')) " + _SEARCH_SQL % (50, 0, 50),
+    "search_semantic": _BOTH_SQL + ", f AS (SELECT doc_id, 0.0::DOUBLE AS k, s, s AS score FROM b WHERE s >= 0.3) " + _SEARCH_SQL % (50, 0, 50),
+    "browse_korean": f"WITH {CATALOG_SQL}, {SCRIPTS_SQL} SELECT doc_id, name, title, path, list_sort(tags) AS tags, 1.0::DOUBLE AS score FROM o WHERE (ord(substr(title, 1, 1)) - 44032) // 588 IN (9, 10) ORDER BY lower(title) NULLS FIRST, doc_id LIMIT 200",
+    "browse_korean_other": f"WITH {CATALOG_SQL}, {SCRIPTS_SQL} SELECT doc_id, name, title, path, list_sort(tags) AS tags, 1.0::DOUBLE AS score FROM o WHERE ord(substr(title, 1, 1)) NOT BETWEEN 44032 AND 55203 ORDER BY lower(title) NULLS FIRST, doc_id LIMIT 200",
+    "pii_hits": _pii_sql("SELECT doc_id, name, match FROM found"),
+    "pii_purge": _pii_sql("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)"),
+    "passages_keyword": _passages_sql(_LINES_SQL, ["license", "that", "mentoi"], "doc_id, unit_no, score, match_start, match_end, sample, rank"),
+    "passages_html": _passages_sql(_BLOCKS_SQL, ["the", "que", "und"], "doc_id, unit_no, location, score, rank"),
     "bm25_keyword": bm25_sql("tion"),
     "bm25_prefix_or": bm25_sql("thof mentoi mentoi src1"),
     "bm25_phrase": bm25_sql('"of the" eaux'),
-    "semantic_topk": f"WITH {COSINE_SQL} SELECT doc_id, round(sem, 6) AS score FROM v ORDER BY score DESC, doc_id LIMIT 50",
+    "semantic_topk": f"WITH {COSINE_SQL} SELECT doc_id, round(sem, 6) AS score FROM v WHERE sem >= 0.3 ORDER BY score DESC, doc_id LIMIT 50",
     "hybrid_search": f"""WITH kw AS ({bm25_sql("tion").replace("round(raw / best, 6)", "raw / best")}), {COSINE_SQL}, {TAGS_SQL},
     b AS (SELECT coalesce(kw.doc_id, v.doc_id) AS doc_id, coalesce(score, 0) AS k, coalesce(sem, 0) AS s FROM kw FULL JOIN v ON kw.doc_id = v.doc_id)
     SELECT doc_id, round(CASE WHEN k > 0 AND s >= 0.3 THEN least(greatest(k, s) + 0.1::DOUBLE * least(k, s), 1) ELSE greatest(k, s) END, 6) AS score
@@ -326,6 +440,6 @@ ORACLE_SQL: dict[str, str] = {
     o AS (SELECT doc_id, list(w ORDER BY n DESC, i) AS often FROM f GROUP BY doc_id),
     j AS (SELECT h.doc_id, head, coalesce(often, []) AS often, list_filter(coalesce(often, []), lambda x: NOT list_contains(head, x)) AS fresh FROM h LEFT JOIN o USING (doc_id))
     SELECT doc_id, array_to_string(list_sort(list_concat(head, CASE WHEN len(head) < 10 THEN fresh[1:10 - len(head)] WHEN len(often) = 0 OR list_contains(head, often[1]) THEN [] ELSE fresh[1:1] END)), ',') AS keywords FROM j""",
-    "cjk_segment": "SELECT * FROM (VALUES " + _values([("機械学習", "機械 械学 学習"), ("学", "学"), ("abc 機械学習 def", "abc 機械 械学 学習 def"), ("한국어 검색", "한국 국어 검색"), ("東京", "東京"), ("plain", "plain"), ("ひらがなカタカナ", "ひら らが がな なカ カタ タカ カナ")]) + ") AS x(t, s)",
-    "korean_letters": "SELECT * FROM (VALUES " + _values([("가나다", "ㄱ"), ("한국", "ㅎ"), ("씨앗", "ㅆ"), ("abc", None), ("힣", "ㅎ"), ("학습", "ㅎ")]) + ") AS x(t, letter)",
+    "cjk_segment": rf"WITH {CATALOG_SQL}, {SCRIPTS_SQL} SELECT doc_id, trim(regexp_replace({_SEGMENTS}, ' +', ' ', 'g'), ' ') AS s FROM o",
+    "korean_letters": f"WITH {CATALOG_SQL}, {SCRIPTS_SQL}, n AS (SELECT doc_id, ord(substr(title, 1, 1)) - 44032 AS n FROM o) SELECT doc_id, CASE WHEN n BETWEEN 0 AND 11171 THEN ['ㄱ', 'ㄱ', 'ㄴ', 'ㄷ', 'ㄷ', 'ㄹ', 'ㅁ', 'ㅂ', 'ㅂ', 'ㅅ', 'ㅅ', 'ㅇ', 'ㅈ', 'ㅈ', 'ㅊ', 'ㅋ', 'ㅌ', 'ㅍ', 'ㅎ'][n // 588 + 1] END AS letter FROM n",
 }
