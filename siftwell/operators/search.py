@@ -20,6 +20,8 @@ from siftwell.functions.text import EN_STOPWORDS, fold_text, korean_letter, segm
 WEIGHTS = {"name": 6.0, "title": 8.0, "author": 7.0, "subject": 5.0, "description": 3.0, "content": 3.0, "tags": 4.0}
 K1, B = 1.2, 0.75
 KEYWORD_FLOOR, SEMANTIC_FLOOR = 0.01, 0.30
+#: Slices of documents that the postings of one term are dealt by.
+SLICES = 64
 
 
 def parse_query(query: str) -> list[tuple[list[str], bool]]:
@@ -69,8 +71,8 @@ class Index:
 
 
 def write_index(catalog: DataFrame, uri: str) -> Index:
-    """Write the index of a catalog: postings dealt by ranges of terms and documents, so a frequent term is many files' matter, and sorted by them."""
-    postings(catalog).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "col", "pos").write.parquet(f"{uri}/postings")
+    """Write the index of a catalog: postings dealt by term and a slice of the documents, so a frequent term is SLICES files' matter, and sorted by term."""
+    postings(catalog).repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))).sortWithinPartitions("term", "doc_id", "col", "pos").write.parquet(f"{uri}/postings")
     lengths(catalog).write.parquet(f"{uri}/lengths")
     return read_index(catalog.sparkSession, uri)
 
