@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise
+from siftwell.llm.common import materialise, release
 from siftwell.llm.simhash import components, fingerprint_many, links, shingle_hashes
 
 ROWS, BANDS = 6, 40
@@ -131,14 +131,16 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 4, kept:
     Null, empty and wordless texts equal each other and nothing else. An empty table gives no rows; texts of any length count whole.
     """
     given = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", kept)
+    inner: list[str] = []  # deleted once it is known which rows stay
     rows = given.select(F.col(ROW).alias("row"), "doc_id", "text")
-    found = materialise(sketches(rows, shingle), "sketches", kept)
-    classes = materialise(found.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "classes", kept)
-    heads = materialise(found.join(classes.select(F.col("least.row").alias("row")), "row", "left_semi"), "heads", kept)
-    groups = materialise(candidate_groups(heads.where("size(bands) > 0"), radius, kept), "groups", kept)
+    found = materialise(sketches(rows, shingle), "sketches", inner)
+    classes = materialise(found.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "classes", inner)
+    heads = materialise(found.join(classes.select(F.col("least.row").alias("row")), "row", "left_semi"), "heads", inner)
+    groups = materialise(candidate_groups(heads.where("size(bands) > 0"), radius, inner), "groups", inner)
     chosen = groups.select(F.col("node").alias("set_id")).join(heads.select("set_id", "row"), "set_id")
-    texts = materialise(rows.select("row", "text").join(chosen, "row").select("set_id", "text"), "texts", kept)
-    linked = components(verified_links(texts, groups, shingle, block), kept)
+    texts = materialise(rows.select("row", "text").join(chosen, "row").select("set_id", "text"), "texts", inner)
+    linked = components(verified_links(texts, groups, shingle, block), inner)
     rooted = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left")
     stay = materialise(rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("least").alias("least")).select("least.row"), "stay", kept)
+    release(docs.sparkSession, inner)
     return given.join(stay.withColumnRenamed("row", ROW), ROW, "left_semi").select(*docs.columns)
