@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import decontam, mixing, nearcopies, quality, records
-from siftwell.llm.common import release, scratch
+from siftwell.llm.common import materialise, release, scratch
 from siftwell.llm.queries import table, tokenizer_path
 from siftwell.session import ship
 
@@ -20,8 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[
     them go if one is rejected. Long texts count whole, other columns are passed on, an empty table gives no rows.
     """
     ship(spark)
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), kept=kept)
-    return quality.keep_good(docs, judged)
+    inner: list[str] = []
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"), kept=inner)
+    rejected = materialise(judged.where("not kept").select("doc_id", "kept"), "rejected", kept)
+    release(spark, inner)
+    return quality.keep_good(docs, rejected)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[str] | None = None) -> DataFrame:
@@ -51,8 +54,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[s
     taken as any other. Long texts count whole, other columns are passed on, an empty table gives no rows.
     """
     ship(spark)
-    rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), kept=kept)
-    return mixing.take_copies(docs, rated)
+    inner: list[str] = []
+    rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), kept=inner)
+    copies = materialise(rated.select("doc_id", "copies"), "copies", kept)
+    release(spark, inner)
+    return mixing.take_copies(docs, copies)
 
 
 def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[str] | None = None) -> DataFrame:
