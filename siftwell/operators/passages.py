@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import unescape
+from siftwell.functions.text import CJK, segment_text, unescape
 from siftwell.operators.search import cosine
 
 # Formats whose text is not prose, and the most passages of a document.
@@ -37,13 +37,15 @@ def _units(rows: DataFrame, label: str) -> DataFrame:
 
 
 def match_pattern(query: str) -> str | None:
-    """Latin words whole, case ignored, any of them."""
+    """Latin words whole, case ignored, and the bigrams of CJK runs anywhere: any of them."""
     words = list(dict.fromkeys(w.lower() for w in re.findall(r"[A-Za-z0-9]+", query)))
-    return r"(?iU)\b(?:" + "|".join(words) + r")\b" if words else None
+    pairs = list(dict.fromkeys(b for run in re.findall(f"[{CJK}]+", query) for b in segment_text(run).split()))
+    found = [r"\b(?:" + "|".join(words) + r")\b"] * bool(words) + pairs
+    return "(?iU)(?:" + "|".join(found) + ")" if found else None
 
 
 def keyword_passages(units: DataFrame, query: str, most: int = MOST_PASSAGES) -> DataFrame:
-    """(doc_id, unit_no, location, score, match_start, match_end, sample, rank): matches by count, then in document order."""
+    """(doc_id, unit_no, location, score, match_start, match_end, sample, rank, truncated): matches by count, then in document order; truncated tells that a document has more than most."""
     pattern = match_pattern(query)
     if pattern is None:
         pattern = "(?!)"
@@ -53,16 +55,20 @@ def keyword_passages(units: DataFrame, query: str, most: int = MOST_PASSAGES) ->
     before, after = words(F.substring("text", F.lit(1), F.col("match_start"))), words(F.substring("text", F.col("match_end") + 1, F.length("text")))
     sample = F.array_join(F.concat(F.slice(before, F.greatest(F.size(before) - RADIUS + 1, F.lit(1)), F.lit(RADIUS)), F.array("hit"), F.slice(after, 1, RADIUS)), " ")
     found = found.withColumns({"match_start": start, "hit": hit}).withColumn("match_end", F.col("match_start") + F.length("hit")).withColumn("sample", sample)
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "unit_no"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "unit_no", "location", "score", "match_start", "match_end", "sample", "rank")
+    return _ranked(found, most).select("doc_id", "unit_no", "location", "score", "match_start", "match_end", "sample", "rank", "truncated")
+
+
+def _ranked(found: DataFrame, most: int) -> DataFrame:
+    each = W.partitionBy("doc_id")
+    ranked = found.withColumns({"rank": F.row_number().over(each.orderBy(F.desc("score"), "unit_no")), "truncated": F.count("*").over(each) > most})
+    return ranked.where(F.col("rank") <= most)
 
 
 def semantic_passages(units: DataFrame, query: list[float], most: int = MOST_PASSAGES, floor: float = SEMANTIC_FLOOR) -> DataFrame:
     """units (doc_id, unit_no, location, embedding): the first 300 of a document by cosine, from floor up."""
     first = units.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("unit_no"))).where(F.col("_n") <= SEMANTIC_UNITS)
     scored = first.withColumn("score", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))).where(F.col("score") >= floor)
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "unit_no"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "unit_no", "location", "score", "rank")
+    return _ranked(scored, most).select("doc_id", "unit_no", "location", "score", "rank", "truncated")
 
 
 def is_prose(ext: Column) -> Column:

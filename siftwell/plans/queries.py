@@ -12,6 +12,7 @@ from siftwell.operators import catalog as C
 from siftwell.operators import dedup as D
 from siftwell.operators import passages as P
 from siftwell.operators import pii_scan as I
+from siftwell.operators import scans as N
 from siftwell.operators import search as S
 from siftwell.store import shared_folder
 
@@ -185,6 +186,10 @@ def passages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.keyword_passages(P.markup_units(table(spark, sf_dir, "pages")), "the que und").drop("sample", "match_start", "match_end")
 
 
+def passages_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.keyword_passages(P.line_units(scripts(spark, sf_dir), text_col="title"), "学習データ plain 학").drop("location", "sample")
+
+
 def passages_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("doc_id"), F.col("vec_id").alias("unit_no"), F.concat(F.lit("section "), F.col("vec_id").cast("string")).alias("location"), "embedding")
     return P.semantic_passages(units, _query_vector(spark, sf_dir), floor=0.1).withColumn("score", F.round("score", 6))
@@ -258,6 +263,54 @@ def korean_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts(spark, sf_dir).select("doc_id", T.korean_letter(F.col("title")).alias("letter"))
 
 
+def auto_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of documents as PDF, source and drawing files in turn."""
+    c = catalog(spark, sf_dir)
+    ext = F.element_at(F.array(*[F.lit(e) for e in ("pdf", "PY", "svg", "txt", "tex")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return N.auto_tags(c.select("doc_id", F.substring("path", 2, 1000).alias("rel"), ext.alias("ext"), "title", F.col("content").alias("text")))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the poor documents, and as many that no document has."""
+    poor = catalog(spark, sf_dir).join(_ids(spark, sf_dir), "doc_id", "left_semi").select("path")
+    return poor.unionByName(poor.select(F.concat("path", F.lit(".gone")).alias("path")))
+
+
+def delete_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths that remain and the blacklist, which held those of src1 before, after the poor documents are deleted."""
+    c = catalog(spark, sf_dir)
+    held = N.listed(c.where("path like '/src1/%'").select("path", F.lit("no text").alias("reason")))
+    rest, blacklist, _ = N.delete_paths(c, held, _paths(spark, sf_dir), "blacklist")
+    return rest.select("path", F.lit("kept").alias("reason")).unionByName(blacklist.select("path", "reason"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of a scan: every seventh failed, every fifth had a name only."""
+    id_ = F.col("doc_id")
+    return catalog(spark, sf_dir).select("path", "size", (id_ % 7 != 0).alias("success"), F.when(id_ % 14 == 0, "damaged").alias("error"), F.when(id_ % 5 == 0, "metadata").otherwise("txt").alias("doc_type"), F.lit("pdf").alias("file_ext"))
+
+
+def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _scanned(spark, sf_dir)
+    return N.scan_log(catalog(spark, sf_dir), records.where("size % 2 = 0"), records).drop("scanned_at")
+
+
+def rescan_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blacklist after its files, those of even size, were tried again but for the ones refused; and the files without text."""
+    records = _scanned(spark, sf_dir)
+    held = N.listed(records.where("size % 2 = 0").select("path", F.lit("held").alias("reason")))
+    tried = N.rescannable(records.where("size % 2 = 0"), records.where("path like '/src1/%'"))
+    return N.after_rescan(held, tried).select("path", "reason").unionByName(N.without_text(records).select("path", "reason"))
+
+
+def dup_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.group_labels(exact_dups(spark, sf_dir).drop("size"), catalog(spark, sf_dir))
+
+
+def dup_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.keep_one(catalog(spark, sf_dir), exact_dups(spark, sf_dir)).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_keyword": bm25("tion"),
     "bm25_prefix_or": bm25("thof mentoi mentoi src1"),
@@ -287,7 +340,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pii_purge": lambda s, d: I.purge_pii(table(s, d, "documents")).select("doc_id"),
     "passages_keyword": passages_keyword,
     "passages_html": passages_html,
+    "passages_cjk": passages_cjk,
     "passages_semantic": passages_semantic,
+    "auto_tags": auto_tags,
+    "delete_blacklist": delete_blacklist,
+    "scan_log": scan_log,
+    "rescan_lists": rescan_lists,
+    "size_labels": lambda s, d: catalog(s, d).select("doc_id", N.size_label(F.col("size") * F.col("size")).alias("label")),
+    "dup_labels": dup_labels,
+    "dup_clean": dup_clean,
+    "point_lookup": lambda s, d: N.by_path(catalog(s, d), "/src1/en/src1_7.txt").select("doc_id", "title"),
     "markup_text": markup_text,
     "markup_title": markup_title,
     "keywords": keywords,
@@ -329,7 +391,7 @@ def _passages_sql(units: str, words: list[str], columns: str) -> str:
       regexp_extract(' ' || text || ' ', '(?is)^.*?[^\p{{L}}\p{{N}}\p{{M}}_]({any_of})[^\p{{L}}\p{{N}}\p{{M}}_]', 1) AS hit FROM u WHERE len(regexp_extract_all(text, '\p{{L}}')) >= 2),
     p AS (SELECT *, length(before) - 1 AS match_start, length(before) - 1 + length(hit) AS match_end FROM h WHERE score > 0),
     w AS (SELECT *, list_filter(string_split_regex(substr(text, 1, match_start), ' +'), lambda x: x <> '') AS l, list_filter(string_split_regex(substr(text, match_end + 1), ' +'), lambda x: x <> '') AS r FROM p),
-    k AS (SELECT *, array_to_string(list_concat(l[greatest(len(l) - 4, 1):], [hit], r[:5]), ' ') AS sample, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, unit_no) AS rank FROM w)
+    k AS (SELECT *, array_to_string(list_concat(l[greatest(len(l) - 4, 1):], [hit], r[:5]), ' ') AS sample, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, unit_no) AS rank, count(*) OVER (PARTITION BY doc_id) > 200 AS truncated FROM w)
     SELECT {columns} FROM k WHERE rank <= 200"""
 
 
@@ -372,6 +434,16 @@ _SEARCH_SQL = """SELECT doc_id, name, coalesce(title, name) AS title, path, roun
 _BOTH_SQL = f"""WITH kw AS ({bm25_sql("tion").replace("round(raw / best, 6)", "raw / best").replace("WHERE raw / best > 0.01", "")}), {COSINE_SQL}, {TAGS_SQL}, {CATALOG_SQL},
     b AS (SELECT coalesce(kw.doc_id, v.doc_id) AS doc_id, coalesce(score, 0) AS k, coalesce(sem, 0) AS s FROM kw FULL JOIN v ON kw.doc_id = v.doc_id)"""
 
+_KEYWORDS_SQL = r"""WITH d AS (SELECT doc_id, lower(substr(split_part(text, chr(10), 1), 1, 200)) AS title, lower(text) AS body FROM documents),
+    h AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split_regex(title, '\s+'), lambda x: length(x) > 3), lambda x: regexp_replace(x, '^[.,;:]+|[.,;:]+$', '', 'g'))) AS head FROM d),
+    w AS (SELECT doc_id, unnest(bs) AS w, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT doc_id, list_transform(string_split_regex(body, '\s+'), lambda x: regexp_replace(x, '^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+$', '', 'g')) AS bs FROM d)),
+    f AS (SELECT doc_id, w, count(*) AS n, min(i) AS i FROM w WHERE regexp_matches(w, '^\p{L}{3,20}$') GROUP BY doc_id, w HAVING count(*) >= 3 AND w NOT IN ('the', 'and', 'for', 'that', 'with', 'from', 'this')),
+    o AS (SELECT doc_id, list(w ORDER BY n DESC, i) AS often FROM f GROUP BY doc_id),
+    j AS (SELECT h.doc_id, head, coalesce(often, []) AS often, list_filter(coalesce(often, []), lambda x: NOT list_contains(head, x)) AS fresh FROM h LEFT JOIN o USING (doc_id))
+    SELECT doc_id, array_to_string(list_sort(list_concat(head, CASE WHEN len(head) < 10 THEN fresh[1:10 - len(head)] WHEN len(often) = 0 OR list_contains(head, often[1]) THEN [] ELSE fresh[1:1] END)), ',') AS keywords FROM j"""
+
+_SIZE_SQL = "CASE WHEN {0} >= 1073741824 THEN printf('%.1fGB', {0} / 1073741824.0::DOUBLE) WHEN {0} >= 1048576 THEN printf('%.1fMB', {0} / 1048576.0::DOUBLE) WHEN {0} >= 1024 THEN printf('%.0fKB', {0} / 1024.0::DOUBLE) ELSE {0} || 'B' END"
+
 ORACLE_SQL: dict[str, str] = {
     "bm25_scripts": bm25_sql('学習 viet 학 "機械学習" αθηναι', "o", _SEGMENTS),
     "build_index": rf"""WITH {CATALOG_SQL}, k AS (SELECT doc_id, unnest([{{'col': 'name', 't': name}}, {{'col': 'title', 't': title}}, {{'col': 'content', 't': content}}, {{'col': 'tags', 't': array_to_string(tags, ' ')}}]) AS x FROM c),
@@ -387,8 +459,26 @@ ORACLE_SQL: dict[str, str] = {
     "browse_korean_other": f"WITH {CATALOG_SQL}, {SCRIPTS_SQL} SELECT doc_id, name, title, path, list_sort(tags) AS tags, 1.0::DOUBLE AS score FROM o WHERE ord(substr(title, 1, 1)) NOT BETWEEN 44032 AND 55203 ORDER BY lower(title) NULLS FIRST, doc_id LIMIT 200",
     "pii_hits": _pii_sql("SELECT doc_id, name, match FROM found"),
     "pii_purge": _pii_sql("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)"),
-    "passages_keyword": _passages_sql(_LINES_SQL, ["license", "that", "mentoi"], "doc_id, unit_no, score, match_start, match_end, sample, rank"),
-    "passages_html": _passages_sql(_BLOCKS_SQL, ["the", "que", "und"], "doc_id, unit_no, location, score, rank"),
+    "passages_keyword": _passages_sql(_LINES_SQL, ["license", "that", "mentoi"], "doc_id, unit_no, score, match_start, match_end, sample, rank, truncated"),
+    "passages_html": _passages_sql(_BLOCKS_SQL, ["the", "que", "und"], "doc_id, unit_no, location, score, rank, truncated"),
+    "passages_cjk": f"""WITH {CATALOG_SQL}, {SCRIPTS_SQL}, h AS (SELECT doc_id, title, list_filter(range(1, length(title) + 1), lambda i: substr(title, i, 2) IN ('学習', '習デ', 'デー', 'ータ') OR substr(title, i, 1) = '학'
+      OR (lower(substr(title, i, 5)) = 'plain' AND NOT regexp_matches(coalesce(nullif(substr(title, i - 1, (i > 1)::INT), ''), ' '), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(coalesce(nullif(substr(title, i + 5, 1), ''), ' '), '[\\p{{L}}\\p{{N}}_]'))) AS hits FROM (SELECT doc_id, trim(title, ' ') AS title FROM o))
+    SELECT doc_id, 1 AS unit_no, len(hits)::INT AS score, (hits[1] - 1)::INT AS match_start, (hits[1] - 1 + CASE WHEN substr(title, hits[1], 1) = '학' THEN 1 WHEN lower(substr(title, hits[1], 5)) = 'plain' THEN 5 ELSE 2 END)::INT AS match_end, 1 AS rank, false AS truncated
+    FROM h WHERE len(hits) > 0 AND len(regexp_extract_all(title, '\\p{{L}}')) >= 2""",
+    "auto_tags": f"""WITH e AS (SELECT doc_id, source, lang, ['pdf', 'py', 'svg', 'txt', 'tex'][doc_id % 5 + 1] AS ext FROM documents),
+    k AS ({_KEYWORDS_SQL.replace("< 10", "< 5").replace("10 - len", "5 - len").replace("array_to_string(list_sort(", "list_sort(").replace(", ',') AS keywords", " AS keywords")}), a AS (SELECT doc_id, ext AS tag FROM e UNION SELECT doc_id, lower(unnest([source, lang])) FROM e UNION SELECT doc_id, 'code' FROM e WHERE ext = 'py' UNION SELECT doc_id, 'diagram' FROM e WHERE ext = 'svg'
+    UNION SELECT doc_id, 'markup' FROM e WHERE ext IN ('svg', 'tex') UNION SELECT doc_id, unnest(keywords) FROM k JOIN e USING (doc_id) WHERE ext IN ('pdf', 'svg', 'tex'))
+    SELECT doc_id, tag FROM a JOIN e USING (doc_id) WHERE tag <> '' AND (length(tag) > 2 OR tag = ext OR (doc_id, tag) IN (SELECT doc_id, unnest(keywords) FROM k JOIN e USING (doc_id) WHERE ext IN ('pdf', 'svg', 'tex')))""",
+    "delete_blacklist": f"""WITH {CATALOG_SQL}, p AS (SELECT path FROM c WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))
+    SELECT path, 'kept' AS reason FROM c WHERE path NOT IN (FROM p) UNION ALL SELECT path, 'no text' FROM c WHERE starts_with(path, '/src1/') UNION ALL SELECT path, 'removed by a user' FROM p WHERE NOT starts_with(path, '/src1/')""",
+    "scan_log": "SELECT count(*) AS docs_found, count(*) FILTER (doc_id % 7 <> 0 AND n_chars % 2 <> 0) AS docs_added, count(*) FILTER (doc_id % 7 <> 0 AND n_chars % 2 = 0) AS docs_updated, count(*) FILTER (doc_id % 7 = 0) AS docs_failed FROM documents",
+    "rescan_lists": f"""WITH {CATALOG_SQL} SELECT path, CASE WHEN starts_with(path, '/src1/') THEN 'held' WHEN doc_id % 14 = 0 THEN 'damaged' ELSE 'extraction failed' END AS reason FROM c WHERE size % 2 = 0 AND (doc_id % 7 = 0 OR starts_with(path, '/src1/'))
+    UNION ALL SELECT path, 'no text: pdf' FROM c WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0""",
+    "size_labels": f"SELECT doc_id, {_SIZE_SQL.format('(n_chars * n_chars)')} AS label FROM documents",
+    "dup_labels": f"""WITH {CATALOG_SQL}, g AS (SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY n_chars, text HAVING count(*) > 1)
+    SELECT doc_id AS group_id, '"' || CASE WHEN length(t) > 55 THEN substr(t, 1, 52) || '…' ELSE t END || '"  [' || {_SIZE_SQL.format('size')} || ' × ' || n || ' copies]' AS label FROM (SELECT g.doc_id, n, size, coalesce(nullif(title, ''), name) AS t FROM g JOIN c USING (doc_id))""",
+    "dup_clean": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY n_chars, text",
+    "point_lookup": f"WITH {CATALOG_SQL} SELECT doc_id, title FROM c WHERE path = '/src1/en/src1_7.txt'",
     "bm25_keyword": bm25_sql("tion"),
     "bm25_prefix_or": bm25_sql("thof mentoi mentoi src1"),
     "bm25_phrase": bm25_sql('"of the" eaux'),
@@ -413,7 +503,7 @@ ORACLE_SQL: dict[str, str] = {
     g AS (SELECT n AS id, min(l) AS group_id FROM r GROUP BY n)
     SELECT group_id, id, round(max(s) OVER (PARTITION BY group_id), 6) AS similarity FROM (SELECT g.group_id, g.id, max(p.s) AS s FROM g LEFT JOIN p ON p.a = g.id OR p.b = g.id GROUP BY ALL)""",
     "passages_semantic": f"""WITH {COSINE_SQL}, u AS (SELECT doc_id % 10 AS doc_id, doc_id AS unit_no, 'section ' || doc_id AS location, sem, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS k FROM v)
-    SELECT * FROM (SELECT doc_id, unit_no, location, round(sem, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY sem DESC, unit_no) AS rank FROM u WHERE k <= 300 AND sem >= 0.1) WHERE rank <= 200""",
+    SELECT * FROM (SELECT doc_id, unit_no, location, round(sem, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY sem DESC, unit_no) AS rank, count(*) OVER (PARTITION BY doc_id) > 200 AS truncated FROM u WHERE k <= 300 AND sem >= 0.1) WHERE rank <= 200""",
     "markup_text": f"SELECT page_id, {_strip_sql('html')} AS text FROM pages",
     "markup_title": "SELECT page_id, nullif(substr(" + _strip_sql("regexp_extract(html, '(?is)<(?:title|dc:title|h1)\\b[^>]*>(.*?)</(?:title|dc:title|h1)>', 1)") + ", 1, 200), '') AS title FROM pages",
     "scan_delta": """WITH m AS (SELECT epoch_us(min(ts)) + epoch_us(max(ts)) AS m FROM events), b AS (SELECT '/u/' || user_id AS path, epoch_us(ts) AS mtime, 2 * epoch_us(ts) < m AS old FROM events, m)
@@ -433,13 +523,7 @@ ORACLE_SQL: dict[str, str] = {
     SELECT path, CASE WHEN path IN (SELECT path FROM l) THEN 'present' WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) IN (SELECT dir FROM l) THEN 'missing' ELSE 'unmounted' END AS state FROM c""",
     "eta_window": """WITH s AS (SELECT event_id AS n, (epoch_us(ts) // 1000000) AS t, first_value((epoch_us(ts) // 1000000)) OVER w AS t0, first_value(event_id) OVER w AS n0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000000), event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
     SELECT n, floor(CASE WHEN (n - n0) / nullif(t - t0, 0)::DOUBLE > 0 THEN (1000000000 - n) / ((n - n0) / (t - t0)::DOUBLE) END)::BIGINT AS eta FROM s""",
-    "keywords": r"""WITH d AS (SELECT doc_id, lower(substr(split_part(text, chr(10), 1), 1, 200)) AS title, lower(text) AS body FROM documents),
-    h AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split_regex(title, '\s+'), lambda x: length(x) > 3), lambda x: regexp_replace(x, '^[.,;:]+|[.,;:]+$', '', 'g'))) AS head FROM d),
-    w AS (SELECT doc_id, unnest(bs) AS w, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT doc_id, list_transform(string_split_regex(body, '\s+'), lambda x: regexp_replace(x, '^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+$', '', 'g')) AS bs FROM d)),
-    f AS (SELECT doc_id, w, count(*) AS n, min(i) AS i FROM w WHERE regexp_matches(w, '^\p{L}{3,20}$') GROUP BY doc_id, w HAVING count(*) >= 3 AND w NOT IN ('the', 'and', 'for', 'that', 'with', 'from', 'this')),
-    o AS (SELECT doc_id, list(w ORDER BY n DESC, i) AS often FROM f GROUP BY doc_id),
-    j AS (SELECT h.doc_id, head, coalesce(often, []) AS often, list_filter(coalesce(often, []), lambda x: NOT list_contains(head, x)) AS fresh FROM h LEFT JOIN o USING (doc_id))
-    SELECT doc_id, array_to_string(list_sort(list_concat(head, CASE WHEN len(head) < 10 THEN fresh[1:10 - len(head)] WHEN len(often) = 0 OR list_contains(head, often[1]) THEN [] ELSE fresh[1:1] END)), ',') AS keywords FROM j""",
+    "keywords": _KEYWORDS_SQL,
     "cjk_segment": rf"WITH {CATALOG_SQL}, {SCRIPTS_SQL} SELECT doc_id, trim(regexp_replace({_SEGMENTS}, ' +', ' ', 'g'), ' ') AS s FROM o",
     "korean_letters": f"WITH {CATALOG_SQL}, {SCRIPTS_SQL}, n AS (SELECT doc_id, ord(substr(title, 1, 1)) - 44032 AS n FROM o) SELECT doc_id, CASE WHEN n BETWEEN 0 AND 11171 THEN ['ㄱ', 'ㄱ', 'ㄴ', 'ㄷ', 'ㄷ', 'ㄹ', 'ㅁ', 'ㅂ', 'ㅂ', 'ㅅ', 'ㅅ', 'ㅇ', 'ㅈ', 'ㅈ', 'ㅊ', 'ㅋ', 'ㅌ', 'ㅍ', 'ㅎ'][n // 588 + 1] END AS letter FROM n",
 }
