@@ -349,7 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "size_labels": lambda s, d: catalog(s, d).select("doc_id", N.size_label(F.col("size") * F.col("size")).alias("label")),
     "dup_labels": dup_labels,
     "dup_clean": dup_clean,
-    "point_lookup": lambda s, d: N.by_path(catalog(s, d), "/src1/en/src1_7.txt").select("doc_id", "title"),
+    "point_lookup": lambda s, d: N.by_path(catalog(s, d), "/src1/en/src1_1.txt").select("doc_id", "title"),
     "markup_text": markup_text,
     "markup_title": markup_title,
     "keywords": keywords,
@@ -478,7 +478,7 @@ ORACLE_SQL: dict[str, str] = {
     "dup_labels": f"""WITH {CATALOG_SQL}, g AS (SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY n_chars, text HAVING count(*) > 1)
     SELECT doc_id AS group_id, '"' || CASE WHEN length(t) > 55 THEN substr(t, 1, 52) || '…' ELSE t END || '"  [' || {_SIZE_SQL.format('size')} || ' × ' || n || ' copies]' AS label FROM (SELECT g.doc_id, n, size, coalesce(nullif(title, ''), name) AS t FROM g JOIN c USING (doc_id))""",
     "dup_clean": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY n_chars, text",
-    "point_lookup": f"WITH {CATALOG_SQL} SELECT doc_id, title FROM c WHERE path = '/src1/en/src1_7.txt'",
+    "point_lookup": f"WITH {CATALOG_SQL} SELECT doc_id, title FROM c WHERE path = '/src1/en/src1_1.txt'",
     "bm25_keyword": bm25_sql("tion"),
     "bm25_prefix_or": bm25_sql("thof mentoi mentoi src1"),
     "bm25_phrase": bm25_sql('"of the" eaux'),
