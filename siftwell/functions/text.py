@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import html.entities
+import json
 import re
 import unicodedata
 
@@ -12,6 +14,13 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}]+"
 CJK = "\\u3040-\\u30ff\\u3400-\\u9fff\\uf900-\\ufaff\\uac00-\\ud7a3"
 
+#: White space of any script, for Java's and RE2's patterns.
+SPACES = r"[\x{9}-\x{d} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+ENTITY = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+# Tags of HTML, DocBook, RSS and Atom that end a passage; the numbers of sections depend on each of them.
+BLOCK_END = r"(?i)</(?:p|div|h[1-6]|li|tr|section|article|header|footer|blockquote|pre|td|th|figcaption|dd|dt|para|item|entry|description|abstract|note|sect\d|chapter|listitem|term|outline)>|<br\s*/?>"
+
 # The default English stop words of queries, and those of keyword extraction.
 EN_STOPWORDS = ("a", "an", "the", "and", "or", "but", "nor", "for", "so", "yet")
 KEYWORD_STOPWORDS = ("the", "and", "for", "that", "with", "from", "this")
@@ -92,13 +101,38 @@ def strip_markup(text: Column) -> Column:
         (r"(?s)<[^>]+>", " "),
     ):
         text = F.regexp_replace(text, pattern, put)
-    return F.trim(F.regexp_replace(unescape(text), r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(unescape(text), SPACES, " "))
+
+
+@functools.cache
+def entity_names() -> dict[str, str]:
+    """What each name of HTML 5 that ends in a semicolon stands for."""
+    return {name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")}
+
+
+def western_pairs() -> tuple[str, str]:
+    """Control characters that pages use for those of Windows-1252 at the same numbers, and these."""
+    both = [(chr(n), bytes([n]).decode("cp1252", "ignore")) for n in range(128, 160)]
+    return "".join(a for a, b in both if b), "".join(b for _, b in both)
+
+
+def _referred(mark: Column) -> Column:
+    """The characters that &...; stands for; null for an unknown name. Numbers of no character give U+FFFD."""
+    number = F.when(mark.rlike("^&#[xX]"), F.conv(F.regexp_extract(mark, "^&#.([0-9a-fA-F]+)", 1), 16, 10)).when(mark.startswith("&#"), F.regexp_extract(mark, "^&#([0-9]+)", 1)).cast("int")
+    valid = (number > 0) & ~number.between(0xD800, 0xDFFF) & (number <= 0x10FFFF)
+    char = F.translate(F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32"), *western_pairs())
+    names = F.from_json(F.lit(json.dumps(entity_names())), "map<string,string>")
+    return F.when(number.isNotNull(), char).otherwise(F.element_at(names, F.regexp_extract(mark, "^&(.*);", 1)))
 
 
 def unescape(text: Column) -> Column:
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    """Character references by number and by name decoded in one pass; unknown names, and references without a semicolon, stay."""
+
+    def decoded(t: Column) -> Column:
+        parts, marks = F.split(t, ENTITY, -1), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))
+        return F.when(t.contains("&"), F.array_join(F.zip_with(parts, marks, lambda p, m: F.concat(p, F.coalesce(_referred(m), m, F.lit("")))), "")).otherwise(t)
+
+    return F.get(F.transform(F.array(text), decoded), F.lit(0))  # an array of one, so that text is evaluated once
 
 
 def markup_title(text: Column) -> Column:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import CJK, segment_text, unescape
+from siftwell.functions.text import BLOCK_END, CJK, SPACES, segment_text, unescape
 from siftwell.operators.search import cosine
+from siftwell.sources.extractors import units
 
 # Formats whose text is not prose, and the most passages of a document.
 NON_PROSE = ("xlsx", "ods", "ots", "csv", "tsv", "pptx", "odp", "otp", "vsdx", "vsdm", "vsd", "vss", "vst", "vdx", "drawio", "dio", "svg")
 MOST_PASSAGES, SEMANTIC_UNITS, SEMANTIC_FLOOR, RADIUS = 200, 300, 0.5, 5
-BLOCK_END = r"(?i)</(?:p|div|h[1-6]|li|tr|section|article|header|footer|blockquote|pre|td|th|figcaption|dd|dt|para|item|entry|description|abstract|note|sect\d|chapter|listitem|term|outline)>|<br\s*/?>"
 
 
 def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,13 +29,36 @@ def markup_units(pages: DataFrame, id_col: str = "page_id", text_col: str = "htm
     """(doc_id, unit_no, location, text): blocks of markup without scripts, styles and tags, numbered without blank ones."""
     bare = F.regexp_replace(F.regexp_replace(text_col, r"(?is)<(script|style)\b[^>]*>.*?</\1>", ""), BLOCK_END, "\n")
     bare = unescape(F.regexp_replace(bare, r"(?s)<[^>]+>", ""))
-    blocks = F.filter(F.transform(F.split(bare, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " "))), lambda x: x != "")
+    blocks = F.filter(F.transform(F.split(bare, "\n", -1), lambda x: F.trim(F.regexp_replace(x, SPACES, " "))), lambda x: x != "")
     rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(blocks).alias("p", "text"))
     return _units(rows.select("doc_id", (F.col("p") + 1).alias("unit_no"), "text"), "section ")
 
 
+def file_units(files: DataFrame) -> DataFrame:
+    """(doc_id, unit_no, location, text) of files (doc_id, ext, content) of prose: lines, sections, chapters or pages, by their type.
+
+    Types that are not prose or have no reader, no type, null and damaged content have no passages.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if r.content is not None and (found := units(r.ext.lower(), bytes(r.content))):
+                    made = pd.DataFrame(found, columns=["unit_no", "location", "text"])
+                    made.insert(0, "doc_id", r.doc_id)
+                    yield made
+
+    chosen = files.where(is_prose(F.col("ext"))).select("doc_id", "ext", "content")
+    return _telling(chosen.mapInPandas(run, "doc_id long, unit_no int, location string, text string"))
+
+
 def _units(rows: DataFrame, label: str) -> DataFrame:
-    return rows.where(F.regexp_count("text", F.lit(r"\p{L}")) >= 2).select("doc_id", "unit_no", F.concat(F.lit(label), F.col("unit_no").cast("string")).alias("location"), "text")
+    return _telling(rows.select("doc_id", "unit_no", F.concat(F.lit(label), F.col("unit_no").cast("string")).alias("location"), "text"))
+
+
+def _telling(rows: DataFrame) -> DataFrame:
+    """Units with two letters or more."""
+    return rows.where(F.regexp_count("text", F.lit(r"\p{L}")) >= 2)
 
 
 def match_pattern(query: str) -> str | None:

@@ -375,12 +375,22 @@ _FIRST = "upper(substr(coalesce(title, name, ''), 1, 1))"
 _STRIP_STEPS = [("(?is)<!DOCTYPE[^>]*>", " "), (r"(?s)<\?.*?\?>", " "), ("(?s)<!--.*?-->", " "), (r"(?s)<!\[CDATA\[(.*?)\]\]>", r"\1"), (r"(?is)<script\b[^>]*>.*?</script>", " "), (r"(?is)<style\b[^>]*>.*?</style>", " "), ("(?s)<[^>]+>", " ")]
 
 
+def _unescape_sql(x: str) -> str:
+    """Parts between character references, each with what the reference after it stands for."""
+    text = lambda c: "'" + c.replace("'", "''") + "'"
+    names = f"map([{', '.join(map(text, T.entity_names()))}], [{', '.join(map(text, T.entity_names().values()))}])"
+    number = "coalesce(nullif(regexp_extract(m, '^&#([0-9]+)', 1), '')::INT, ('0x' || nullif(regexp_extract(m, '^&#[xX]([0-9a-fA-F]+)', 1), ''))::INT)"
+    char = f"CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) ELSE translate(chr(n), {', '.join(map(text, T.western_pairs()))}) END"
+    one = f"coalesce(list_transform([{number}], lambda n: {char})[1], {names}[regexp_extract(m, '^&(.*);', 1)], m)"
+    marks = f"list_transform(regexp_extract_all(t, '{T.ENTITY}'), lambda m: {one})"
+    joined = f"list_transform([{marks}], lambda r: array_to_string(list_transform(string_split_regex(t, '{T.ENTITY}'), lambda p, i: p || coalesce(r[i], '')), ''))[1]"
+    return f"list_transform([{x}], lambda t: CASE WHEN contains(t, '&') THEN {joined} ELSE t END)[1]"
+
+
 def _strip_sql(x: str) -> str:
     for pattern, put in _STRIP_STEPS:
         x = f"regexp_replace({x}, '{pattern}', '{put}', 'g')"
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{char}')"
-    return rf"trim(regexp_replace({x}, '[ \t\r\n]+', ' ', 'g'))"
+    return f"trim(regexp_replace({_unescape_sql(x)}, '{T.SPACES}', ' ', 'g'), ' ')"
 
 
 def _passages_sql(units: str, words: list[str], columns: str) -> str:
@@ -398,7 +408,7 @@ def _passages_sql(units: str, words: list[str], columns: str) -> str:
 _LINES_SQL = r"""u AS (SELECT doc_id, i AS unit_no, trim(ls[i], ' ') AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
 _BLOCKS_SQL = rf"""s AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g') AS t FROM pages),
 t AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{P.BLOCK_END}', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS t FROM s),
-e AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ls FROM t),
+e AS (SELECT doc_id, list_filter(list_transform(string_split({_unescape_sql('t')}, chr(10)), lambda x: trim(regexp_replace(x, '{T.SPACES}', ' ', 'g'), ' ')), lambda x: x <> '') AS ls FROM t),
 u AS (SELECT doc_id, i AS unit_no, 'section ' || i AS location, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM e))"""
 
 

@@ -2,7 +2,8 @@
 
 Each function takes bytes and returns some of FIELDS. extract() cuts texts, fills titles from the file's name and
 turns any failure into success = False with its error. Formats whose readers are not part of the standard
-library (pdf, djvu, mobi, binary Visio) give a record of the name only, with doc_type "metadata".
+library (djvu, mobi, binary Visio, and pdf where pypdf is not installed) give a record of the name only, with doc_type "metadata".
+units() gives the passages of a file with their places.
 """
 
 from __future__ import annotations
@@ -17,9 +18,16 @@ import urllib.parse
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from email import message_from_bytes, policy
 
+from siftwell.functions.text import BLOCK_END
+
+try:
+    import pypdf
+except ImportError:  # an optional library: without it a pdf has the record of its name
+    pypdf = None
+
 FIELDS = ("title", "author", "subject", "description", "text", "snippet", "doc_type", "success", "error")
 TEXT_CHARS, SNIPPET_CHARS, PLAIN_CHARS = 5000, 500, 200_000
 #: A zip member inflates to this many bytes at most; beyond, the file is refused.
@@ -56,7 +64,10 @@ def parse_xml(data: bytes) -> ET.Element:
 
 def _member(z: zipfile.ZipFile, name: str) -> bytes:
     with z.open(name) as f:
-        data = f.read(MEMBER_BYTES + 1)
+        return _bounded(f.read(MEMBER_BYTES + 1), name)
+
+
+def _bounded(data: bytes, name: str) -> bytes:
     if len(data) > MEMBER_BYTES:
         raise ValueError(f"{name} is too large")
     return data
@@ -206,15 +217,20 @@ def rtf(data: bytes) -> dict:
     return {"text": joined.encode("utf-8", "replace").decode("utf-8").strip()}
 
 
+def _docx_body(body: ET.Element) -> tuple[list[str], list[str]]:
+    """Paragraphs outside tables, and the rows of tables."""
+    tables = [e for e in body.iter() if _local(e) == "tbl"]
+    inside = {id(p) for t in tables for p in t.iter() if _local(p) == "p"}
+    paragraphs = [_text_of(p, "t") for p in body.iter() if _local(p) == "p" and id(p) not in inside]
+    return paragraphs, [" | ".join(_text_of(c, "t").strip() for c in row if _local(c) == "tc") for t in tables for row in t if _local(row) == "tr"]
+
+
 def docx(data: bytes) -> dict:
     """Paragraphs outside tables, then tables with a line per row."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         got, body = _core(z), parse_xml(_member(z, "word/document.xml"))
-    tables = [e for e in body.iter() if _local(e) == "tbl"]
-    inside = {id(p) for t in tables for p in t.iter() if _local(p) == "p"}
-    lines = [_text_of(p, "t") for p in body.iter() if _local(p) == "p" and id(p) not in inside]
-    lines += [" | ".join(_text_of(c, "t").strip() for c in row if _local(c) == "tc") for t in tables for row in t if _local(row) == "tr"]
-    return got | {"text": "\n".join(x for x in lines if x.strip())}
+    paragraphs, rows = _docx_body(body)
+    return got | {"text": "\n".join(x for x in paragraphs + rows if x.strip())}
 
 
 def pptx(data: bytes) -> dict:
@@ -286,12 +302,12 @@ def vsdx(data: bytes) -> dict:
 def drawio(data: bytes) -> dict:
     """Labels of diagrams, inline or deflated."""
     if data.startswith(b"\x1f\x8b"):
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read(MEMBER_BYTES)
+        data = _bounded(gzip.GzipFile(fileobj=io.BytesIO(data)).read(MEMBER_BYTES + 1), "the diagram")
     root, lines = parse_xml(data), []
     for d in [e for e in root.iter() if _local(e) == "diagram"] or [root]:
         if len(d) == 0 and (d.text or "").strip():
             packed = base64.b64decode(urllib.parse.unquote(d.text.strip()))
-            d = parse_xml(urllib.parse.unquote(zlib.decompressobj(-15).decompress(packed, MEMBER_BYTES).decode("utf-8")).encode())
+            d = parse_xml(urllib.parse.unquote(_bounded(zlib.decompressobj(-15).decompress(packed, MEMBER_BYTES + 1), "a diagram").decode("utf-8")).encode())
         for e in d.iter():
             label = e.get("value") if _local(e) == "mxCell" else e.get("label") if _local(e) == "object" else None
             if label:
@@ -305,30 +321,48 @@ def given_first(author: str) -> str:
     return f"{parts[1]} {parts[0]}" if len(parts) == 2 and all(parts) else author.strip()
 
 
+def _spine(z: zipfile.ZipFile) -> tuple[ET.Element, list[str]]:
+    """The package of an e-book and the members that its spine lists, in order."""
+    at = next(e.get("full-path") for e in parse_xml(_member(z, "META-INF/container.xml")).iter() if _local(e) == "rootfile")
+    package, base = parse_xml(_member(z, at)), at.rpartition("/")[0]
+    hrefs = {e.get("id"): urllib.parse.unquote(e.get("href", "")) for e in package.iter() if _local(e) == "item"}
+    listed = [hrefs.get(e.get("idref")) for e in package.iter() if _local(e) == "itemref"]
+    present = set(z.namelist())
+    return package, [name for href in listed if href and (name := f"{base}/{href}" if base else href) in present]
+
+
 def epub(data: bytes) -> dict:
     """Items of the spine in order, until the text is long enough."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        at = next(e.get("full-path") for e in parse_xml(_member(z, "META-INF/container.xml")).iter() if _local(e) == "rootfile")
-        package, base = parse_xml(_member(z, at)), at.rpartition("/")[0]
+        package, names = _spine(z)
         meta = {}
         for e in package.iter():
             meta.setdefault(_local(e), (e.text or "").strip())
-        hrefs = {e.get("id"): urllib.parse.unquote(e.get("href", "")) for e in package.iter() if _local(e) == "item"}
         parts: list[str] = []
-        for e in package.iter():
-            if _local(e) == "itemref" and (href := hrefs.get(e.get("idref"))):
-                name = f"{base}/{href}" if base else href
-                if name in z.namelist():
-                    parts.append(_strip(_member(z, name).decode("utf-8", "replace")))
-                if sum(map(len, parts)) >= TEXT_CHARS:
-                    break
+        for name in names:
+            parts.append(_strip(_member(z, name).decode("utf-8", "replace")))
+            if sum(map(len, parts)) >= TEXT_CHARS:
+                break
     return {"title": meta.get("title"), "author": given_first(meta.get("creator", "")), "subject": meta.get("subject"), "description": meta.get("description"), "text": "\n".join(p for p in parts if p)}
 
 
+def pdf(data: bytes) -> dict:
+    """Metadata, and the text of pages until it is long enough."""
+    book, parts = pypdf.PdfReader(io.BytesIO(data)), []
+    for sheet in book.pages:
+        parts.append((sheet.extract_text() or "").strip())
+        if sum(map(len, parts)) >= TEXT_CHARS:
+            break
+    meta = book.metadata or {}
+    named = {field: str(meta.get(key) or "").strip() for field, key in (("title", "/Title"), ("author", "/Author"), ("subject", "/Subject"), ("description", "/Keywords"))}
+    return named | {"text": "\n".join(p for p in parts if p)}
+
+
 READERS: dict[str, Callable[[bytes], dict]] = {
     **dict.fromkeys(PLAIN, plain), **dict.fromkeys(MARKUP, markup), **dict.fromkeys(("html", "htm"), page), "csv": table, "tsv": table, "eml": mail, "rtf": rtf,
     "docx": docx, "pptx": pptx, "xlsx": xlsx, **dict.fromkeys("odt ods odp ott ots otp".split(), odf), "vsdx": vsdx, "vsdm": vsdx, "drawio": drawio, "dio": drawio,
     "epub": epub, "rst": rst, "adoc": adoc, "asciidoc": adoc, "tex": latex, "latex": latex,
+    **({"pdf": pdf} if pypdf else {}),
 }
 
 
@@ -336,7 +370,7 @@ def extract(kind: str, data: bytes, name: str) -> dict:
     """FIELDS of a file; a failure is success = False with its error, and the title falls back to the name without suffix."""
     stem = name.rpartition(".")[0] or name
     blank = dict.fromkeys(FIELDS[:6], "") | {"title": stem, "doc_type": kind}
-    if kind in NAME_ONLY:
+    if kind in NAME_ONLY and kind not in READERS:
         return blank | {"doc_type": "metadata", "success": True, "error": None}
     if kind not in READERS:
         return blank | {"success": False, "error": f"no reader for {kind}"}
@@ -346,3 +380,53 @@ def extract(kind: str, data: bytes, name: str) -> dict:
         return blank | {"success": False, "error": f"{type(e).__name__}: {e}"[:500]}
     text = got.get("text", "")
     return blank | got | {"text": text[:TEXT_CHARS], "snippet": text[:SNIPPET_CHARS], "success": bool(text), "error": None if text else "no text"}
+
+
+def blocks(raw: str) -> list[str]:
+    """Blocks of markup without scripts, styles and tags, white space collapsed."""
+    bare = re.sub(BLOCK_END, "\n", re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1>", "", raw))
+    found = (" ".join(line.split()) for line in html.unescape(re.sub(r"<[^>]+>", "", bare)).split("\n"))
+    return [block for block in found if block]
+
+
+def _lines(text: str) -> list[tuple[int, str, str]]:
+    return [(i, f"line {i}", line.strip()) for i, line in enumerate(text.splitlines(), 1) if line.strip()]
+
+
+def _sections(found: list[str]) -> list[tuple[int, str, str]]:
+    return [(i, f"section {i}", text) for i, text in enumerate(found, 1)]
+
+
+def _placed(label: str, groups: Iterable[list[str]]) -> list[tuple[int, str, str]]:
+    """Texts numbered through, each with the label and number of its group."""
+    flat = [(f"{label} {n}", text) for n, group in enumerate(groups, 1) for text in group]
+    return [(i, place, text) for i, (place, text) in enumerate(flat, 1)]
+
+
+def units(kind: str, data: bytes) -> list[tuple[int, str, str]]:
+    """(number, place, text) of a file's passages; kinds without a reader and damaged files have none.
+
+    Texts, mails and RTF have lines, whose numbers count blank ones; markup has blocks and office texts have paragraphs, as
+    sections; an e-book has blocks by chapter, and chapters without text are not counted; a pdf has paragraphs by page.
+    """
+    try:
+        if kind in PLAIN or kind in ("rst", "adoc", "asciidoc", "tex", "latex"):
+            return _lines(data.decode("utf-8", "replace"))
+        if kind in MARKUP or kind in ("html", "htm"):
+            return _sections(blocks(data.decode("utf-8", "replace")))
+        if kind in ("rtf", "eml"):
+            return _lines(READERS[kind](data)["text"])
+        if kind in ("odt", "ott"):
+            return _sections([x for line in odf(data)["text"].split("\n") if (x := line.strip())])
+        if kind == "docx":
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                return _sections([x for p in _docx_body(parse_xml(_member(z, "word/document.xml")))[0] if (x := p.strip())])
+        if kind == "epub":
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                return _placed("chapter", [found for name in _spine(z)[1] if (found := blocks(_member(z, name).decode("utf-8", "replace")))])
+        if kind == "pdf" and pypdf:
+            sheets = (sheet.extract_text() or "" for sheet in pypdf.PdfReader(io.BytesIO(data)).pages)
+            return _placed("p.", ([x for part in re.split(r"\n\s*\n", sheet) if (x := part.strip())] for sheet in sheets))
+    except Exception:  # a damaged file has no passages; its record tells the error
+        return []
+    return []

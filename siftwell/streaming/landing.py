@@ -6,7 +6,7 @@ sources.files.changed, which compares times.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.sources.files import EXTENSIONS, MOST_BYTES, extension, extracted
@@ -15,13 +15,18 @@ FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def landing(spark: SparkSession, root: str, extensions: list[str] | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of records of the files below root, of the extensions or without one; larger files than the limit stay out."""
-    stream = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    chosen = stream.where(F.col("length") <= MOST_BYTES).select(
-        path.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), extension(path).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content"
-    )
-    return extracted(chosen.where(F.col("ext").isin(extensions or EXTENSIONS) | (F.col("ext") == "")))
+    """A stream of records of the files below root, of the extensions or without one; the content of larger files than the limit is not read, and their records tell so."""
+
+    def files(size: Column, content: Column) -> DataFrame:
+        stream = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(root)
+        path = F.regexp_replace("path", "^file:/+", "/")
+        chosen = stream.where(size).select(
+            path.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), extension(path).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), content.alias("content")
+        )
+        return chosen.where(F.col("ext").isin(extensions or EXTENSIONS) | (F.col("ext") == ""))
+
+    length = F.col("length")
+    return extracted(files(length <= MOST_BYTES, F.col("content")).unionByName(files(length > MOST_BYTES, F.lit(None).cast("binary"))))
 
 
 def ingest_available(stream: DataFrame, store: str, checkpoint: str) -> int:

@@ -75,3 +75,34 @@ def test_units_and_markup(spark):
     assert rows(spark.createDataFrame(got)) == [(1, 1, 0, 3), (4, 1, 11, 14)]
     page = spark.createDataFrame([("<html><title>A &amp; B</title><script>x</script><!-- no --><p>Hi<br>you</p></html>",)], "h string")
     assert page.select(T.strip_markup(F.col("h")), T.markup_title(F.col("h"))).first() == ("A & B Hi you", "A & B")
+
+
+def test_entities(spark):
+    import html
+
+    texts = ["a &amp;lt; b", "&eacute;&#233;&#xE9;&#x1F600;", "&#128;&#150;", "&#0;&#xD800;&#x110000;", "&nosuch; & &;", "&NotEqualTilde;&apos;&nbsp;|", "no mark", "", "&lt", None, "&#x41;" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = [r[0] for r in docs.orderBy("i").select(T.unescape(F.col("t"))).collect()]
+    assert got == [t if t in (None, "&lt") else html.unescape(t) for t in texts]
+    assert spark.range(1).select(T.strip_markup(F.lit("<p>a&nbsp;&#8195;b&lt;i&gt;</p>"))).first()[0] == "a b<i>"
+
+
+def test_file_units(spark):
+    from test_sources import package
+
+    word = "<w:d xmlns:w='w'><w:p><w:t>one</w:t></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:t>cell</w:t></w:p></w:tc></w:tr></w:tbl><w:p><w:t>two words</w:t></w:p></w:d>"
+    spine = "<p><item id='a' href='a.html'/><item id='b' href='b%20c.html'/><item id='n' href='n.html'/><itemref idref='b'/><itemref idref='n'/><itemref idref='a'/></p>"
+    book = {"META-INF/container.xml": "<c><rootfile full-path='o/p.opf'/></c>", "o/p.opf": spine, "o/a.html": "<p>last</p>", "o/b c.html": "<h1>Head</h1><p>first &eacute;</p>", "o/n.html": "<p> </p>"}
+    files = [
+        (1, "docx", package(**{"word/document.xml": word})), (2, "epub", package(**book)), (3, "odt", package(**{"content.xml": "<o><h>Heading</h><p/><p>body</p></o>"})),
+        (4, "eml", b"Subject: s\nFrom: a@b\n\nhello\n\nbye"), (5, "rtf", rb"{\rtf1 up\par\par down}"), (6, "TXT", b"aa\n\n1\nbb"), (7, "xml", b"<r><item>in</item>out</r>"),
+        (8, "csv", b"aa,bb"), (9, "docx", b"PK damaged"), (10, "txt", None), (11, None, b"aa"), (12, "djvu", b"aa"), (13, "txt", b""),
+    ]
+    df = spark.createDataFrame([(*f, "extra") for f in files], "doc_id long, ext string, content binary, location string")
+    assert sorted(map(tuple, P.file_units(df).collect())) == [
+        (1, 1, "section 1", "one"), (1, 2, "section 2", "two words"), (2, 1, "chapter 1", "Head"), (2, 2, "chapter 1", "first é"), (2, 3, "chapter 2", "last"),
+        (3, 1, "section 1", "Heading"), (3, 2, "section 2", "body"), (4, 1, "line 1", "hello"), (4, 3, "line 3", "bye"), (5, 1, "line 1", "up"), (5, 3, "line 3", "down"),
+        (6, 1, "line 1", "aa"), (6, 4, "line 4", "bb"), (7, 1, "section 1", "in"), (7, 2, "section 2", "out"),
+    ]
+    assert P.file_units(df.limit(0)).count() == 0
+    assert rows(P.keyword_passages(P.file_units(df), "first").select("doc_id", "location", "sample")) == [(2, "chapter 1", "first é")]

@@ -84,3 +84,28 @@ def test_scan(spark, tmp_path):
     assert got == {"visible.txt": ("visible", "hello", True, 5), "b.md": ("b", "# b", True, 3)}
     assert S.records(spark, [root], fresh).where("name = 'plain'").first().doc_type == "txt"
     assert S.records(spark, [root, f"{root}/sub"], S.scannable(S.listing(spark, [root, f"{root}/sub"]))).where("name = 'b.md'").count() == 1
+
+
+def test_pdf_with_the_library(monkeypatch):
+    from types import SimpleNamespace as N
+
+    sheet = lambda t: N(extract_text=lambda: t)
+    book = N(pages=[sheet("one\n \ntwo"), sheet(None), sheet("three")], metadata={"/Title": "T", "/Author": "A"})
+    monkeypatch.setattr(E, "pypdf", N(PdfReader=lambda f: book))
+    monkeypatch.setitem(E.READERS, "pdf", E.pdf)
+    got = E.extract("pdf", b"%PDF-", "x.pdf")
+    assert (got["title"], got["author"], got["text"], got["doc_type"]) == ("T", "A", "one\n \ntwo\nthree", "pdf")
+    assert E.units("pdf", b"%PDF-") == [(1, "p. 1", "one"), (2, "p. 1", "two"), (3, "p. 3", "three")]
+
+
+def test_large_members(monkeypatch):
+    monkeypatch.setattr(E, "MEMBER_BYTES", 40)
+    inner = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = base64.b64encode(inner.compress(b"x" * 100) + inner.flush()).decode()
+    assert "too large" in E.extract("drawio", f"<f><diagram>{packed}</diagram></f>".encode(), "x")["error"]
+
+
+def test_type_and_blacklist(spark):
+    files = spark.createDataFrame([("/a/x.txt", "txt"), ("/a/y.bin", "bin"), ("/a/z", "")], "path string, ext string")
+    listed = spark.createDataFrame([("/a/x.txt",), ("/a/x.txt",)], "path string")
+    assert sorted(r["path"] for r in S.without_paths(files, listed).collect()) == ["/a/y.bin", "/a/z"]

@@ -45,3 +45,14 @@ def test_models(spark):
     made = M.embed_stale(docs, have, lambda texts: [[float(len(t))] for t in texts], "m")
     assert {r[0]: r[1] for r in M.merge_embeddings(have, made).select("doc_id", "embedding").collect()} == {1: [5.0], 2: [7.0], 3: [2.0]}
     assert {r[0]: r[1] for r in M.synopses(docs, lambda texts: [str(len(t)) for t in texts]).collect()} == {1: "kept", 2: "4000", 3: None}
+
+
+def test_landing_tells_of_large_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "MOST_BYTES", 4)
+    folder, store = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.txt").write_text("abc")
+    (folder / "b.txt").write_text("abcdef")
+    L.ingest_available(L.landing(spark, str(folder)), store, str(tmp_path / "check"))
+    got = {r["name"]: (r["success"], r["error"]) for r in L.stored(spark, store).collect()}
+    assert got == {"a.txt": (True, None), "b.txt": (False, "not readable or too large")}
