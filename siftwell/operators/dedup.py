@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from siftwell.store import shared_folder
 
-#: Pivots that deal vectors out: collected, so bounded, whatever the data.
-PIVOTS = 64
+#: Pivots that deal vectors out grow with the square root of their number, between these; they are collected.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
+#: Vectors of a cell that a task holds as residents, and as visitors.
+SLICE = 20_000
 
 
 def exact_duplicates(files: DataFrame, content: str = "content") -> DataFrame:
@@ -32,14 +35,18 @@ def duplicate_summary(groups: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("groups"), F.coalesce(F.sum("extra"), F.lit(0)).alias("redundant"), F.coalesce(F.sum(F.col("extra") * F.col("size")), F.lit(0)).alias("recoverable_bytes"))
 
 
-def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.97, pivots: int = PIVOTS) -> DataFrame:
+def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.97, pivots: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b, for every pair with cosine of threshold or more. vectors: id, embedding.
 
     Each vector lives in the cell of its nearest pivot and visits every cell where, by the triangle inequality on
     angles, one that lives there can be near enough; so every pair meets in the cell of its smaller id, once.
-    A cell multiplies its residents with its visitors in blocks. Zero vectors are near nothing.
+    The residents and the visitors of a cell are dealt to slices, and a task multiplies a slice of each in blocks.
+    Zero vectors are near nothing.
     """
-    chosen = vectors.where("embedding is not null").orderBy(F.xxhash64("id")).limit(pivots).collect()
+    given = vectors.where("embedding is not null")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(given.count())))
+    chosen = given.orderBy(F.xxhash64("id")).limit(pivots).collect()
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     p = unit(np.array([r["embedding"] for r in chosen], float)) if chosen else np.zeros((1, 1))
     reach = np.arccos(np.clip(threshold, -1, 1))
@@ -55,18 +62,25 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.97, pivots: in
                 yield pd.DataFrame({"cell": cell, "id": b["id"].to_numpy()[row], "home": home[row] == cell, "embedding": list(m[row])})
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, m, home = pdf["id"].to_numpy(), np.stack(pdf["embedding"]), pdf["home"].to_numpy()
+        ids, m = pdf["id"].to_numpy(), np.stack(pdf["embedding"])
         norm, out = np.linalg.norm(m, axis=1), []
-        own = np.flatnonzero(home)
+        own, seen = np.flatnonzero(pdf["lives"]), np.flatnonzero(pdf["visits"])
         for a in range(0, len(own), 500):
             block = own[a : a + 500]
-            sim = m[block] @ m.T / (norm[block, None] * norm)
-            i, j = np.nonzero((sim >= threshold) & (ids[block, None] < ids))
-            out.append(pd.DataFrame({"a": ids[block][i], "b": ids[j], "similarity": sim[i, j]}))
+            sim = m[block] @ m[seen].T / (norm[block, None] * norm[seen])
+            i, j = np.nonzero((sim >= threshold) & (ids[block, None] < ids[seen]))
+            out.append(pd.DataFrame({"a": ids[block][i], "b": ids[seen][j], "similarity": sim[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
 
     dealt = vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInPandas(deal, "cell long, id long, home boolean, embedding array<double>")
-    return dealt.groupBy("cell").applyInPandas(meet, "a long, b long, similarity double")
+    slices = lambda n: F.greatest(F.ceil(n / SLICE), F.lit(1)).cast("long")
+    sizes = dealt.groupBy("cell").agg(slices(F.sum(F.col("home").cast("long"))).alias("rs"), slices(F.count("*")).alias("vs"))
+    placed = dealt.join(F.broadcast(sizes), "cell").withColumns({"r0": F.pmod(F.xxhash64("id"), "rs"), "v0": F.pmod(F.xxhash64("id", F.lit(1)), "vs")})
+    # a resident goes to all slices of visitors, a visitor to all slices of residents; where both meet, it is one row
+    lives = F.expr("transform(if(home, sequence(0L, vs - 1), array()), v -> struct(r0 as r, v as v, true as lives, v = v0 as visits))")
+    visits = F.expr("transform(filter(sequence(0L, rs - 1), r -> not home or r != r0), r -> struct(r as r, v0 as v, false as lives, true as visits))")
+    met = placed.select("cell", "id", "embedding", F.inline(F.concat(lives, visits)))
+    return met.groupBy("cell", "r", "v").applyInPandas(meet, "a long, b long, similarity double")
 
 
 def _settled(df: DataFrame) -> DataFrame:

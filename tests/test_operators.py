@@ -106,3 +106,19 @@ def test_file_units(spark):
     ]
     assert P.file_units(df.limit(0)).count() == 0
     assert rows(P.keyword_passages(P.file_units(df), "first").select("doc_id", "location", "sample")) == [(2, "chapter 1", "first é")]
+
+
+def test_near_duplicates_in_slices(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(3, 8))[rng.integers(0, 3, 150)] + rng.normal(scale=0.15, size=(150, 8))
+    m[40:60] = m[40]  # copies
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if u[i] @ u[j] >= 0.97}
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
+    for size, pivots in ((7, 4), (7, 1), (20_000, None)):
+        monkeypatch.setattr(D, "SLICE", size)
+        got = [(r["a"], r["b"]) for r in D.near_duplicate_pairs(v, 0.97, pivots).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert D.near_duplicate_pairs(v.limit(0), 0.97).count() == 0
