@@ -56,7 +56,8 @@ def ngram_keys(data: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Packed n-grams that end at each byte from the order-th on."""
     keys = np.zeros(len(data) - order + 1, np.uint64)
     for i in range(order):
-        keys = keys << np.uint64(8) | data[i : len(data) - order + 1 + i]
+        keys <<= np.uint64(8)
+        keys |= data[i : len(data) - order + 1 + i]
     return keys
 
 
@@ -97,14 +98,16 @@ class Batch:
     def __init__(self, row: dict):
         self.sizes = np.array(row["sizes"], np.int64)
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
-        self.slot, self.grams = np.empty(0, np.int64), np.empty(0, np.uint64)
+        self.slot, self.grams = np.empty(0, np.int32), np.empty(0, np.uint64)
         if self.sizes.sum():
-            keys = ngram_keys(data)
             ends = np.cumsum(self.sizes + len(PAD))
-            across = np.zeros(len(keys) + 1, np.int64)  # n-grams that cross into the next stretch are left out
+            across = np.zeros(len(data) - ORDER + 2, np.int8)  # n-grams that cross into the next stretch are left out
             np.add.at(across, ends[:-1] - len(PAD), 1)
             np.add.at(across, ends[:-1], -1)
-            self.slot, self.grams = pd.factorize(keys[np.cumsum(across[:-1]) == 0])
+            keys = ngram_keys(data)
+            keys = keys[np.cumsum(across[:-1], dtype=np.int8) == 0]
+            slot, self.grams = pd.factorize(keys)
+            self.slot = slot.astype(np.int32)
         mixed = self.grams * MIX
         self.order = np.argsort(mixed)
         self.keys = mixed[self.order]
