@@ -44,7 +44,7 @@ PAD = b"\n" * (ORDER - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNMIX = np.uint64(pow(int(MIX), -1, 1 << 64))
 #: Log probabilities travel as whole steps of 1 / STEPS, which the sums of documents do not feel.
-STEPS = 1 << 14
+STEPS = 1 << 20
 #: Roles of rows: the model is trained on them, thresholds are taken from them, neither.
 TRAINED, APART, OTHER = 1, 2, 0
 
