@@ -6,6 +6,9 @@ missed with a chance of (1 - 0.8**ROWS)**BANDS, about 5 in a million. Candidates
 into groups; a group's sets are then compared exactly, and only those of similarity LEAST or more are linked.
 A group of more than BLOCK sets is dealt into blocks, and every two blocks meet in one task, so no task holds
 more than about two blocks and no pair of the group is left out.
+
+Texts are not shuffled to learn what becomes of them: verdicts on rows are written as a file for each stretch of
+consecutive rows, and whoever reads the rows reads the files of their stretches (marked()). Only the texts of groups travel, once.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise, release
+from siftwell.llm.common import commit_file, materialise, release, scratch, storage
 from siftwell.llm.simhash import components, fingerprint_many, links, shingle_hashes
 
 ROWS, BANDS = 6, 40
@@ -28,11 +32,63 @@ LEAST = (4, 5)
 BLOCK = 500
 #: A column of docs' own rows; their columns may have any other names.
 ROW = "__siftwell_row"
+#: What marked() adds: the marks of a row.
+MARK = "__siftwell_mark"
+#: A row's number without these last bits is its stretch, whose marks are one file.
+STRETCH_BITS = 16
 #: Shingles that are min-hashed at once.
 PIECE = 2048
 FACTORS = np.random.default_rng(42).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 
 
+def _read_marks(uri: str, stretch: int, schema: pa.Schema) -> pa.Table:
+    """The marks of a stretch, ascending by row; without a file it has none."""
+    fs, path = storage(f"{uri}/{stretch % 997:03d}/{stretch}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return schema.empty_table()
+    with fs.open_input_stream(path, compression=None) as f:
+        return pa.ipc.open_stream(f).read_all()
+
+
+def marked(rows: DataFrame, number: str, marks: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
+    """The rows that marks (row and other columns, all long and not null; no row twice) has, with its columns in the struct MARK.
+
+    rows is not shuffled; number is its column of row numbers. The marks are written below the shared folder before this returns.
+    """
+    spark = rows.sparkSession
+    uri, cols = scratch(spark, name, kept), marks.columns
+    schema = pa.schema([(c, pa.int64()) for c in cols])
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pa.Table.from_pandas(pdf[cols].sort_values("row"), schema, preserve_index=False)
+
+        def into(out) -> None:
+            with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(own)
+
+        commit_file(f"{uri}/{key[0] % 997:03d}/{key[0]}", into)
+        return pd.DataFrame({"n": [len(own)]})
+
+    marks.groupBy(F.shiftright("row", STRETCH_BITS).alias("__siftwell_stretch")).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held: dict[int, pa.Table] = {}
+        for b in batches:
+            own = b.to_numpy(zero_copy_only=False)
+            held = {s: held[s] if s in held else _read_marks(uri, s, schema) for s in np.unique(own >> STRETCH_BITS).tolist()}
+            every = pa.concat_tables(held.values()) if held else schema.empty_table()
+            known = every["row"].to_numpy()
+            at = np.searchsorted(known, own)
+            none = at == len(known)
+            none[~none] = known[at[~none]] != own[~none]
+            taken = every.take(pa.array(at, pa.int64(), mask=none))
+            yield pa.StructArray.from_arrays([c.combine_chunks() for c in taken.columns], cols, mask=pa.array(none))
+
+    # not deterministic, so that Spark does not call it once for the condition and again for the columns
+    udf = F.arrow_udf(find, ", ".join(f"{c} long" for c in cols)).asNondeterministic()
+    return rows.withColumn(MARK, udf(number)).where(F.col(MARK).isNotNull())
+
+
 def band_keys(found: np.ndarray) -> list[int]:
     """BANDS keys of a set of shingle hashes, signed; none of an empty set, which equals other empty sets only."""
     if not len(found):
@@ -109,12 +165,16 @@ def candidate_groups(heads: DataFrame, radius: int, kept: list[str] | None = Non
     return components(by_band.unionByName(same).unionByName(balls).where("a != b"), kept)
 
 
-def verified_links(texts: DataFrame, groups: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) long: links of sets of similarity LEAST or more, of texts (set_id, text) and groups (node, root)."""
-    pieces = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
-    members = groups.join(pieces, "root").select("root", "g", F.col("node").alias("set_id"), F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("i"))
-    meets = F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda j: j != F.col("i")))
-    dealt = members.select("root", "set_id", "i", F.explode(meets).alias("j")).select("root", "set_id", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+def dealt(groups: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(set_id, root, g, i) long: the sets of groups (node, root), and of how many blocks of the group each is in which."""
+    pieces = groups.groupBy("root").agg(F.ceil(F.count("*") / block).alias("g"))
+    return groups.join(pieces, "root").select(F.col("node").alias("set_id"), "root", "g", F.pmod(F.xxhash64("node"), F.col("g")).alias("i"))
+
+
+def verified_links(texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b) long: links of sets of similarity LEAST or more within groups, of texts (set_id, root, g, i, text): see dealt()."""
+    meets = F.when(F.col("g") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: j != F.col("i")))
+    blocks = texts.withColumn("j", F.explode(meets)).select("root", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "set_id", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["set_id"].to_numpy(np.int64)
@@ -122,7 +182,7 @@ def verified_links(texts: DataFrame, groups: DataFrame, shingle: int, block: int
         pairs = ids[np.array(found, np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.join(texts, "set_id").select("root", "x", "y", "set_id", "text").groupBy("root", "x", "y").applyInPandas(run, "a long, b long")
+    return blocks.groupBy("root", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 4, kept: list[str] | None = None, block: int = BLOCK) -> DataFrame:
@@ -131,16 +191,19 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 4, kept:
     Null, empty and wordless texts equal each other and nothing else. An empty table gives no rows; texts of any length count whole.
     """
     given = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", kept)
+    spark, early = docs.sparkSession, []  # early: deleted when the heads are written
     inner: list[str] = []  # deleted once it is known which rows stay
     rows = given.select(F.col(ROW).alias("row"), "doc_id", "text")
-    found = materialise(sketches(rows, shingle), "sketches", inner)
+    found = materialise(sketches(rows, shingle), "sketches", early)
     classes = materialise(found.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "classes", inner)
-    heads = materialise(found.join(classes.select(F.col("least.row").alias("row")), "row", "left_semi"), "heads", inner)
+    heads = materialise(marked(found, "row", classes.select("least.row"), "head-marks", early).drop(MARK), "heads", inner)
+    release(spark, early)
     groups = materialise(candidate_groups(heads.where("size(bands) > 0"), radius, inner), "groups", inner)
-    chosen = groups.select(F.col("node").alias("set_id")).join(heads.select("set_id", "row"), "set_id")
-    texts = materialise(rows.select("row", "text").join(chosen, "row").select("set_id", "text"), "texts", inner)
-    linked = components(verified_links(texts, groups, shingle, block), inner)
+    chosen = dealt(groups, block).join(heads.select("set_id", "row"), "set_id").select("row", "set_id", "root", "g", "i")
+    texts = marked(rows.select("row", "text"), "row", chosen, "group-marks", inner).select(f"{MARK}.set_id", f"{MARK}.root", f"{MARK}.g", f"{MARK}.i", "text")
+    linked = components(verified_links(texts, shingle), inner)
     rooted = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left")
-    stay = materialise(rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("least").alias("least")).select("least.row"), "stay", kept)
-    release(docs.sparkSession, inner)
-    return given.join(stay.withColumnRenamed("row", ROW), ROW, "left_semi").select(*docs.columns)
+    stay = rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("least").alias("least")).select("least.row")
+    thinned = marked(given, ROW, stay, "stay", kept).select(*docs.columns)
+    release(spark, inner)
+    return thinned

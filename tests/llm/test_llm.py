@@ -7,6 +7,7 @@ import brute
 import numpy as np
 import pytest
 from oracle import SF, same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwell.llm import automaton, decontam, exchange, licenses, mixing, nearcopies, pii, quality, queries, records, rules, simhash, warc
@@ -473,6 +474,42 @@ def test_license_scan_finds_every_repeat():
     assert [x[0] for x in licenses.scan("Licensed under CC BY 4.0, x. " * 7, index)] == ["cc-by-4.0-notice"] * 7
 
 
+def shuffled_bytes(spark):
+    """Bytes that the stages of this session have shuffled so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_dedup_stage_shuffles_texts_of_groups_only(spark):
+    """No broadcast helps: texts without near copies stay where they are, those with one travel once."""
+    draw = random.Random(5)
+    texts = [" ".join(f"{draw.getrandbits(64):016x}" for _ in range(600)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:10]]
+    d = docs_of(spark, list(enumerate(texts)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled_bytes(spark)
+        got = corpus_pipeline.dedup_stage(spark, d, SF)
+        assert sorted(r["doc_id"] for r in got.collect()) == list(range(300))
+        # 20 texts of groups, and of each row less than 3 000 bytes of keys, fingerprints and verdicts
+        assert shuffled_bytes(spark) - before < 20 * len(texts[0]) + 3000 * len(texts) < sum(map(len, texts)) / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_marked_rows_equal_a_join(spark):
+    """Marks in several stretches, in a few rows of one, and in none; rows in any order and number."""
+    far = spark.range(200_000).select((F.col("id") * 3 + F.when(F.col("id") % 7 == 0, 1 << 34).otherwise(0)).alias("n"), F.col("id").cast("string").alias("text"))
+    d = far.repartition(5).unionByName(far.where("n < 30")).unionByName(spark.createDataFrame([(1 << 40, "no stretch")], "n long, text string"))
+    marks = far.where("n % 5 = 0 or n = 3").select(F.col("n").alias("row"), (-F.col("n")).alias("x")).unionByName(spark.createDataFrame([(1 << 41, (1 << 62) + 1)], "row long, x long"))
+    got = nearcopies.marked(d, "n", marks, "marks").select("n", "text", f"{nearcopies.MARK}.x")
+    want = d.join(marks, F.col("n") == F.col("row")).select("n", "text", "x")
+    assert want.count() > 40_000 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert nearcopies.marked(d, "n", marks.where("false"), "marks").isEmpty() and nearcopies.marked(d.where("false"), "n", marks, "marks").isEmpty()
+
+
 def test_dedup_stage_repeated_and_null_ids(spark):
     long = " ".join(map(str, range(60)))
     given = [(4, long), (4, long), (4, "another text of its own"), (None, long), (None, "no id at all"), (None, "no id at all"), (9, None), (None, "")]
