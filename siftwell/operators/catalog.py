@@ -23,6 +23,11 @@ def stats(documents: DataFrame, tags: DataFrame, embeddings: DataFrame) -> DataF
     return one.join(F.broadcast(two)).join(F.broadcast(three))  # a row each
 
 
+def cache_key(rows: DataFrame, updated: str = "updated_at") -> DataFrame:
+    """(last, n): one row, the newest update and the number of rows; what was made from rows is out of date when either has changed."""
+    return rows.agg(F.max(updated).alias("last"), F.count("*").alias("n"))
+
+
 def tag_cloud(tags: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.lower("tag"), "tag").limit(most)
 

@@ -110,9 +110,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("l").alias("component"))
 
 
+def _classes(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, rep), representatives (rep, copies, near) of equal vectors, and similar pairs (a, b, similarity) of those, each settled."""
+    given = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
+    reps = _settled(given.groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("near", F.exists("embedding", lambda x: x != 0)))
+    rows = _settled(given.join(reps.select("embedding", "rep"), "embedding").select("id", "rep"))
+    pairs = _settled(near_duplicate_pairs(reps.select(F.col("rep").alias("id"), "embedding"), threshold))
+    return rows, reps.drop("embedding"), pairs
+
+
+def near_duplicate_classes(vectors: DataFrame, threshold: float = 0.97) -> DataFrame:
+    """(id, class_id, links) for each vector: the smallest id reachable over links, and to how many rows a vector is linked.
+
+    Equal vectors are one throughout, so copies cost a row each and no pairs. Zero vectors are linked with nothing, equal ones included; null ones are left
+    out. Repeated ids are rows of their own.
+    """
+    rows, reps, pairs = _classes(vectors, threshold)
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    to = ends.join(reps.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    told = reps.join(to, "rep", "left").join(components(pairs).withColumnRenamed("node", "rep"), "rep", "left")
+    told = told.select("rep", "near", F.coalesce("component", "rep").alias("class_id"), F.when(F.col("near"), F.col("copies") - 1 + F.coalesce("others", F.lit(0))).otherwise(0).alias("links"))
+    return rows.join(told, "rep").select("id", F.when(F.col("near"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), "links")
+
+
 def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.97) -> DataFrame:
-    """(group_id, id, similarity): groups of vectors that pairs connect; similarity is the group's largest."""
-    pairs = _settled(near_duplicate_pairs(vectors, threshold))
-    nodes = components(pairs)
-    best = pairs.join(nodes, F.col("a") == F.col("node")).groupBy("component").agg(F.max("similarity").alias("similarity"))
-    return nodes.join(best, "component").select(F.col("component").alias("group_id"), F.col("node").alias("id"), "similarity")
+    """(group_id, id, similarity): groups of vectors that links connect; similarity is the group's largest, 1 where it has copies."""
+    rows, reps, pairs = _classes(vectors, threshold)
+    known = reps.where("near").join(components(pairs).withColumnRenamed("node", "rep"), "rep", "left").withColumn("group_id", F.coalesce("component", "rep"))
+    near = pairs.groupBy(F.col("a").alias("rep")).agg(F.max("similarity").alias("s"))
+    best = known.join(near, "rep", "left").groupBy("group_id").agg(F.max(F.greatest("s", F.when(F.col("copies") > 1, 1.0))).alias("similarity")).where("similarity is not null")
+    return rows.join(known.select("rep", "group_id"), "rep").join(best, "group_id").select("group_id", "id", "similarity")
+
+
+def document_duplicates(documents: DataFrame, vectors: DataFrame, threshold: float = 0.97, model: str | None = None) -> DataFrame:
+    """The columns of documents (doc_id and others) with class_id and links, of those that have a vector (doc_id, embedding, and model if that is asked for) and are linked."""
+    chosen = vectors if model is None else vectors.where(F.col("model") == model)
+    owned = documents.select("doc_id").join(chosen.select("doc_id", "embedding"), "doc_id").select(F.col("doc_id").alias("id"), "embedding")
+    found = near_duplicate_classes(owned, threshold).where("links > 0").withColumnRenamed("id", "doc_id")
+    return documents.join(found, "doc_id")

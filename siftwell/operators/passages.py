@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,12 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import BLOCK_END, CJK, SPACES, segment_text, unescape
-from siftwell.operators.search import cosine
+from siftwell.operators.search import cosine, strip_stopwords
 from siftwell.sources.extractors import units
 
 # Formats whose text is not prose, and the most passages of a document.
 NON_PROSE = ("xlsx", "ods", "ots", "csv", "tsv", "pptx", "odp", "otp", "vsdx", "vsdm", "vsd", "vss", "vst", "vdx", "drawio", "dio", "svg")
-MOST_PASSAGES, SEMANTIC_UNITS, SEMANTIC_FLOOR, RADIUS = 200, 300, 0.5, 5
+MOST_PASSAGES, SEMANTIC_UNITS, SEMANTIC_FLOOR, RADIUS, FIRST_WORDS = 200, 300, 0.5, 5, 12
 
 
 def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,17 +69,24 @@ def match_pattern(query: str) -> str | None:
     return "(?iU)(?:" + "|".join(found) + ")" if found else None
 
 
-def keyword_passages(units: DataFrame, query: str, most: int = MOST_PASSAGES) -> DataFrame:
-    """(doc_id, unit_no, location, score, match_start, match_end, sample, rank, truncated): matches by count, then in document order; truncated tells that a document has more than most."""
-    pattern = match_pattern(query)
-    if pattern is None:
-        pattern = "(?!)"
-    found = units.withColumn("score", F.regexp_count("text", F.lit(pattern))).where("score > 0")
-    hit, start = F.regexp_substr("text", F.lit(pattern)), F.regexp_instr("text", F.lit(pattern)) - 1
+def _mark(found: DataFrame, query: str) -> DataFrame:
+    """found with score, the query's matches in text, and the first one's hit, match_start and match_end (null without one)."""
+    pattern = F.lit(match_pattern(query) or "(?!)")
+    start, hit = F.regexp_instr("text", pattern), F.regexp_substr("text", pattern)
+    marked = found.withColumns({"score": F.regexp_count("text", pattern), "hit": hit, "match_start": F.when(start > 0, start - 1)})
+    return marked.withColumn("match_end", F.col("match_start") + F.length("hit"))
+
+
+def _sample() -> Column:
+    """Words around hit in text."""
     words = lambda c: F.filter(F.split(c, " +"), lambda x: x != "")
     before, after = words(F.substring("text", F.lit(1), F.col("match_start"))), words(F.substring("text", F.col("match_end") + 1, F.length("text")))
-    sample = F.array_join(F.concat(F.slice(before, F.greatest(F.size(before) - RADIUS + 1, F.lit(1)), F.lit(RADIUS)), F.array("hit"), F.slice(after, 1, RADIUS)), " ")
-    found = found.withColumns({"match_start": start, "hit": hit}).withColumn("match_end", F.col("match_start") + F.length("hit")).withColumn("sample", sample)
+    return F.array_join(F.concat(F.slice(before, F.greatest(F.size(before) - RADIUS + 1, F.lit(1)), F.lit(RADIUS)), F.array("hit"), F.slice(after, 1, RADIUS)), " ")
+
+
+def keyword_passages(units: DataFrame, query: str, most: int = MOST_PASSAGES) -> DataFrame:
+    """(doc_id, unit_no, location, score, match_start, match_end, sample, rank, truncated): matches by count, then in document order; truncated tells that a document has more than most."""
+    found = _mark(units, query).where("score > 0").withColumn("sample", _sample())
     return _ranked(found, most).select("doc_id", "unit_no", "location", "score", "match_start", "match_end", "sample", "rank", "truncated")
 
 
@@ -89,11 +96,47 @@ def _ranked(found: DataFrame, most: int) -> DataFrame:
     return ranked.where(F.col("rank") <= most)
 
 
-def semantic_passages(units: DataFrame, query: list[float], most: int = MOST_PASSAGES, floor: float = SEMANTIC_FLOOR) -> DataFrame:
-    """units (doc_id, unit_no, location, embedding): the first 300 of a document by cosine, from floor up."""
-    first = units.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("unit_no"))).where(F.col("_n") <= SEMANTIC_UNITS)
-    scored = first.withColumn("score", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))).where(F.col("score") >= floor)
-    return _ranked(scored, most).select("doc_id", "unit_no", "location", "score", "rank", "truncated")
+def first_units(units: DataFrame, most: int = SEMANTIC_UNITS) -> DataFrame:
+    """The first units of each document, which alone are embedded, with more: whether the document has others."""
+    each = W.partitionBy("doc_id")
+    numbered = units.withColumns({"_n": F.row_number().over(each.orderBy("unit_no")), "more": F.count("*").over(each) > most})
+    return numbered.where(F.col("_n") <= most).drop("_n")
+
+
+def embed_units(units: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """units (doc_id, unit_no, location, text, and more from first_units()) with embedding, by embed for lists of texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for a in range(0, len(frame), batch):
+                part = frame.iloc[a : a + batch]
+                yield part.assign(embedding=embed(part["text"].tolist()))
+
+    return units.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in units.dtypes) + ", embedding array<double>")
+
+
+def semantic_passages(units: DataFrame, query: list[float], words: str = "", most: int = MOST_PASSAGES, floor: float = SEMANTIC_FLOOR) -> DataFrame:
+    """(doc_id, unit_no, location, score, match_start, match_end, sample, rank, truncated) of units (doc_id, unit_no, location, text, embedding): the first 300 of a document by cosine with query, from floor up.
+
+    The mark is that of the first match of words, with words around it as sample; without a match it is empty (0, 0) and the sample is the first words. truncated tells
+    that a document has over 300 units or over most results. Units that first_units() has cut tell by more whether there were others.
+    """
+    first = units if "more" in units.columns else first_units(units)
+    scored = first.withColumn("_score", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))).where(F.col("_score") >= floor)
+    head = F.array_join(F.slice(F.filter(F.split("text", SPACES), lambda x: x != ""), 1, FIRST_WORDS), " ")
+    told = _mark(scored, words).withColumn("score", F.col("_score")).withColumn("sample", F.when(F.col("match_start").isNull(), head).otherwise(_sample()))
+    told = told.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("match_start", "match_end")})
+    return _ranked(told, most).withColumn("truncated", F.col("truncated") | F.col("more")).select("doc_id", "unit_no", "location", "score", "match_start", "match_end", "sample", "rank", "truncated")
+
+
+def passages(units: DataFrame, query: str, mode: str = "keyword", embed: Callable[[list[str]], list[list[float]]] | None = None, most: int = MOST_PASSAGES) -> DataFrame:
+    """Passages of units (see line_units() and others) in a mode, keyword or semantic; the latter embeds the query without stop words, and the first units, by embed."""
+    if mode == "keyword":
+        return keyword_passages(units, query, most)
+    if mode != "semantic" or embed is None:
+        raise ValueError("mode is keyword, or semantic with an embedder")
+    vector = embed([strip_stopwords(query)])[0]
+    return semantic_passages(embed_units(first_units(units.select("doc_id", "unit_no", "location", "text")), embed), vector, query, most)
 
 
 def is_prose(ext: Column) -> Column:

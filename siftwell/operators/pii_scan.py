@@ -64,3 +64,17 @@ def scan_pii(documents: DataFrame, text_col: str = "text") -> DataFrame:
 def purge_pii(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """documents without those that have personal data."""
     return documents.where(F.coalesce(F.size(pii_hits(F.col(text_col))), F.lit(0)) <= 0)
+
+
+def purge_listed(documents: DataFrame, blacklist: DataFrame, columns: tuple[str, ...] = ("description", "content_snippet")) -> tuple[DataFrame, DataFrame]:
+    """What a purge leaves of documents (path and others), and the blacklist (path, reason) after it.
+
+    The columns' texts are joined by a space and scanned, null ones left out. Documents with personal data go, and so do those whose path the blacklist has already: it
+    is permanent. A path comes on it once, with the names of the patterns, repeated as often as they were found; rows without a path go but are not listed.
+    """
+    hits = pii_hits(F.concat_ws(" ", *columns))
+    known = blacklist.select("path").distinct()
+    named = documents.withColumn("_names", F.array_join(F.transform(hits, lambda x: x["name"]), ", "))
+    left = named.where("_names = ''").drop("_names").join(known, "path", "left_anti")
+    fresh = named.where("_names != '' and path is not null").groupBy("path").agg(F.min("_names").alias("reason")).join(known, "path", "left_anti")
+    return left, blacklist.select("path", "reason").unionByName(fresh.select("path", "reason"))

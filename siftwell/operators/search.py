@@ -1,8 +1,8 @@
 """Browse, keyword (BM25), semantic and hybrid search over a catalog of documents.
 
 A catalog has doc_id, name, title, content, tags (array) and path; see plans.catalog(). Keyword search reads postings, a row
-for each token of a column, sorted by term: written once as an index, a query reads the row groups of its own terms alone. Without an
-index the postings are made in the plan, where the filter on terms is applied before anything is shuffled.
+for each token of a column: written once as an index, in folders by how terms begin and sorted by term, a query opens the folders of its own
+terms alone and reads their row groups. Without an index the postings are made in the plan, where the filter on terms is applied before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import EN_STOPWORDS, fold_text, korean_letter, segment_text, tokens
+from siftwell.store import plan_bytes
 
 # Column weights and BM25 parameters.
 WEIGHTS = {"name": 6.0, "title": 8.0, "author": 7.0, "subject": 5.0, "description": 3.0, "content": 3.0, "tags": 4.0}
@@ -22,6 +23,8 @@ K1, B = 1.2, 0.75
 KEYWORD_FLOOR, SEMANTIC_FLOOR = 0.01, 0.30
 #: Slices of documents that the postings of one term are dealt by.
 SLICES = 64
+#: An index has a folder of postings for so many bytes of the tables it is made of, up to as many folders; a term's is told by its first two letters.
+HEAD_BYTES, MOST_HEADS = 1 << 28, 4096
 
 
 def parse_query(query: str) -> list[tuple[list[str], bool]]:
@@ -55,34 +58,56 @@ def postings(catalog: DataFrame) -> DataFrame:
     return rows.select("x.term", "doc_id", "x.col", "x.weight", "x.pos", "len")
 
 
+def length_of(catalog: DataFrame) -> Column:
+    """A document's number of tokens."""
+    cols = [c for c in WEIGHTS if c in catalog.columns]
+    return sum((F.size(tokens(F.array_join("tags", " ") if c == "tags" else F.col(c))) for c in cols), F.lit(0))
+
+
 def lengths(catalog: DataFrame) -> DataFrame:
     """(N, avgdl): one row, the number of documents and their mean length in tokens."""
-    cols = [c for c in WEIGHTS if c in catalog.columns]
-    size = sum((F.size(tokens(F.array_join("tags", " ") if c == "tags" else F.col(c))) for c in cols), F.lit(0))
-    return catalog.select(size.alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
+    return catalog.select(length_of(catalog).alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
 
 
 @dataclass
 class Index:
-    """Postings and lengths of a catalog, written (read_index) or in the plan."""
+    """Postings and lengths of a catalog, written (read_index) or in the plan; heads: folders of written postings, their column head."""
 
     postings: DataFrame
     lengths: DataFrame
+    heads: int = 0
+
+
+def head_of(term: Column, heads: int | Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(heads)).cast("int")
+
+
+def heads_for(catalog: DataFrame) -> int:
+    return int(min(MOST_HEADS, 1 + plan_bytes(catalog) // HEAD_BYTES))
+
+
+def write_postings(rows: DataFrame, uri: str, heads: int, mode: str = "errorifexists") -> None:
+    """Write postings, dealt by head and a slice of the documents, so that a frequent term is SLICES files' matter, and sorted by term."""
+    dealt = rows.withColumn("head", head_of(F.col("term"), heads)).repartition("head", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)))
+    dealt.sortWithinPartitions("head", "term", "doc_id", "col", "pos").write.mode(mode).partitionBy("head").parquet(uri)
 
 
 def write_index(catalog: DataFrame, uri: str) -> Index:
-    """Write the index of a catalog: postings dealt by term and a slice of the documents, so a frequent term is SLICES files' matter, and sorted by term."""
-    postings(catalog).repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))).sortWithinPartitions("term", "doc_id", "col", "pos").write.parquet(f"{uri}/postings")
-    lengths(catalog).write.parquet(f"{uri}/lengths")
+    """Write the index of a catalog."""
+    heads = heads_for(catalog)
+    write_postings(postings(catalog), f"{uri}/postings", heads)
+    lengths(catalog).withColumn("heads", F.lit(heads)).write.parquet(f"{uri}/lengths")
     return read_index(catalog.sparkSession, uri)
 
 
 def read_index(spark: SparkSession, uri: str) -> Index:
-    return Index(spark.read.parquet(f"{uri}/postings"), spark.read.parquet(f"{uri}/lengths"))
+    lengths = spark.read.parquet(f"{uri}/lengths")
+    return Index(spark.read.parquet(f"{uri}/postings"), lengths.select("N", "avgdl"), lengths.first()["heads"])
 
 
-def _is(word: str, prefix: bool) -> Column:
-    return F.col("term").startswith(word) if prefix else F.col("term") == word
+def _is(word: str, prefix: bool, heads: int) -> Column:
+    test = F.col("term").startswith(word) if prefix else F.col("term") == word
+    return test & (F.col("head") == head_of(F.lit(word), heads)) if heads and (len(word) > 1 or not prefix) else test
 
 
 def keyword_scores(source: DataFrame | Index, query: str) -> DataFrame:
@@ -98,9 +123,9 @@ def keyword_scores(source: DataFrame | Index, query: str) -> DataFrame:
     for i, (ws, prefix) in enumerate(terms):
         last = len(ws) - 1
         if not last:
-            hits = index.postings.where(_is(ws[0], prefix)).select("doc_id", "len", "weight")
+            hits = index.postings.where(_is(ws[0], prefix, index.heads)).select("doc_id", "len", "weight")
         else:
-            own = [(_is(w, prefix and j == last), j) for j, w in enumerate(ws)]
+            own = [(_is(w, prefix and j == last, index.heads), j) for j, w in enumerate(ws)]
             any_of = own[0][0]
             for test, _ in own[1:]:
                 any_of = any_of | test

@@ -14,7 +14,7 @@ from siftwell.operators import passages as P
 from siftwell.operators import pii_scan as I
 from siftwell.operators import scans as N
 from siftwell.operators import search as S
-from siftwell.store import shared_folder
+from siftwell.store import files_key, shared_folder
 
 MODEL = "model-a"
 
@@ -46,15 +46,15 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return vectors(spark, sf_dir).where("doc_id = 7").first()["embedding"]
 
 
-_indexes: dict[tuple[str, str], S.Index] = {}
+_indexes: dict[tuple[str, str], tuple[str, S.Index]] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
-    """The search index of the catalog, written to the shared folder once for an application."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _indexes:
-        _indexes[key] = S.write_index(catalog(spark, sf_dir), shared_folder(spark, "index"))
-    return _indexes[key]
+    """The search index of the catalog, written to the shared folder for an application, and again whenever the table's files have changed."""
+    at, now = (spark.sparkContext.applicationId, sf_dir), files_key(spark, f"{sf_dir}/documents.parquet")
+    if at not in _indexes or _indexes[at][0] != now:
+        _indexes[at] = now, S.write_index(catalog(spark, sf_dir), shared_folder(spark, "index"))
+    return _indexes[at][1]
 
 
 def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +191,10 @@ def passages_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("doc_id"), F.col("vec_id").alias("unit_no"), F.concat(F.lit("section "), F.col("vec_id").cast("string")).alias("location"), "embedding")
-    return P.semantic_passages(units, _query_vector(spark, sf_dir), floor=0.1).withColumn("score", F.round("score", 6))
+    """Vectors as units of three documents, most of them of one; their texts are titles."""
+    v, c = table(spark, sf_dir, "embeddings"), catalog(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), F.coalesce("title", F.lit("")).alias("text"))
+    units = v.join(c, "vec_id").select(F.greatest(F.col("vec_id") % 10 - 7, F.lit(0)).alias("doc_id"), F.col("vec_id").alias("unit_no"), F.concat(F.lit("section "), F.col("vec_id").cast("string")).alias("location"), "text", "embedding")
+    return P.semantic_passages(units, _query_vector(spark, sf_dir), "the que und", floor=0.1).withColumn("score", F.round("score", 6))
 
 
 def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -512,8 +514,14 @@ ORACLE_SQL: dict[str, str] = {
     e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS n, a AS l FROM e UNION SELECT e.b, r.l FROM r JOIN e ON r.n = e.a),
     g AS (SELECT n AS id, min(l) AS group_id FROM r GROUP BY n)
     SELECT group_id, id, round(max(s) OVER (PARTITION BY group_id), 6) AS similarity FROM (SELECT g.group_id, g.id, max(p.s) AS s FROM g LEFT JOIN p ON p.a = g.id OR p.b = g.id GROUP BY ALL)""",
-    "passages_semantic": f"""WITH {COSINE_SQL}, u AS (SELECT doc_id % 10 AS doc_id, doc_id AS unit_no, 'section ' || doc_id AS location, sem, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS k FROM v)
-    SELECT * FROM (SELECT doc_id, unit_no, location, round(sem, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY sem DESC, unit_no) AS rank, count(*) OVER (PARTITION BY doc_id) > 200 AS truncated FROM u WHERE k <= 300 AND sem >= 0.1) WHERE rank <= 200""",
+    "passages_semantic": rf"""WITH {COSINE_SQL}, {CATALOG_SQL}, u AS (SELECT greatest(v.doc_id % 10 - 7, 0) AS doc_id, v.doc_id AS unit_no, 'section ' || v.doc_id AS location, sem, coalesce(title, '') AS text FROM v JOIN c ON c.doc_id = v.doc_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS k, count(*) OVER (PARTITION BY doc_id) > 300 AS more,
+      regexp_extract(' ' || text || ' ', '(?is)^(.*?[^\p{{L}}\p{{N}}\p{{M}}_])(?:the|que|und)[^\p{{L}}\p{{N}}\p{{M}}_]', 1) AS before, regexp_extract(' ' || text || ' ', '(?is)^.*?[^\p{{L}}\p{{N}}\p{{M}}_](the|que|und)[^\p{{L}}\p{{N}}\p{{M}}_]', 1) AS hit FROM u),
+    p AS (SELECT *, CASE WHEN hit = '' THEN 0 ELSE length(before) - 1 END AS match_start, CASE WHEN hit = '' THEN 0 ELSE length(before) - 1 + length(hit) END AS match_end FROM k WHERE k <= 300 AND sem >= 0.1),
+    w AS (SELECT *, list_filter(string_split_regex(substr(text, 1, match_start), ' +'), lambda x: x <> '') AS l, list_filter(string_split_regex(substr(text, match_end + 1), ' +'), lambda x: x <> '') AS r FROM p)
+    SELECT * FROM (SELECT doc_id, unit_no, location, round(sem, 6) AS score, match_start, match_end,
+      CASE WHEN hit = '' THEN array_to_string(list_filter(string_split_regex(text, '{T.SPACES}'), lambda x: x <> '')[1:12], ' ') ELSE array_to_string(list_concat(l[greatest(len(l) - 4, 1):], [hit], r[:5]), ' ') END AS sample,
+      row_number() OVER (PARTITION BY doc_id ORDER BY sem DESC, unit_no) AS rank, more OR count(*) OVER (PARTITION BY doc_id) > 200 AS truncated FROM w) WHERE rank <= 200""",
     "markup_text": f"SELECT page_id, {_strip_sql('html')} AS text FROM pages",
     "markup_title": "SELECT page_id, nullif(substr(" + _strip_sql("regexp_extract(html, '(?is)<(?:title|dc:title|h1)\\b[^>]*>(.*?)</(?:title|dc:title|h1)>', 1)") + ", 1, 200), '') AS title FROM pages",
     "scan_delta": """WITH m AS (SELECT epoch_us(min(ts)) + epoch_us(max(ts)) AS m FROM events), b AS (SELECT '/u/' || user_id AS path, epoch_us(ts) AS mtime, 2 * epoch_us(ts) < m AS old FROM events, m)

@@ -1,7 +1,7 @@
 import pytest
 from oracle import SF, same
 
-from siftwell.plans.queries import ORACLE_SQL, QUERIES
+from siftwell.plans.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
