@@ -33,7 +33,7 @@ CACHE_BYTES, LONG = 160_000_000, 200
 #: About what a piece costs besides its characters and ids.
 ENTRY_BYTES = 120
 #: Bytes of input that a shard is made from, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 256 << 20
 BLOCK = 512
 
 
@@ -197,7 +197,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int, i
     """Write docs' token ids below uri in ascending id order; returns the manifest: a dict for each shard.
 
     Every text, whole, is followed by end_id; null and empty texts have that id alone. Null ids come first,
-    equal ids stand by their texts, repeated rows are written as often as they occur. An empty table gives an
+    equal ids stand by a hash of their texts and then as they came, so rows of one id are dealt to several shards; repeated rows are written as often as they occur. An empty table gives an
     empty manifest. Other columns are not read. One task writes one shard and moves it into place whole, so
     repeated attempts do no harm.
     """
@@ -206,7 +206,9 @@ def write_records(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int, i
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     end = np.array([end_id], f"<u{width}").tobytes()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards or parts(rows, SHARD_BYTES), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "tie"]
+    ranged = rows.withColumns({"hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id()}).repartitionByRange(shards or parts(rows, SHARD_BYTES), *order)
+    rows = ranged.sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, index, shard = encoder(tokenizer_path, width), [], TaskContext.get().partitionId()
