@@ -31,8 +31,9 @@ from siftwell.llm.common import materialise, words
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at once, and variants that are sorted at once.
 CHUNK, PIECE = 400_000, 2_000_000
-#: Fingerprints of one prefix in one task, at most, and the bits by which a hotter one is dealt again.
-HOT, DEAL_BITS = 50_000, 4
+#: Fingerprints of one prefix in one task, at most, and the bits by which a hotter one is dealt again. DEALT bits are enough: within two bits of as many there are fewer
+#: than HOT fingerprints.
+HOT, DEAL_BITS, DEALT = 50_000, 4, 60
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -168,7 +169,7 @@ def links(distinct: DataFrame, radius: int = 4, kept: list[str] | None = None, h
     done = None
     while True:
         hot = materialise(spread.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > hot_at).select("prefix"), "hot-prefixes", kept)
-        some = k + DEAL_BITS <= 40 and not hot.isEmpty()
+        some = k + DEAL_BITS <= DEALT and not hot.isEmpty()
         cold = spread.join(hot, "prefix", "left_anti") if some else spread
         done = cold if done is None else done.unionByName(cold)
         if not some:
