@@ -4,8 +4,8 @@ Texts with one set of shingles are one set throughout. Two sets are candidates i
 within the radius or one of BANDS keys, each of ROWS min-hashes, is the same: a pair of Jaccard similarity 0.8 is
 missed with a chance of (1 - 0.8**ROWS)**BANDS, about 5 in a million. Candidates are joined by star links, never all pairs,
 into groups; a group's sets are then compared exactly, and only those of similarity LEAST or more are linked.
-A group of more than BLOCK sets is dealt into blocks, and every two blocks meet in one task, so no task holds
-more than about two blocks and no pair of the group is left out.
+A group of more than BLOCK sets is dealt into blocks, and what stays apart there is compared across them (grouping), so no task holds
+more than about two blocks and no link of the group is left out.
 
 Texts are not shuffled to learn what becomes of them: verdicts on rows are written as a file for each stretch of
 consecutive rows, and whoever reads the rows reads the files of their stretches (marked()). Only the texts of groups travel, once.
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import commit_file, materialise, release, scratch, storage
+from siftwell.llm.grouping import jaccard, similar_links
 from siftwell.llm.simhash import components, fingerprint_many, links, shingle_hashes
 
 ROWS, BANDS = 6, 40
@@ -117,42 +118,6 @@ def sketches(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, set_id long, fp long, bands array<long>")
 
 
-def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(later, earlier) index pairs that connect what pairs of similarity LEAST or more connect.
-
-    A breadth-first search: a set reached is compared with those not reached yet, so a group that its first set
-    is similar to takes one pass.
-    """
-    p, q = LEAST
-    if not sets:
-        return []
-    sizes = np.array([len(s) for s in sets], np.int64)
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.cumsum(sizes) - sizes
-    own = [codes[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    mask = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
-    left = np.flatnonzero(sizes)
-    out, queue = [], []
-    flat = codes
-    while len(left):
-        if not queue:
-            queue.append(int(left[0]))
-            flat, left = flat[sizes[left[0]] :], left[1:]
-            continue
-        i = queue.pop()
-        mask[own[i]] = True
-        n = sizes[left]
-        shared = np.add.reduceat(mask[flat], np.cumsum(n) - n, dtype=np.int64)
-        mask[own[i]] = False
-        near = shared * (p + q) >= p * (n + sizes[i])
-        if near.any():
-            found = left[near].tolist()
-            out += [(j, i) for j in found]
-            queue += found
-            flat, left = flat[np.repeat(~near, n)], left[~near]
-    return out
-
-
 def candidate_groups(heads: DataFrame, radius: int, kept: list[str] | None = None) -> DataFrame:
     """(node, root): the sets of heads (set_id, fp, bands) that have candidates, and their group."""
     keyed = heads.select("set_id", F.explode("bands").alias("key"))
@@ -165,26 +130,6 @@ def candidate_groups(heads: DataFrame, radius: int, kept: list[str] | None = Non
     return components(by_band.unionByName(same).unionByName(balls).where("a != b"), kept)
 
 
-def dealt(groups: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(set_id, root, g, i) long: the sets of groups (node, root), and of how many blocks of the group each is in which."""
-    pieces = groups.groupBy("root").agg(F.ceil(F.count("*") / block).alias("g"))
-    return groups.join(pieces, "root").select(F.col("node").alias("set_id"), "root", "g", F.pmod(F.xxhash64("node"), F.col("g")).alias("i"))
-
-
-def verified_links(texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b) long: links of sets of similarity LEAST or more within groups, of texts (set_id, root, g, i, text): see dealt()."""
-    meets = F.when(F.col("g") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: j != F.col("i")))
-    blocks = texts.withColumn("j", F.explode(meets)).select("root", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "set_id", "text")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["set_id"].to_numpy(np.int64)
-        found = similar_links([np.unique(shingle_hashes(t, shingle)) for t in pdf["text"]])
-        pairs = ids[np.array(found, np.int64).reshape(-1, 2)]
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return blocks.groupBy("root", "x", "y").applyInPandas(run, "a long, b long")
-
-
 def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 4, kept: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """docs with one row of each component of near copies: that with the smallest id.
 
@@ -199,9 +144,14 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 4, kept:
     heads = materialise(marked(found, "row", classes.select("least.row"), "head-marks", early).drop(MARK), "heads", inner)
     release(spark, early)
     groups = materialise(candidate_groups(heads.where("size(bands) > 0"), radius, inner), "groups", inner)
-    chosen = dealt(groups, block).join(heads.select("set_id", "row"), "set_id").select("row", "set_id", "root", "g", "i")
-    texts = marked(rows.select("row", "text"), "row", chosen, "group-marks", inner).select(f"{MARK}.set_id", f"{MARK}.root", f"{MARK}.g", f"{MARK}.i", "text")
-    linked = components(verified_links(texts, shingle), inner)
+    members = materialise(groups.withColumn("weight", F.lit(1).cast("long")), "members", inner)
+
+    def texts(chosen: DataFrame) -> DataFrame:
+        marks = chosen.join(heads.select(F.col("set_id").alias("node"), "row"), "node")
+        return marked(rows.select("row", "text"), "row", marks, "group-marks", inner).select(*[f"{MARK}.{c}" for c in chosen.columns], "text")
+
+    found = similar_links(members, texts, "text", lambda t: np.unique(shingle_hashes(t, shingle)), jaccard(*LEAST), block, "linked", inner)
+    linked = components(found, inner)
     rooted = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left")
     stay = rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("least").alias("least")).select("least.row")
     thinned = marked(given, ROW, stay, "stay", kept).select(*docs.columns)
