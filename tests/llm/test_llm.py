@@ -595,6 +595,23 @@ def test_decontamination_of_long_items_and_repeats(spark):
     assert rows(left.select("doc_id", "text")) == sorted([(2, texts[1][1]), (None, texts[4][1])], key=repr)
 
 
+@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 15])
+def test_decontamination_behind_a_bitmap_equals_the_set(spark, monkeypatch, most_bits):
+    """Whole tables; a bitmap too small for its windows lets all through and changes nothing."""
+    monkeypatch.setattr(decontam, "MOST_BITS", most_bits)
+    docs, bench, kept = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"), []
+    # parts of the documents themselves make the benchmark large, and give one passage to a third of the rows
+    own = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("item_id"), F.substring("text", 200, 400).alias("text")).where("doc_id % 3 = 0")
+    bench = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").unionByName(own)
+    hot = F.when(F.col("doc_id") % 3 == 1, F.concat(F.col("text"), F.lit(" one passage that a third of all the rows of this table hold at their end")))
+    docs = docs.withColumn("text", F.coalesce(hot, F.col("text")))
+    bench = bench.unionByName(spark.createDataFrame([("hot", "a third of all the rows of this table hold at their"), ("also hot", "A THIRD of all the rows of this table hold at their")], "item_id string, text string"))
+    want = rows(decontam.contamination(docs, bench))
+    assert rows(decontam.contamination(docs, bench, most_windows=100, kept=kept)) == want
+    assert sum("hot" in r[3] and "also hot" in r[3] for r in want) >= docs.count() // 3 - 5 and any(len(r[2]) > 1 for r in want)
+    assert len(kept) == 2
+
+
 def longest_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
