@@ -157,3 +157,47 @@ def with_keywords(df: DataFrame, text: str, title: str, most: int = 10, out: str
     fresh, head = F.array_except("_often", "_head"), F.col("_head")
     taken = F.when(F.size(head) < most, F.slice(fresh, F.lit(1), F.lit(most) - F.size(head))).when(F.array_contains(head, F.coalesce(F.get("_often", F.lit(0)), F.lit(""))), F.slice(fresh, 1, 0)).otherwise(F.slice(fresh, 1, 1))
     return df.withColumn(out, F.sort_array(F.array_union(head, taken))).drop("_head", "_s", "_at", "_runs", "_often")
+
+
+# What office programs put before titles, and the endings of their files.
+OFFICE_PREFIXES = ("Microsoft Word - ", "Microsoft Excel - ", "Microsoft PowerPoint - ", "Microsoft Office Word - ", "Microsoft Office Excel - ", "Microsoft Office PowerPoint - ")
+OFFICE_ENDINGS = ("docx", "doc", "xlsx", "xls", "pptx", "ppt", "odt", "ods", "odp", "rtf")
+
+
+def strip_spaces(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
+
+
+def clean_title(title: Column) -> Column:
+    """A title without the program's name before it, and of a file's name without folders and the ending; what would become empty stays."""
+    whole = strip_spaces(title)
+    bare = strip_spaces(F.regexp_replace(whole, "^(?:" + "|".join(OFFICE_PREFIXES) + ")", ""))
+    stem = F.regexp_extract(bare, r"(?is)^(?:.*/)?([^/]*[^./][^/]*)\.(?:" + "|".join(OFFICE_ENDINGS) + r")/*$", 1)
+    return F.coalesce(F.nullif(strip_spaces(F.when(stem == "", bare).otherwise(stem)), F.lit("")), whole)
+
+
+def addresses(field: Column) -> Column:
+    """array<struct<name, address>> of a mail's From or To: names may be quoted, or follow in brackets; commas inside quotes do not part. Null has none."""
+    parts = F.regexp_extract_all(F.coalesce(field, F.lit("")), F.lit(r'(?:"(?:[^"\\]|\\.)*"|<[^>]*>|\([^)]*\)|[^,"<(])+'), F.lit(0))
+
+    def one(part: Column) -> Column:
+        part = strip_spaces(part)
+        angle, after = F.regexp_extract(part, "<([^>]*)>", 1), F.regexp_extract(part, r"^([^(<]*)\(([^)]*)\)$", 2)
+        quoted = strip_spaces(F.regexp_replace(part, "(?s)<[^>]*>.*$", ""))
+        name = F.regexp_replace(F.regexp_replace(quoted, r'(?s)^"(.*)"$', "$1"), r"\\(.)", "$1")
+        return F.when(part.contains("<"), F.struct(name.alias("name"), strip_spaces(angle).alias("address"))).otherwise(
+            F.struct(strip_spaces(after).alias("name"), strip_spaces(F.regexp_replace(part, r"\([^)]*\)$", "")).alias("address"))
+        )
+
+    return F.filter(F.transform(parts, one), lambda x: (x["name"] != "") | (x["address"] != ""))
+
+
+def format_addresses(field: Column) -> Column:
+    """Name <address>, or the one there is, with a comma between two."""
+    return F.array_join(F.transform(addresses(field), lambda x: F.when((x["name"] != "") & (x["address"] != ""), F.concat(x["name"], F.lit(" <"), x["address"], F.lit(">"))).otherwise(F.concat(x["name"], x["address"]))), ", ")
+
+
+def first_sender(field: Column) -> Column:
+    """The name of the first address, or the address without one; null if there is none."""
+    first = F.get(addresses(field), F.lit(0))
+    return F.coalesce(F.nullif(first["name"], F.lit("")), F.nullif(first["address"], F.lit("")))

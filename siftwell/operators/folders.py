@@ -29,12 +29,16 @@ def containing(paths: DataFrame, folders: DataFrame) -> DataFrame:
 
 def outside(paths: DataFrame, folders: DataFrame) -> DataFrame:
     """paths that no folder holds, nor is one: what is left of a listing without ignored folders, or of a catalog after a purge. Rows without a path stay."""
-    return containing(paths, folders).where("root is null").drop("root")
+    return paths.join(_held(paths, folders), "path", "left_anti").select(*paths.columns)
 
 
 def inside(paths: DataFrame, folders: DataFrame) -> DataFrame:
     """paths that a folder holds, or is."""
-    return containing(paths, folders).where("root is not null").drop("root")
+    return paths.join(_held(paths, folders), "path", "left_semi").select(*paths.columns)
+
+
+def _held(paths: DataFrame, folders: DataFrame) -> DataFrame:
+    return containing(paths.select("path").distinct(), folders).where("root is not null").select("path")
 
 
 def hidden(paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import BLOCK_END, CJK, SPACES, segment_text, unescape
-from siftwell.operators.search import cosine, strip_stopwords
+from siftwell.operators.search import cosine, query_vector
 from siftwell.sources.extractors import units
 
 # Formats whose text is not prose, and the most passages of a document.
@@ -135,7 +135,7 @@ def passages(units: DataFrame, query: str, mode: str = "keyword", embed: Callabl
         return keyword_passages(units, query, most)
     if mode != "semantic" or embed is None:
         raise ValueError("mode is keyword, or semantic with an embedder")
-    vector = embed([strip_stopwords(query)])[0]
+    vector = query_vector(query, embed) or []
     return semantic_passages(embed_units(first_units(units.select("doc_id", "unit_no", "location", "text")), embed), vector, query, most)
 
 

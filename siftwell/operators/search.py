@@ -21,6 +21,8 @@ from siftwell.store import plan_bytes
 WEIGHTS = {"name": 6.0, "title": 8.0, "author": 7.0, "subject": 5.0, "description": 3.0, "content": 3.0, "tags": 4.0}
 K1, B = 1.2, 0.75
 KEYWORD_FLOOR, SEMANTIC_FLOOR = 0.01, 0.30
+# Fixed value: characters of a query that an embedder sees.
+QUERY_CHARS = 2000
 #: Slices of documents that the postings of one term are dealt by.
 SLICES = 64
 #: An index has a folder of postings for so many bytes of the tables it is made of, up to as many folders; a term's is told by its first two letters.
@@ -39,12 +41,17 @@ def parse_query(query: str) -> list[tuple[list[str], bool]]:
     return terms
 
 
-def strip_stopwords(query: str) -> str:
-    """Without stop words; all of them: as it was. A word without a-z stays."""
-    kept = [w for w in query.split() if re.sub(r"[^a-z]", "", w.lower()) not in EN_STOPWORDS]
+def strip_stopwords(query: str, stopwords: tuple[str, ...] = EN_STOPWORDS) -> str:
+    """Without stop words of a language (options.LANGUAGES); all of them: as it was. A word without a-z stays."""
+    kept = [w for w in query.split() if re.sub(r"[^a-z]", "", w.lower()) not in stopwords]
     return " ".join(kept) if kept else query
 
 
+def query_vector(query: str, embed: Callable[[list[str]], list[list[float]]], stopwords: tuple[str, ...] = EN_STOPWORDS) -> list[float] | None:
+    """The embedding of a query's first characters, without stop words; of a blank one none."""
+    return embed([strip_stopwords(query, stopwords)[:QUERY_CHARS]])[0] if query.strip() else None
+
+
 def _posting(column: str) -> Callable[[Column, Column], Column]:
     return lambda t, i: F.struct(t.alias("term"), F.lit(column).alias("col"), F.lit(WEIGHTS[column]).alias("weight"), i.alias("pos"))
 
@@ -227,12 +234,14 @@ def results(catalog: DataFrame, index: DataFrame | Index, vectors: DataFrame, ta
     return found if include_hidden else without_hidden(found, tags)
 
 
-def search(catalog: DataFrame, index: DataFrame | Index, vectors: DataFrame, tags: DataFrame, query: str = "", mode: str = "both", vector: list[float] | None = None, offset: int = 0, limit: int = 50, letter: str | None = None, include_hidden: bool = False, korean: bool = False) -> Found:
+def search(catalog: DataFrame, index: DataFrame | Index, vectors: DataFrame, tags: DataFrame, query: str = "", mode: str = "both", vector: list[float] | None = None, offset: int = 0, limit: int = 50, letter: str | None = None, include_hidden: bool = False, korean: bool = False, embed: Callable[[list[str]], list[list[float]]] | None = None, stopwords: tuple[str, ...] = EN_STOPWORDS) -> Found:
     """A page of documents for a query, best first; without a query, of all documents by title, or of those under a letter.
 
     limit is held between 1 and 200. Scores are told to three places; a result without a title shows its name. Only the page's documents
-    are fetched.
+    are fetched. Without a vector the query is embedded by embed, if that is given and the mode asks for it, without the stopwords of its language.
     """
+    if vector is None and embed is not None and mode != "keyword":
+        vector = query_vector(query, embed, stopwords)
     offset, limit = max(0, offset), min(200, max(1, limit))
     if not query.strip():
         own = by_letter(catalog if include_hidden else without_hidden(catalog, tags), letter, korean)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell import library as L
+from siftwell.functions import text as T
 from siftwell.operators import catalog as C
 from siftwell.operators import dedup as D
 from siftwell.operators import folders as O
@@ -165,11 +167,42 @@ def pii_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("path", F.lit("left").alias("reason")).unionByName(after)
 
 
+def office_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as office programs write them, of each document's source and language."""
+    title = F.concat(F.element_at(F.array(*[F.lit(a) for a, _ in TITLED]), (F.col("doc_id") % len(TITLED) + 1).cast("int")), "source", F.lit(" in "), "lang", F.element_at(F.array(*[F.lit(b) for _, b in TITLED]), (F.col("doc_id") % len(TITLED) + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_title(title).alias("title"))
+
+
+TITLED = (("Microsoft Word - ", ".docx"), ("", " "), ("Microsoft PowerPoint - reports/", ".PPT"), ("  Microsoft Office Excel -  ", ".xls"), ("Microsoft Word - Microsoft Word - ", ".txt"))
+
+
+def mail_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Senders made of each document's source and language, one with a comma in its quoted name, and a bare address."""
+    field = F.concat(F.lit('"'), "source", F.lit(", "), "lang", F.lit('" <'), F.col("doc_id").cast("string"), F.lit("@x.org>,  "), "lang", F.lit("@y.org , <z@z.org>,lang@z.org ("), "source", F.lit(")"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.format_addresses(field).alias("shown"), T.first_sender(field).alias("author"))
+
+
+def library_after_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library after a scan of some documents under other titles, and one of all, in which those without quality failed: what is stored, and what is listed."""
+    uri, c = shared_folder(spark, "library"), catalog(spark, sf_dir)
+    L.create(spark, uri, 16)
+    made = c.join(_poor(spark, sf_dir).withColumn("poor", F.lit(True)), "doc_id", "left").select(
+        "path", "name", F.lit("txt").alias("file_ext"), F.col("size").cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_at"), "title", *[F.lit(None).cast("string").alias(x) for x in ("author", "subject", "description")],
+        F.col("content").alias("text"), F.substring("content", 1, 800).alias("snippet"), F.lit("txt").alias("doc_type"), F.col("poor").isNull().alias("success"), F.when(F.col("poor"), "poor").alias("error"),
+    )
+    found = c.select("path", F.expr("substring(path, 2)").alias("rel"))
+    L.add(spark, uri, found.join(made.where("size_bytes % 2 = 0"), "path", "left_semi"), made.where("size_bytes % 2 = 0").withColumns({"title": F.lit("old"), "success": F.lit(True)}))
+    L.add(spark, uri, found, made)
+    tags = L.table(spark, uri, "tags").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("tag")), " ").alias("tags"))
+    kept = L.table(spark, uri, "documents").join(tags, "doc_id").select("path", "title", "tags", F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(L.table(spark, uri, "blacklist").select("path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("tags"), "reason"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         cache_key, bm25_after_rewrite, trigram_search, semantic_packed, vector_topk_exact, vector_topk, vector_index_recall, near_dup_classes, near_dup_documents,
-        containing_folder, outside_folders, hidden_below_roots, bucket_upsert, bucket_delete, pii_patterns, pii_blacklist,
+        containing_folder, outside_folders, hidden_below_roots, bucket_upsert, bucket_delete, pii_patterns, pii_blacklist, office_titles, mail_addresses, library_after_scans,
     )
 } | {"bm25_segments": bm25_segments(False), "bm25_compacted": bm25_segments(True)}
 
@@ -180,6 +213,12 @@ _CLASSES_SQL = """WITH RECURSIVE v AS ({}), p AS MATERIALIZED (SELECT x.id AS a,
 _ALL_SQL, _OWN_SQL = ("SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings" + x for x in ("", " WHERE label <> 0 AND vec_id IN (SELECT doc_id FROM documents)"))
 
 ORACLE_SQL: dict[str, str] = {
+    "office_titles": """SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN 'Microsoft Word - ' || source || ' in ' || lang || '.txt' ELSE source || ' in ' || lang END AS title FROM documents""",
+    "mail_addresses": """SELECT doc_id, source || ', ' || lang || ' <' || doc_id || '@x.org>, ' || lang || '@y.org, z@z.org, ' || source || ' <lang@z.org>' AS shown, source || ', ' || lang AS author FROM documents""",
+    "library_after_scans": f"""WITH {CATALOG_SQL}, p AS (SELECT doc_id FROM labels WHERE quality = 0),
+    r AS (SELECT path, tags, CASE WHEN doc_id IN (FROM p) THEN 'old' ELSE title END AS title, doc_id IN (FROM p) AS poor, size FROM c)
+    SELECT path, title, array_to_string(list_sort(list_distinct(list_filter(['txt', lower(split_part(path, '/', 2)), lower(split_part(path, '/', 3))], lambda x: length(x) > 2))), ' ') AS tags, NULL AS reason FROM r WHERE NOT poor OR size % 2 = 0
+    UNION ALL SELECT path, NULL, NULL, 'poor' FROM r WHERE poor""",
     "cache_key": "SELECT epoch_us(max(ts)) AS last, count(*) AS n FROM events",
     "bm25_after_rewrite": bm25_sql(QUERY),
     "bm25_segments": _KEPT_SQL,
