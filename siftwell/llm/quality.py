@@ -39,6 +39,8 @@ PRIOR_BYTES = 400
 SHRINK, GRID = 100, 10_000
 #: Bytes of a batch, about; a longer text is cut into stretches, which know the bytes before them.
 BATCH_BYTES = 8_000_000
+#: Bytes of a batch whose n-grams are made distinct at a time: all of them at once would be many times the batch.
+PIECE = 1 << 18
 PAD = b"\n" * (ORDER - 1)
 #: A bijection of 64-bit numbers that spreads n-grams over hash ranges.
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,38 +95,47 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 class Batch:
-    """A row of ENCODED: the n-gram at each byte, as a slot of the distinct ones."""
+    """A row of ENCODED: the n-gram at each byte, as a slot of the distinct ones, which ascend by hash."""
 
     def __init__(self, row: dict):
         self.sizes = np.array(row["sizes"], np.int64)
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
-        self.slot, self.grams = np.empty(0, np.int32), np.empty(0, np.uint64)
+        self.slot, self.keys = np.empty(0, np.int32), np.empty(0, np.uint64)
         if self.sizes.sum():
             ends = np.cumsum(self.sizes + len(PAD))
             across = np.zeros(len(data) - ORDER + 2, np.int8)  # n-grams that cross into the next stretch are left out
             np.add.at(across, ends[:-1] - len(PAD), 1)
             np.add.at(across, ends[:-1], -1)
-            keys = ngram_keys(data)
-            keys = keys[np.cumsum(across[:-1], dtype=np.int8) == 0]
-            slot, self.grams = pd.factorize(keys)
-            self.slot = slot.astype(np.int32)
-        mixed = self.grams * MIX
-        self.order = np.argsort(mixed)
-        self.keys = mixed[self.order]
+            inside = np.cumsum(across[:-1], dtype=np.int8) == 0
+            slot, found = np.empty(int(self.sizes.sum()), np.int32), []
+            for a in range(0, len(inside), PIECE):
+                code, own = pd.factorize(ngram_keys(data[a : a + PIECE + ORDER - 1])[inside[a : a + PIECE]] * MIX)
+                n = found[-1][1] if found else 0
+                slot[n : n + len(code)] = code
+                found.append((own, n + len(code)))
+            self.keys, self.slot, n = np.unique(np.concatenate([own for own, _ in found])), slot, 0
+            for own, end in found:
+                slot[n:end] = np.searchsorted(self.keys, own)[slot[n:end]]
+                n = end
 
     def counts(self, role: np.ndarray) -> np.ndarray:
-        """Of the ascending keys, in what the model is trained on."""
-        own = np.repeat(role == TRAINED, self.sizes)
-        return np.bincount(self.slot[own], minlength=len(self.grams))[self.order]
+        """Of the keys, in what the model is trained on."""
+        own, out = np.repeat(role == TRAINED, self.sizes), np.zeros(len(self.keys), np.int64)
+        for a in range(0, len(own), PIECE):
+            out += np.bincount(self.slot[a : a + PIECE][own[a : a + PIECE]], minlength=len(out))
+        return out
 
     def log_probs(self, values: np.ndarray) -> np.ndarray:
-        """Of each stretch, given the log probabilities of the ascending keys."""
+        """Of each stretch, given the log probabilities of the keys."""
         out = np.zeros(len(self.sizes))
-        if len(self.slot):
-            of = np.empty(len(self.grams))
-            of[self.order] = values
-            some = np.flatnonzero(self.sizes)
-            out[some] = np.add.reduceat(of[self.slot], (np.cumsum(self.sizes) - self.sizes)[some])
+        some = np.flatnonzero(self.sizes)
+        starts = np.cumsum(self.sizes)[some] - self.sizes[some]
+        i = 0
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
+            own = values[self.slot[starts[i] : starts[j] if j < len(some) else None]]
+            out[some[i:j]] = np.add.reduceat(own, starts[i:j] - starts[i])
+            i = j
         return out
 
 
@@ -216,7 +227,7 @@ def scores(docs: DataFrame, trusted: DataFrame, kept: list[str] | None = None) -
 
     def score(row: dict) -> Iterator[pa.RecordBatch]:
         b = Batch(row)
-        log_probs = b.log_probs(answer(found, row["batch"], "<u4") / -STEPS if len(b.grams) else np.empty(0))
+        log_probs = b.log_probs(answer(found, row["batch"], "<u4") / -STEPS if len(b.keys) else np.empty(0))
         role = answer(own, row["batch"], "<u1").astype(np.int64)
         yield pa.RecordBatch.from_pydict({"row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_bytes": b.sizes, "log_prob": log_probs, "role": role})
 
