@@ -257,9 +257,10 @@ def thresholds(scored: DataFrame, role: int, q: float, edge: Callable[[Column],
 
 
 def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, low: float = LOW, shrink: float = SHRINK, kept: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, low, high, kept) for every row of docs.
+    """(doc_id, lang, n_bytes, perplexity, drawn_perplexity, low, high, kept) for every row of docs.
 
-    kept is false if the perplexity is over high or under low, the language's thresholds. Null and empty texts have no perplexity and are rejected.
+    perplexity is the text's own; drawn_perplexity that of the text with PRIOR_BYTES of average trusted text. kept is false if the drawn one is over
+    high or under low, the language's thresholds. Null and empty texts have neither and are rejected.
     Without trusted documents nothing else is; a threshold that no document was set aside for is null and rejects nothing. A language without
     trusted documents has the thresholds of all. A null language is one of its own, as an empty one. Repeated rows, also of one id, are judged each;
     rows without an id are judged and never trained on. An empty table gives no rows; other columns are not read; texts of any length count whole.
@@ -275,7 +276,8 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, low: float
         judged = judged.join(own, F.col("lang") == F.col("of"), "left").withColumn(name, F.coalesce("own", every)).drop("of", "own")
     bad = (F.col("x") > F.col("high")) | (F.col("x") < F.col("low"))
     judged = judged.withColumn("kept", (F.col("n_bytes") > 0) & ~F.coalesce(bad, F.lit(False)))
-    return judged.select("doc_id", "lang", "n_bytes", F.exp("x").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
+    plain = F.when(F.col("n_bytes") > 0, -F.col("log_prob") / F.col("n_bytes"))
+    return judged.select("doc_id", "lang", "n_bytes", F.exp(plain).alias("perplexity"), F.exp("x").alias("drawn_perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
 
 
 def keep_good(docs: DataFrame, judged: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ class PlainKneserNey:
 
 
 def plain_quality(texts, langs, trained, apart):
-    """By id: the perplexity and whether it is kept; texts are bytes."""
+    """By id: the perplexity, that drawn to the mean and whether it is kept; texts are bytes."""
     model = PlainKneserNey([texts[i] for i in sorted(trained)])
     lp = {i: model.log_prob(t) for i, t in texts.items()}
     own = [i for i in apart if texts[i]]
@@ -153,7 +153,7 @@ def plain_quality(texts, langs, trained, apart):
     out = {}
     for i in texts:
         if i not in x:
-            out[i] = None, False
+            out[i] = None, None, False
             continue
         sides = []
         for ids, q, edge in ((apart, quality.HIGH, math.ceil), (trained, quality.LOW, math.floor)):
@@ -161,7 +161,7 @@ def plain_quality(texts, langs, trained, apart):
             every, mine = limit(ids, q, edge), [j for j in ids if langs[j] == langs[i]]
             n = len(mine)
             sides.append((n * (limit(mine, q, edge) or 0) + quality.SHRINK * every) / (n + quality.SHRINK) / quality.GRID)
-        out[i] = math.exp(x[i]), sides[1] <= x[i] <= sides[0]
+        out[i] = math.exp(-lp[i] / len(texts[i])), math.exp(x[i]), sides[1] <= x[i] <= sides[0]
     return out
 
 
@@ -185,10 +185,12 @@ def test_quality_matches_plain_version(spark):
     trained, apart = (ids & set(texts) for ids in split_trusted(spark, spark.read.parquet(f"{SF}/labels.parquet")))
     want = plain_quality(texts, langs, trained, apart)
     got = queries.op4_quality_classifier(spark, SF).collect()
-    assert len(got) == len(want) and sum(not k for _, k in want.values()) > 5
+    assert len(got) == len(want) and sum(not k for *_, k in want.values()) > 5
     for r in got:
-        p, kept = want[r["doc_id"]]
-        assert r["kept"] == kept and (p is None) == (r["perplexity"] is None) and (p is None or math.isclose(p, r["perplexity"], rel_tol=1e-5))
+        *both, kept = want[r["doc_id"]]
+        assert r["kept"] == kept
+        for p, own in zip(both, (r["perplexity"], r["drawn_perplexity"]), strict=True):
+            assert (p is None) == (own is None) and (p is None or math.isclose(p, own, rel_tol=1e-5))
 
 
 def test_quality_odd_rows(spark, monkeypatch):
@@ -199,12 +201,12 @@ def test_quality_odd_rows(spark, monkeypatch):
     own = {n: (i, (t or "").encode(), "" if i == 9 else "en") for n, (i, t) in enumerate(texts)}
     rows_of = lambda ids: {n for n, (i, _, _) in own.items() if i in ids}
     want = plain_quality({n: t for n, (_, t, _) in own.items()}, {n: g for n, (_, _, g) in own.items()}, rows_of(trained), rows_of(apart))
-    want = sorted(((own[n][0], own[n][2], len(own[n][1]), p and round(p, 3), k) for n, (p, k) in want.items()), key=repr)
+    want = sorted(((own[n][0], own[n][2], len(own[n][1]), p and round(math.log(p), 4), d and round(d, 3), k) for n, (p, d, k) in want.items()), key=repr)
     docs = spark.createDataFrame(given, EXTRA)
     for size in (quality.BATCH_BYTES, 1000):  # also in stretches
         monkeypatch.setattr(quality, "BATCH_BYTES", size)
-        got = quality.classify(docs, labels).select("doc_id", "lang", "n_bytes", "perplexity", "kept").collect()
-        assert sorted(((r[0], r[1], r[2], r[3] and round(r[3], 3), r[4]) for r in got), key=repr) == want
+        got = quality.classify(docs, labels).select("doc_id", "lang", "n_bytes", "perplexity", "drawn_perplexity", "kept").collect()
+        assert sorted(((r[0], r[1], r[2], r[3] and round(math.log(r[3]), 4), r[4] and round(r[4], 3), r[5]) for r in got), key=repr) == want
     none = quality.classify(docs, labels.where("false"))
     assert none.count() == len(texts) and none.where("not kept").count() == 2
     assert quality.classify(docs_of(spark, []), labels).count() == 0
