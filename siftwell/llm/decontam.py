@@ -294,7 +294,10 @@ def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
     return docs.join(hit, same, "left").select(*docs.columns, "__siftwell_spans").mapInArrow(run, docs.schema)
 
 
-def remove_documents(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those that have a hit; all rows of an id go if one of them has. Rows with a null id stay."""
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__siftwell_id")).distinct()
+def remove_documents(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", kept: list[str] | None = None) -> DataFrame:
+    """docs without those that have a hit; all rows of an id go if one of them has. Rows with a null id stay.
+
+    The ids are written first (kept notes the folder): a table whose size is known before the join is planned, so that texts are not shuffled for few of them.
+    """
+    hit = materialise(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__siftwell_id")).distinct(), "hit-ids", kept)
     return docs.join(hit, F.col(id_col) == F.col("__siftwell_id"), "left_anti")
