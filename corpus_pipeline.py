@@ -44,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kep
     Long texts count whole, other columns are passed on, an empty table gives no rows and an empty benchmark rejects none.
     """
     ship(spark)
-    return decontam.remove_documents(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark"), kept=kept))
+    return decontam.remove_documents(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark"), kept=kept), kept=kept)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[str] | None = None) -> DataFrame:
