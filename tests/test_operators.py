@@ -122,3 +122,20 @@ def test_near_duplicates_in_slices(spark, monkeypatch):
         got = [(r["a"], r["b"]) for r in D.near_duplicate_pairs(v, 0.97, pivots).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert D.near_duplicate_pairs(v.limit(0), 0.97).count() == 0
+
+
+def test_near_duplicates_far_from_one_are_dealt_to_slices(spark):
+    import numpy as np
+
+    m = np.random.default_rng(3).normal(size=(9000, 32))
+    m[:300] = m[0] + np.random.default_rng(4).normal(scale=0.05, size=(300, 32))  # near copies, no two equal
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(m.tolist())], "id long, embedding array<double>").repartition(4)
+    weighted = v.withColumn("weight", F.lit(1).cast("long"))
+    # pivots would send a vector to almost all of their 94 cells
+    assert D._tiles(weighted, 0.55, None)[0].count() == 9000 * D.LEAST_BLOCKS
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    links = ((u @ u.T) >= 0.55).sum(1) - 1
+    assert {r["a"]: r["n"] for r in D._linked(weighted, 0.55, None, False).groupBy("a").agg(F.sum("links").alias("n")).collect()} == {i: n for i, n in enumerate(links.tolist()) if n}
+    # a task gives a row for each vector that has links there, not for each pair
+    assert D._linked(weighted, 0.9, None, False).count() <= 300 * D.LEAST_BLOCKS < D.near_duplicate_pairs(v, 0.9).count()
+    assert rows(D.near_duplicate_classes(v, 0.9).where("links > 0").groupBy("class_id", "links").count()) == [(0, 299, 300)]
