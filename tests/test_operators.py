@@ -139,3 +139,10 @@ def test_near_duplicates_far_from_one_are_dealt_to_slices(spark):
     # a task gives a row for each vector that has links there, not for each pair
     assert D._linked(weighted, 0.9, None, False).count() <= 300 * D.LEAST_BLOCKS < D.near_duplicate_pairs(v, 0.9).count()
     assert rows(D.near_duplicate_classes(v, 0.9).where("links > 0").groupBy("class_id", "links").count()) == [(0, 299, 300)]
+
+
+def test_card_beside_a_number_that_is_none(spark):
+    # one character stands between both, which a pattern that takes it along would miss; the reference's patterns look around
+    d = spark.createDataFrame([(1, "a 2353820953013749 4550997810720808 b"), (2, "a 2353820953013749 b")], "doc_id long, text string")
+    assert [(r["doc_id"], [tuple(h) for h in r["hits"]]) for r in I.scan_pii(d).collect()] == [(1, [("Credit Card", "4550997810720808")])]
+    assert [r["doc_id"] for r in I.purge_pii(d).collect()] == [2]
