@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 SAMPLE, MOST_CELLS, ROUNDS = 8192, 1024, 10
 #: Of a search's own probes: the share of the TRIED sample vectors' nearest others whose cells they reach.
 REACH, TRIED, NEAREST = 0.97, 512, 10
-#: Vectors and queries of a cell that meet in one task, and queries that are multiplied at once.
-SLICE, BLOCK = 20_000, 500
+#: Vectors and queries that meet in one task, about, and queries that are multiplied at once.
+SLICE, BLOCK = 20_000, 64
 #: Decimal places of cosines; results that tie there are ordered by id.
 PLACES = 9
 
@@ -173,32 +173,84 @@ def _best(found: DataFrame, score: str, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _meet(residents: DataFrame, visitors: DataFrame, top: Callable[[list, np.ndarray | None, pa.Table, pa.Table], np.ndarray], k: int) -> DataFrame:
-    """(qid, doc_id, score): the k best residents (cell, doc_id, data) for each visitor (cell, qid, vec) of a cell, from every slice of it.
-
-    Both sides of a cell are dealt into slices, of SLICE rows about, and each slice of one meets each of the other in one task.
+def _first(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row, by row and then by score; of equal ones the first columns. Entries of -inf are none."""
+    if k < near.shape[1]:
+        row, at = np.nonzero((near >= np.partition(near, -k, axis=1)[:, -k, None]) & (near > -np.inf))
+    else:
+        row, at = np.nonzero(near > -np.inf)
+    by = np.lexsort((-near[row, at], row))
+    row, at = row[by], at[by]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], at[keep]
+
+
+def _shards(residents: DataFrame) -> tuple[DataFrame, dict[int, list[int]]]:
+    """residents (cell, doc_id, data) with shard; the shards of each cell. A shard has SLICE rows or fewer about: some whole cells, or a part of one by id."""
+    at, held, shards, first = 0, 0, {}, []
+    for cell, n in sorted(tuple(r) for r in residents.groupBy("cell").count().collect()):  # MOST_CELLS rows at most
+        parts = -(-n // SLICE)
+        if held and held + n > SLICE:
+            at, held = at + 1, 0
+        shards[cell] = list(range(at, at + parts))
+        first.append((cell, at, parts))
+        at, held = (at + parts, 0) if parts > 1 else (at, held + n)
+    of = residents.sparkSession.createDataFrame(first, "cell int, first long, parts long")
+    placed = residents.join(F.broadcast(of), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id"), "parts"))
+    return placed.select("shard", "cell", "doc_id", "data"), shards
+
+
+def _meet(residents: DataFrame, queries: DataFrame, dim: int, cells: Callable[[np.ndarray], np.ndarray], data: Callable[[np.ndarray, list], np.ndarray], k: int, places: int | None = None) -> DataFrame:
+    """(qid, doc_id, score): the k best residents (cell, doc_id, data) in each shard for each of queries (qid, vec).
+
+    cells tells the cells that a query looks into, data makes vectors of residents. A query goes once to each shard that has some of its cells, and gets k rows of each at most. Queries of a shard are dealt by their ids.
     """
-    slices = lambda df: df.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.lit(1)).cast("long").alias("n"))
-    # a row for each cell, MOST_CELLS at most
-    sizes = slices(residents).withColumnRenamed("n", "rs").join(slices(visitors).withColumnRenamed("n", "vs"), "cell")
-    span = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    left = residents.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("doc_id"), "rs").alias("r"), F.explode(span("vs")).alias("v"), "doc_id", "data")
-    right = visitors.join(F.broadcast(sizes), "cell").select("cell", F.explode(span("rs")).alias("r"), F.pmod(F.xxhash64("qid"), "vs").alias("v"), "qid", "vec")
+    placed, shards = _shards(residents)
+    # fewer queries than BLOCK in a task would not pay for reading the shard
+    many = max(1, math.ceil(queries.count() / SLICE))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = max((x[-1] for x in shards.values()), default=-1) + 1
+        for b in batches:
+            for a in range(0, b.num_rows, BLOCK):
+                part = b.slice(a, BLOCK)
+                goes = np.zeros((part.num_rows, last), bool)
+                for i, found in enumerate(cells(_matrix(part.column("vec").to_pylist(), dim)).tolist()):
+                    goes[i, [x for c in found for x in shards.get(c, ())]] = True
+                row, shard = np.nonzero(goes)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), part.column("qid").take(at), part.column("vec").take(at)], ["shard", "qid", "vec"])
+
+    sent = queries.select("qid", "vec").mapInArrow(send, "shard long, qid long, vec binary").withColumn("v", F.pmod(F.xxhash64("qid"), F.lit(many)))
+    left = placed.withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
-        ids = own["doc_id"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        own, ids = own.take(pa.array(by_id)), ids[by_id]
-        for a in range(0, len(asked) if len(own) else 0, BLOCK):
-            part = asked.slice(a, BLOCK)
-            near = top(own, part)
-            first = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            out.append(pa.table({"qid": np.repeat(part["qid"].to_numpy(), first.shape[1]), "doc_id": ids[first.ravel()], "score": np.take_along_axis(near, first, 1).ravel()}))
         schema = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
-
-    return left.groupBy("cell", "r", "v").cogroup(right.groupBy("cell", "r", "v")).applyInArrow(run, "qid long, doc_id long, score double")
+        if not len(own) or not len(asked):
+            return schema.empty_table()
+        ids, cell = own["doc_id"].to_numpy(), own["cell"].to_numpy()
+        by = np.lexsort((ids, cell))
+        ids, cell = ids[by], cell[by]
+        vecs = data(cell, own["data"].take(pa.array(by)).to_pylist())
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        end = np.r_[begin[1:], len(cell)]
+        by_id, out = np.argsort(ids, kind="stable"), []
+        for a in range(0, len(asked), BLOCK):
+            part = asked.slice(a, BLOCK)
+            q = _matrix(part["vec"].to_pylist(), dim)
+            into = cells(q)
+            q, near = _units(q), np.full((len(part), len(ids)), -np.inf)
+            for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+                looks = (into == cell[x]).any(1)
+                if looks.any():
+                    near[looks, x:y] = q[looks] @ vecs[x:y].T
+            if places is not None:
+                near = np.round(near, places, out=near)
+            row, at = _first(near[:, by_id], k)
+            out.append(pa.table({"qid": part["qid"].to_numpy()[row], "doc_id": ids[by_id[at]], "score": near[row, by_id[at]]}))
+        return pa.concat_tables(out).cast(schema)
+
+    return left.groupBy("shard", "v").cogroup(sent.groupBy("shard", "v")).applyInArrow(run, "qid long, doc_id long, score double")
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int | None = None) -> DataFrame:
@@ -209,13 +261,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int | N
     if dim is None:
         some = vectors.select(F.octet_length("vec")).first()
         dim = some[0] // 4 if some else 1
-
-    def top(own: pa.Table, part: pa.Table) -> np.ndarray:
-        cos = _units(_matrix(part["vec"].to_pylist(), dim)) @ _units(_matrix(own["data"].to_pylist(), dim)).T
-        return np.round(cos, PLACES)
-
-    cell = F.lit(0).alias("cell")
-    found = _meet(vectors.select(cell, F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").alias("data")), queries.where(F.octet_length("vec") == 4 * dim).select(cell, F.col("qid").cast("long").alias("qid"), "vec"), top, k)
+    rows = vectors.select(F.lit(0).alias("cell"), F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").alias("data"))
+    asked = queries.where(F.octet_length("vec") == 4 * dim).select(F.col("qid").cast("long").alias("qid"), "vec")
+    found = _meet(rows, asked, dim, lambda q: np.zeros((len(q), 1), int), lambda _, vecs: _units(_matrix(vecs, dim)), k, PLACES)
     return _best(found, "score", k)
 
 
@@ -229,20 +277,14 @@ def topk(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None
     cells, dim = centres.shape
     probes = min(cells, probes or index.probes)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            first = np.argsort(-(_matrix(b.column("vec").to_pylist(), dim) @ centres.T), axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(b.num_rows), probes))
-            yield pa.RecordBatch.from_arrays([pa.array(first.ravel().astype(np.int32)), b.column("qid").take(at), b.column("vec").take(at)], ["cell", "qid", "vec"])
+    def nearest(q: np.ndarray) -> np.ndarray:
+        return np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
 
-    def top(own: pa.Table, part: pa.Table) -> np.ndarray:
-        codes = np.frombuffer(b"".join(own["data"].to_pylist()), np.int8).reshape(-1, dim)
-        rest = codes * scale + centres[own["cell"][0].as_py()]
-        return _units(_matrix(part["vec"].to_pylist(), dim)) @ rest.T
+    def decoded(cell: np.ndarray, codes: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(codes), np.int8).reshape(-1, dim) * scale + centres[cell]
 
     asked = queries.where(F.octet_length("vec") == 4 * dim).select(F.col("qid").cast("long").alias("qid"), "vec")
-    visitors = asked.mapInArrow(near, "cell int, qid long, vec binary")
-    some = _best(_meet(index.rows.select("cell", "doc_id", F.col("code").alias("data")), visitors, top, again * k), "score", again * k).select("qid", "doc_id")
+    some = _best(_meet(index.rows.select("cell", "doc_id", F.col("code").alias("data")), asked, dim, nearest, decoded, again * k), "score", again * k).select("qid", "doc_id")
 
     def cosines(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:

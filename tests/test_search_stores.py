@@ -252,3 +252,21 @@ def test_purge_with_a_blacklist(spark):
     assert rows(after) == [("/a", "Date of Birth"), ("/b", "Date of Birth"), ("/d", "by hand"), ("/z", "old")]
     again, same = I.purge_listed(left, after)
     assert [r["doc_id"] for r in again.collect()] == [3] and rows(same) == rows(after)
+
+
+def test_a_query_goes_to_shards_not_to_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "SLICE", 100)
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(900, 8))
+    m[:250] = m[0]  # a cell of more than two shards
+    given = V.packed(vectors_of(spark, m))
+    index = V.write_vector_index(given, f"file://{tmp_path}/ix")
+    placed, shards = V._shards(index.rows.select("cell", "doc_id", F.col("code").alias("data")))
+    assert placed.count() == 900 and len(shards) == index.rows.select("cell").distinct().count() > 20
+    cells, n = len(index.centres), len({x for found in shards.values() for x in found})
+    assert 9 <= n < len(shards) and max(len(x) for x in shards.values()) == 3
+    asked = given.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vec")
+    met = V._meet(index.rows.select("cell", "doc_id", F.col("vec").alias("data")), asked, 8, lambda q: np.tile(np.arange(cells), (len(q), 1)), lambda _, vecs: V._units(V._matrix(vecs, 8)), 5)
+    assert met.count() <= 45 * n * 5 < 45 * len(shards) * 3  # ten vectors in most cells: rows of each cell would be more
+    row, at = V._first(np.array([[1.0, 3, 3, 2, 3], [-np.inf, 0, -np.inf, 0, 1]]), 2)
+    assert row.tolist() == [0, 0, 1, 1] and at.tolist() == [1, 2, 4, 1]
