@@ -9,6 +9,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+#: Whether a query's shuffles are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,10 +49,18 @@ def scratch(spark: SparkSession, name: str, kept: list[str] | None = None) -> st
 
 
 def materialise(df: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    uri = scratch(df.sparkSession, name, kept)
-    df.write.option("compression", "zstd").parquet(uri)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    The shuffles of the job are deleted with its end, as nothing reads them again; else they stay until the driver collects garbage.
+    """
+    spark, uri = df.sparkSession, scratch(df.sparkSession, name, kept)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(uri)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(uri)
 
 
 def release(spark: SparkSession, uris: list[str]) -> None:

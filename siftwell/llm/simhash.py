@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise, words
+from siftwell.llm.common import materialise, release, words
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at once, and variants that are sorted at once.
@@ -193,26 +193,35 @@ def components(edges: DataFrame, kept: list[str] | None = None) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def star(df: DataFrame, large: bool, name: str) -> DataFrame:
+    def star(df: DataFrame, large: bool, name: str, into: list[str]) -> DataFrame:
+        inner: list[str] = []
         both = df.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionByName(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name + "-min", kept)
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name + "-min", inner)
         met = both.join(least, "u")
         if large:
             out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return materialise(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, kept)
+        done = materialise(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, into)
+        release(df.sparkSession, inner)
+        return done
 
-    edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", kept)
+    last: list[str] = []  # the folder of edges; a round deletes those before it
+    edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", last)
     before = state(edges)
     while before[0]:
-        edges = star(star(edges, True, "large"), False, "small")
+        large, small = [], []
+        edges = star(star(edges, True, "large", large), False, "small", small)
+        release(edges.sparkSession, last + large)
+        last = small
         now = state(edges)
         if now == before:
             break
         before = now
+    if kept is not None:
+        kept += last
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 

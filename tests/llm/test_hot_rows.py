@@ -52,3 +52,17 @@ def test_near_copies_in_many_blocks(spark):
         got = nearcopies.distinct_documents(docs_of(spark, given), block=block)
         assert {r["doc_id"] for r in got.collect()} == want
     assert rows(nearcopies.distinct_documents(docs_of(spark, []), block=9)) == []
+
+
+def test_rounds_of_components_leave_one_folder(spark, tmp_path):
+    from pathlib import Path
+
+    from siftwell.llm.common import shared_root
+    from siftwell.llm.simhash import components
+
+    root = Path(shared_root(spark).removeprefix("file://")) / "siftwell"
+    before = {p.name for p in root.glob("*")}
+    kept = []
+    chain = components(spark.range(200).selectExpr("id as a", "id + 1 as b"), kept)
+    assert chain.select("root").distinct().count() == 1 and chain.count() == 201
+    assert len(kept) == 1 and {p.name for p in root.glob("*")} - before == {kept[0].rpartition("/")[2]}
