@@ -1,6 +1,6 @@
 """A keyword index that documents are added to, changed in and deleted from, without building it again.
 
-Every commit is a segment: the postings and lengths of the documents that came, and the ids that are gone, which are those deleted
+Every commit is a segment: the packed postings of the documents that came, and the ids that are gone, which are those deleted
 and those that came again. A row of a segment counts unless a later one has its document among the gone. Which segments there
 are, the number of documents and their mean length are a version (sources.snapshots), complete or not there at all, so a failed commit
 leaves nothing that a search sees. compact() makes one segment of all.
@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import search as S
 from siftwell.sources import snapshots
-from siftwell.store import remove
+from siftwell.store import remove, written
 
 #: What a segment consists of; each is a table with a folder for each segment.
 SCHEMAS = {
-    "postings": "term string, doc_id long, col string, weight double, pos int, len int, seq long, head int",
-    "docs": "doc_id long, len int, seq long",
+    "postings": S.PACKED.format("long") + ", seq long, head int",
     "gone": "doc_id long, seq long",
 }
+#: Numbers of blocks that a commit has for its own; compact() keeps the blocks and their numbers.
+SEGMENT_BLOCKS = S.TASK_BLOCKS << 24
 
 
 def _segments(spark: SparkSession, uri: str) -> tuple[list[int], int]:
@@ -35,21 +36,29 @@ def _part(spark: SparkSession, uri: str, segments: list[int], part: str) -> Data
     return spark.read.schema(SCHEMAS[part]).option("basePath", f"{uri}/{part}").parquet(*[f"{uri}/{part}/seq={n}" for n in segments])
 
 
+def _against(rows: DataFrame, gone: DataFrame, how: str) -> DataFrame:
+    upto = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.max("seq").alias("_seq"))
+    return rows.join(upto, (F.col("doc_id") == F.col("_id")) & (F.col("seq") < F.col("_seq")), how)
+
+
 def _live(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows (doc_id, seq and others) that no later segment has among its gone."""
-    upto = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.max("seq").alias("_seq"))
-    return rows.join(upto, (F.col("doc_id") == F.col("_id")) & (F.col("seq") < F.col("_seq")), "left_anti")
+    return _against(rows, gone, "left_anti")
+
 
+def _dead(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The others."""
+    return _against(rows, gone, "left_semi")
 
-def _write(spark: SparkSession, uri: str, seq: int, heads: int, postings: DataFrame, docs: DataFrame, gone: DataFrame) -> None:
+
+def _write(spark: SparkSession, uri: str, seq: int, heads: int, postings: DataFrame, gone: DataFrame) -> None:
     """Write a segment. What a failed attempt at the same number left is overwritten: no version names it."""
-    S.write_postings(postings.withColumn("doc_id", F.col("doc_id").cast("long")), f"{uri}/postings/seq={seq}", heads, "overwrite")
-    for name, rows in (("docs", docs), ("gone", gone)):
-        rows.withColumn("doc_id", F.col("doc_id").cast("long")).write.mode("overwrite").parquet(f"{uri}/{name}/seq={seq}")
+    S.write_postings(postings, f"{uri}/postings/seq={seq}", heads, "overwrite")
+    gone.withColumn("doc_id", F.col("doc_id").cast("long")).write.mode("overwrite").parquet(f"{uri}/gone/seq={seq}")
 
 
 def _save(spark: SparkSession, uri: str, segments: list[int], heads: int, source: str | None) -> int:
-    docs = _live(_part(spark, uri, segments, "docs"), _part(spark, uri, segments, "gone"))
+    docs = _live(S.documents_of(_part(spark, uri, segments, "postings")), _part(spark, uri, segments, "gone"))
     totals = docs.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl")).withColumn("source", F.lit(source).cast("string"))
     named = spark.createDataFrame([(n, heads) for n in segments], "seq long, heads int")
     return snapshots.save(spark, f"{uri}/versions", {"segments": named, "totals": totals})
@@ -64,7 +73,8 @@ def commit(spark: SparkSession, uri: str, rows: DataFrame, deleted: DataFrame |
     segments, heads = _segments(spark, uri)
     heads, seq = heads or S.heads_for(rows), max(segments, default=0) + 1
     ids = rows.select("doc_id") if deleted is None else rows.select("doc_id").unionByName(deleted.select("doc_id"))
-    _write(spark, uri, seq, heads, S.postings(rows), rows.select("doc_id", S.length_of(rows).alias("len")), ids.where("doc_id is not null").distinct())
+    packed = S.packed(rows.withColumn("doc_id", F.col("doc_id").cast("long"))).withColumn("block", F.col("block") + F.lit(seq * SEGMENT_BLOCKS))
+    _write(spark, uri, seq, heads, packed, ids.where("doc_id is not null").distinct())
     return _save(spark, uri, [*segments, seq], heads, source)
 
 
@@ -72,7 +82,9 @@ def read(spark: SparkSession, uri: str) -> S.Index:
     """The index of the newest version, for search.keyword_scores()."""
     segments, heads = _segments(spark, uri)
     totals = snapshots.load(spark, f"{uri}/versions")["totals"]
-    return S.Index(_live(_part(spark, uri, segments, "postings"), _part(spark, uri, segments, "gone")).drop("seq"), totals.select("N", "avgdl"), heads)
+    rows = _part(spark, uri, segments, "postings")
+    docs = _live(S.documents_of(rows), _part(spark, uri, segments, "gone"))
+    return S.Index(S.unpacked(rows), docs.drop("seq"), totals.select("N", "avgdl"), heads)
 
 
 def source_of(spark: SparkSession, uri: str) -> str | None:
@@ -83,12 +95,30 @@ def source_of(spark: SparkSession, uri: str) -> str | None:
 def compact(spark: SparkSession, uri: str) -> int:
     """Make one segment of all, without what is gone; the new version's number. Older versions keep their segments until they are dropped, then vacuum() deletes these."""
     segments, heads = _segments(spark, uri)
-    seq, gone = segments[-1] + 1, _part(spark, uri, segments, "gone")
-    live = [_live(_part(spark, uri, segments, part), gone).drop("head", "seq") for part in ("postings", "docs")]
-    _write(spark, uri, seq, heads, *live, gone.drop("seq").limit(0))
+    seq, gone, rows = segments[-1] + 1, _part(spark, uri, segments, "gone"), _part(spark, uri, segments, "postings")
+    dead = written(_marks(_dead(S.documents_of(rows), gone)), "dead")
+    _write(spark, uri, seq, heads, _without(rows.drop("seq", "head"), dead), gone.drop("seq").limit(0))
     return _save(spark, uri, [seq], heads, source_of(spark, uri))
 
 
+def _marks(dead: DataFrame) -> DataFrame:
+    """(block, words): a bit for each place in a block, set for the dead documents (block, at)."""
+    word, bit = (F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, at % 64)").alias("bit")
+    words = dead.select("block", word, bit).groupBy("block", "w").agg(F.bit_or("bit").alias("bits"))
+    found = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"))
+    return found.select("block", F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long"))).alias("words"))
+
+
+def _without(rows: DataFrame, dead: DataFrame) -> DataFrame:
+    """Packed rows without the tokens of dead documents (_marks). The list of a block's documents keeps their places, without a length."""
+    gone = lambda at: F.coalesce(F.getbit(F.get("words", (at / 64).cast("int")), at % 64) == 1, F.lit(False))
+    kept = F.filter(F.arrays_zip("at", "places"), lambda x: ~gone(x["at"]))
+    lens = F.transform("lens", lambda n, i: F.when(~gone(i), n))
+    held = rows.join(dead, "block", "left").withColumn("kept", F.when(F.col("words").isNotNull() & F.col("term").isNotNull(), kept))
+    cut = held.withColumns({"at": F.coalesce("kept.at", "at"), "places": F.coalesce("kept.places", "places"), "lens": F.when(F.col("words").isNull(), F.col("lens")).otherwise(lens)})
+    return cut.where(F.coalesce(F.size("kept") != 0, F.lit(True))).select(*rows.columns)
+
+
 def vacuum(spark: SparkSession, uri: str) -> list[int]:
     """Delete the segments that no version names; their numbers. No writer may be at work."""
     named = {r["seq"] for n in snapshots.versions(spark, f"{uri}/versions") for r in snapshots.load(spark, f"{uri}/versions", n)["segments"].collect()}

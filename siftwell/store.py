@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/siftwell/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to a new shared folder and read from there."""
+    uri = shared_folder(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(uri)
+    return rows.sparkSession.read.schema(rows.schema).parquet(uri)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Bytes of the tables that df reads, by its plan; nothing runs. Leaves that cannot tell their size (more than an exabyte) are left out."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -270,3 +270,27 @@ def test_a_query_goes_to_shards_not_to_cells(spark, tmp_path, monkeypatch):
     assert met.count() <= 45 * n * 5 < 45 * len(shards) * 3  # ten vectors in most cells: rows of each cell would be more
     row, at = V._first(np.array([[1.0, 3, 3, 2, 3], [-np.inf, 0, -np.inf, 0, 1]]), 2)
     assert row.tolist() == [0, 0, 1, 1] and at.tolist() == [1, 2, 4, 1]
+
+
+def test_postings_are_packed_and_counted_once(spark, tmp_path, monkeypatch):
+    """A row for each term of a block, not for each token; a search without an index passes over the texts once; compaction drops tokens, not blocks."""
+    monkeypatch.setattr(S, "BLOCK_TOKENS", 500)
+    texts = [(i, "alpha beta " * (i % 7) + "gamma " * 30 + "beta") for i in range(200)]
+    c, uri = catalog_of(spark, texts).coalesce(1), f"file://{tmp_path}/ix"
+    index = S.write_index(c, uri)
+    stored = spark.read.parquet(f"{uri}/postings")
+    blocks = stored.where("term is null").count()
+    assert 5 < blocks < 50 and stored.where("term = 'gamma'").count() == blocks
+    assert stored.where("term = 'gamma'").agg(F.sum(F.size("at"))).first()[0] == 6000
+    for query in ("alpha beta", '"gamma beta"', '"alpha beta alpha" gam', "zeta"):
+        assert scored(index, query) == scored(c, query)
+    plan = S.keyword_scores(c, '"alpha beta" gam be')._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Generate" not in plan
+    uri, dead = f"file://{tmp_path}/segments", [i for i in range(200) if i % 3 == 0]
+    segments.commit(spark, uri, c)
+    segments.commit(spark, uri, c.limit(0), spark.createDataFrame([(i,) for i in dead], "doc_id long"))
+    segments.compact(spark, uri)
+    left = catalog_of(spark, [t for t in texts if t[0] not in dead])
+    at = spark.read.parquet(f"{uri}/postings/seq=3")
+    assert at.where("term = 'gamma'").agg(F.sum(F.size("at"))).first()[0] == 30 * (200 - len(dead))
+    assert scored(segments.read(spark, uri)) == scored(left) and segments.read(spark, uri).docs.count() == 200 - len(dead)
