@@ -103,7 +103,7 @@ def compact(spark: SparkSession, uri: str) -> int:
 
 def _marks(dead: DataFrame) -> DataFrame:
     """(block, words): a bit for each place in a block, set for the dead documents (block, at)."""
-    word, bit = (F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, at % 64)").alias("bit")
+    word, bit = (F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, at)").alias("bit")
     words = dead.select("block", word, bit).groupBy("block", "w").agg(F.bit_or("bit").alias("bits"))
     found = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"))
     return found.select("block", F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long"))).alias("words"))
@@ -111,12 +111,12 @@ def _marks(dead: DataFrame) -> DataFrame:
 
 def _without(rows: DataFrame, dead: DataFrame) -> DataFrame:
     """Packed rows without the tokens of dead documents (_marks). The list of a block's documents keeps their places, without a length."""
-    gone = lambda at: F.coalesce(F.getbit(F.get("words", (at / 64).cast("int")), at % 64) == 1, F.lit(False))
-    kept = F.filter(F.arrays_zip("at", "places"), lambda x: ~gone(x["at"]))
-    lens = F.transform("lens", lambda n, i: F.when(~gone(i), n))
-    held = rows.join(dead, "block", "left").withColumn("kept", F.when(F.col("words").isNotNull() & F.col("term").isNotNull(), kept))
-    cut = held.withColumns({"at": F.coalesce("kept.at", "at"), "places": F.coalesce("kept.places", "places"), "lens": F.when(F.col("words").isNull(), F.col("lens")).otherwise(lens)})
-    return cut.where(F.coalesce(F.size("kept") != 0, F.lit(True))).select(*rows.columns)
+    gone = lambda at: F.call_function("shiftright", F.get("words", F.shiftright(at, 6)), at).bitwiseAND(F.lit(1)) == 1  # noqa: E731 - null beyond the last mark; shifts of a long count by the last six bits
+    held = rows.join(dead, "block", "left")
+    kept = F.when(F.col("words").isNull(), F.arrays_zip("at", "places")).otherwise(F.filter(F.arrays_zip("at", "places"), lambda x: ~F.coalesce(gone(x["at"]), F.lit(False))))
+    lens = F.when(F.col("words").isNull(), F.col("lens")).otherwise(F.transform("lens", lambda n, i: F.when(~F.coalesce(gone(i), F.lit(False)), n)))
+    cut = held.withColumn("kept", kept).withColumns({"lens": lens, "at": F.col("kept.at"), "places": F.col("kept.places")})
+    return cut.where("term is null or size(at) > 0").select(*rows.columns)
 
 
 def vacuum(spark: SparkSession, uri: str) -> list[int]:
