@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[
     ship(spark)
     inner: list[str] = []
     judged = quality.classify(docs, table(spark, sf_dir, "labels"), kept=inner)
-    rejected = materialise(judged.where("not kept").select("doc_id", "kept"), "rejected", kept)
+    rejected = materialise(judged.where("not kept").select("doc_id", "kept"), "rejected", kept, few=True)
     release(spark, inner)
     return quality.keep_good(docs, rejected)
 
@@ -56,7 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, kept: list[s
     ship(spark)
     inner: list[str] = []
     rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), kept=inner)
-    copies = materialise(rated.select("doc_id", "copies"), "copies", kept)
+    copies = materialise(rated.select("doc_id", "copies"), "copies", kept, few=True)
     release(spark, inner)
     return mixing.take_copies(docs, copies)
 

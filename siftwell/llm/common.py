@@ -9,6 +9,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+#: Bytes of what a plan reads for which its table gets a file, if it is to have few, and the least files for each core.
+FILE_BYTES, CORE_FILES = 4 << 20, 2
 #: Whether a query's shuffles are deleted when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -48,12 +50,16 @@ def scratch(spark: SparkSession, name: str, kept: list[str] | None = None) -> st
     return uri
 
 
-def materialise(df: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, kept: list[str] | None = None, few: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 
     The shuffles of the job are deleted with its end, as nothing reads them again; else they stay until the driver collects garbage.
+    few: partitions are written together, in a file for each FILE_BYTES that the plan reads, CORE_FILES for each core at least. For each file
+    Hadoop starts several processes where it lacks its native library, so a small table in hundreds of files takes longer than its rows.
     """
     spark, uri = df.sparkSession, scratch(df.sparkSession, name, kept)
+    if few:
+        df = df.coalesce(max(CORE_FILES * spark.sparkContext.defaultParallelism, -(-_bytes_read(df) // FILE_BYTES)))
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -90,11 +96,13 @@ def commit_file(uri: str, write) -> None:
     fs.move(own, path)
 
 
-def parts(df: DataFrame, size: int) -> int:
-    """Partitions for a shuffle of whole texts: one for about size bytes of the tables that df reads, or the session's setting if more.
-
-    Taken from the plan alone, nothing runs. Leaves that cannot tell their size (more than an exabyte) are left out.
-    """
+def _bytes_read(df: DataFrame) -> int:
+    """Of the tables that df reads, by its plan alone: nothing runs. Leaves that cannot tell their size (more than an exabyte) are left out."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(n for n in sizes if n < 1 << 60) // size))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def parts(df: DataFrame, size: int) -> int:
+    """Partitions for a shuffle of whole texts: one for about size bytes of the tables that df reads, or the session's setting if more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_bytes_read(df) // size))

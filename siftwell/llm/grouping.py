@@ -135,7 +135,7 @@ def similar_links(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
     spark = members.sparkSession
     total = members.agg(F.sum("weight")).first()[0] or 0
     bins = max(-(-total // limit), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = materialise(_placed(members, limit, 0), f"{name}-placed", kept)
+    placed = materialise(_placed(members, limit, 0), f"{name}-placed", kept, few=True)
     found = materialise(_block_links(fetch(placed.drop("weight")), payload, decode, similar, bins), f"{name}-links", kept)
     large = placed.where("g > 1")
     if large.isEmpty():
@@ -144,16 +144,16 @@ def similar_links(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
     while True:
         # the clusters of each large group; a node of several groups is in the same one everywhere
         clusters = components(links, kept).withColumnRenamed("root", "cluster")
-        labelled = materialise(large.join(clusters, "node", "left").withColumn("label", F.coalesce("cluster", "node")).drop("cluster"), f"{name}-clusters", kept)
+        labelled = materialise(large.join(clusters, "node", "left").withColumn("label", F.coalesce("cluster", "node")).drop("cluster"), f"{name}-clusters", kept, few=True)
         rounds += 1
         standing = [F.min_by(F.struct("node", "weight"), F.xxhash64("node", F.lit(rounds * STANDING + j))).alias(f"s{j}") for j in range(STANDING)]
         several = labelled.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("root")
         each = labelled.join(several, "root", "left_semi").groupBy("root", "label").agg(*standing).select("root", F.explode(F.array_distinct(F.array(*[f"s{j}" for j in range(STANDING)]))).alias("s"))
-        stand = materialise(_placed(each.select("root", "s.node", "s.weight"), limit, rounds), f"{name}-standing", kept)
+        stand = materialise(_placed(each.select("root", "s.node", "s.weight"), limit, rounds), f"{name}-standing", kept, few=True)
         if stand.isEmpty():
             return links
         more = _block_links(fetch(stand.drop("weight")), payload, decode, similar, bins).join(clusters.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), "a", "left").join(clusters.select(F.col("node").alias("b"), F.col("cluster").alias("cb")), "b", "left")
-        more = materialise(more.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), f"{name}-more", kept)
+        more = materialise(more.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), f"{name}-more", kept, few=True)
         if more.isEmpty():
             break
         links = links.unionByName(more)

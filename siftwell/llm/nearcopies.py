@@ -123,7 +123,7 @@ def candidate_groups(heads: DataFrame, radius: int, kept: list[str] | None = Non
     keyed = heads.select("set_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("set_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     by_band = keyed.join(shared, "key").select(F.col("set_id").alias("a"), "b")
-    by_fp = materialise(heads.groupBy("fp").agg(F.min("set_id").alias("least")), "by-fp", kept)
+    by_fp = materialise(heads.groupBy("fp").agg(F.min("set_id").alias("least")), "by-fp", kept, few=True)
     same = heads.join(by_fp, "fp").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
     to = lambda c: by_fp.select(F.col("fp").alias(c), F.col("least").alias(c + "_set"))
     balls = links(by_fp.select("fp"), radius, kept).join(to("a"), "a").join(to("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
@@ -140,11 +140,11 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 4, kept:
     inner: list[str] = []  # deleted once it is known which rows stay
     rows = given.select(F.col(ROW).alias("row"), "doc_id", "text")
     found = materialise(sketches(rows, shingle), "sketches", early)
-    classes = materialise(found.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "classes", inner)
+    classes = materialise(found.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")), "classes", inner, few=True)
     heads = materialise(marked(found, "row", classes.select("least.row"), "head-marks", early).drop(MARK), "heads", inner)
     release(spark, early)
-    groups = materialise(candidate_groups(heads.where("size(bands) > 0"), radius, inner), "groups", inner)
-    members = materialise(groups.withColumn("weight", F.lit(1).cast("long")), "members", inner)
+    groups = materialise(candidate_groups(heads.where("size(bands) > 0"), radius, inner), "groups", inner, few=True)
+    members = materialise(groups.withColumn("weight", F.lit(1).cast("long")), "members", inner, few=True)
 
     def texts(chosen: DataFrame) -> DataFrame:
         marks = chosen.join(heads.select(F.col("set_id").alias("node"), "row"), "node")

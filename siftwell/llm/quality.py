@@ -169,7 +169,7 @@ def smoothed(grams: DataFrame, kept: list[str] | None = None, order: int = ORDER
     tables = {order: grams}
     for n in range(order - 1, 0, -1):
         shorter = F.col("k").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("k")
-        tables[n] = materialise(tables[n + 1].groupBy(shorter).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")), f"grams-{n}", kept)
+        tables[n] = materialise(tables[n + 1].groupBy(shorter).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")), f"grams-{n}", kept, few=True)
     times = None
     for n, t in tables.items():
         own = t.agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).withColumn("n", F.lit(n))
@@ -193,7 +193,7 @@ def smoothed(grams: DataFrame, kept: list[str] | None = None, order: int = ORDER
         p = F.when(F.col("whole") > 0, (c - taken + F.col("left") * F.col("below")) / F.col("whole")).otherwise(F.col("below"))
         if n == order:
             return joined.select(*grams.columns, F.log(p).alias("log_prob"))
-        lower = materialise(joined.select(F.col("k").alias("short"), p.alias("below")), f"below-{n}", kept)
+        lower = materialise(joined.select(F.col("k").alias("short"), p.alias("below")), f"below-{n}", kept, few=True)
 
 
 def scores(docs: DataFrame, trusted: DataFrame, kept: list[str] | None = None) -> DataFrame:
@@ -234,7 +234,7 @@ def scores(docs: DataFrame, trusted: DataFrame, kept: list[str] | None = None) -
     each = map_rows(encoded, score, SCORED)
     # The stretches of one row are few and have one id, language and role.
     whole = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.sum("n_bytes").alias("n_bytes"), F.sum("log_prob").alias("log_prob"), F.first("role").alias("role"))
-    done = materialise(whole, "perplexities", kept)
+    done = materialise(whole, "perplexities", kept, few=True)
     release(docs.sparkSession, late)
     return done
 
@@ -249,11 +249,11 @@ def quantile(bins: DataFrame, by: list[str], q: float) -> DataFrame:
 def thresholds(scored: DataFrame, role: int, q: float, edge: Callable[[Column], Column], shrink: float, name: str, kept: list[str] | None) -> tuple[DataFrame, Column]:
     """(of, name) log perplexities by language, written, and that of all languages; scored has lang, role and x, the log perplexity. edge: floor or ceil."""
     bins = scored.where(F.col("x").isNotNull() & (F.col("role") == role)).groupBy("lang", edge(F.col("x") * GRID).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    bins = materialise(bins, f"bins-{name}", kept)
+    bins = materialise(bins, f"bins-{name}", kept, few=True)
     every = quantile(bins.groupBy("bin").agg(F.sum("n").alias("n")), [], q).first()
     every = F.lit(every["value"] if every else None).cast("double")
     drawn = (F.col("n") * F.col("value") + shrink * every) / (F.col("n") + shrink) / GRID
-    return materialise(quantile(bins, ["lang"], q).select(F.col("lang").alias("of"), drawn.alias("own")), f"thresholds-{name}", kept), every / GRID
+    return materialise(quantile(bins, ["lang"], q).select(F.col("lang").alias("of"), drawn.alias("own")), f"thresholds-{name}", kept, few=True), every / GRID
 
 
 def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, low: float = LOW, shrink: float = SHRINK, kept: list[str] | None = None) -> DataFrame:

@@ -168,7 +168,7 @@ def links(distinct: DataFrame, radius: int = 4, kept: list[str] | None = None, h
 
     done = None
     while True:
-        hot = materialise(spread.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > hot_at).select("prefix"), "hot-prefixes", kept)
+        hot = materialise(spread.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > hot_at).select("prefix"), "hot-prefixes", kept, few=True)
         some = k + DEAL_BITS <= DEALT and not hot.isEmpty()
         cold = spread.join(hot, "prefix", "left_anti") if some else spread
         done = cold if done is None else done.unionByName(cold)
@@ -198,18 +198,18 @@ def components(edges: DataFrame, kept: list[str] | None = None) -> DataFrame:
         both = df.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionByName(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name + "-min", inner)
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name + "-min", inner, few=True)
         met = both.join(least, "u")
         if large:
             out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        done = materialise(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, into)
+        done = materialise(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, into, few=True)
         release(df.sparkSession, inner)
         return done
 
     last: list[str] = []  # the folder of edges; a round deletes those before it
-    edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", last)
+    edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", last, few=True)
     before = state(edges)
     while before[0]:
         large, small = [], []
@@ -234,11 +234,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col:
     other. An empty table gives no rows; other columns are not read; texts of any length count whole.
     """
     fps = materialise(fingerprints(docs, shingle, id_col, text_col), "fps", kept)
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", kept)
+    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", kept, few=True)
     found = components(links(classes.select("fp"), radius, kept), kept)
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
     alone = rooted.where("root is null").select("fp", F.col("least").alias("component_id"))
-    linked = materialise(rooted.where("root is not null"), "linked", kept)
+    linked = materialise(rooted.where("root is not null"), "linked", kept, few=True)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(alone.unionByName(linked.join(least, "root").select("fp", "component_id")), "named", kept)
+    named = materialise(alone.unionByName(linked.join(least, "root").select("fp", "component_id")), "named", kept, few=True)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

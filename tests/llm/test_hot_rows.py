@@ -66,3 +66,20 @@ def test_rounds_of_components_leave_one_folder(spark, tmp_path):
     chain = components(spark.range(200).selectExpr("id as a", "id + 1 as b"), kept)
     assert chain.select("root").distinct().count() == 1 and chain.count() == 201
     assert len(kept) == 1 and {p.name for p in root.glob("*")} - before == {kept[0].rpartition("/")[2]}
+
+
+def test_small_tables_are_few_files(spark):
+    """However many partitions a shuffle has, what is written of a small table is a few files for each core."""
+    from siftwell.llm.simhash import components
+
+    settings = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, kept = {k: spark.conf.get(k) for k in settings}, []
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.range(2000).selectExpr("id - id % 10 as a", "id as b"), kept)
+        assert 0 < len(found.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found.count() == 2000 and found.select("root").distinct().count() == 200
