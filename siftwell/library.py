@@ -92,29 +92,37 @@ def add(spark: SparkSession, uri: str, found: DataFrame, records: DataFrame, ret
     blacklist; with retry those that could be read leave it. Repeated paths count once, rows without a path are left out. Without records only the log grows.
     """
     found = _written(found.where("path is not null").select("path", "rel").dropDuplicates(["path"]), "found")
-    got = _written(records.where("path is not null").dropDuplicates(["path"]), "records")
     stored = table(spark, uri, "documents")
+    last = stored.agg(F.max("doc_id")).first()[0] or 0
+    users = table(spark, uri, "tags").where("source = 'user'").groupBy("doc_id").agg(F.collect_set("tag").alias("_users"))
+    known = stored.select("path", F.col("doc_id").alias("_id")).join(users.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    # texts are shuffled once, by path, and written with all that follows from it; ids are given once, by this job
+    got = records.where("path is not null").dropDuplicates(["path"]).join(known, "path", "left").join(found.withColumn("_found", F.lit(True)), "path", "left")
+    got = N.with_auto_tags(got.withColumn("ext", F.col("file_ext"))).drop("ext", "rel")
+    none = F.array().cast("array<string>")
+    got = got.withColumns({
+        "_id": F.coalesce("_id", F.monotonically_increasing_id() + last + 1), "_at": F.current_timestamp(), "_users": F.coalesce("_users", none), "auto_tags": F.when(F.col("_found"), F.col("auto_tags")).otherwise(none),
+    }).drop("_found")
+    got = _written(got, "records")
     if got.isEmpty():
         log = _written(N.scan_log(found, stored, got), "log")
         _save(spark, uri, "scans", table(spark, uri, "scans").unionByName(log))
         return log
-    last = stored.agg(F.max("doc_id")).first()[0] or 0
-    rows = got.where("success").join(stored.select("path", F.col("doc_id").alias("_id")), "path", "left")
-    now = F.current_timestamp()
+    rows = got.where("success")
+    tagged = F.sort_array(F.array_distinct(F.concat("_users", F.transform("auto_tags", C.short_tag)))).alias("tags")
+    fresh = rows.select(F.col("_id").alias("doc_id"), F.explode_outer("auto_tags").alias("tag"))  # a document without tags loses those it had
+    now = F.col("_at")
     rows = rows.select(
-        F.coalesce("_id", F.monotonically_increasing_id() + last + 1).alias("doc_id"), "path", "name", F.col("file_ext").alias("ext"), "title", "author", "subject", "description", F.col("text").alias("content"),
-        F.col("snippet").alias("content_snippet"), F.col("size_bytes").alias("size"), "modified_at", now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("string").alias("synopsis"),
+        F.col("_id").alias("doc_id"), "path", "name", F.col("file_ext").alias("ext"), "title", "author", "subject", "description", F.col("text").alias("content"),
+        F.col("snippet").alias("content_snippet"), F.col("size_bytes").alias("size"), "modified_at", now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("string").alias("synopsis"), tagged,
     )
-    rows = _written(rows, "scanned")  # ids are given once, by the job that writes them
     log = _written(N.scan_log(found, stored, got), "log")
-    auto = N.auto_tags(rows.join(found, "path").select("doc_id", "rel", "ext", "title", F.col("content").alias("text")))
-    fresh = rows.select("doc_id").join(auto, "doc_id", "left")  # a document without tags loses those it had
     tags = C.regenerate_tags(table(spark, uri, "tags"), fresh).where("tag is not null")
     _save(spark, uri, "tags", tags)
-    segments.commit(spark, f"{uri}/index", _searchable(rows, table(spark, uri, "tags")))
+    segments.commit(spark, f"{uri}/index", _searched(rows))
     before = table(spark, uri, "blacklist")
     _save(spark, uri, "blacklist", N.after_rescan(before, got) if retry else N.add_listed(before, N.failures(got)))
-    buckets.upsert(spark, f"{uri}/documents", rows)
+    buckets.upsert(spark, f"{uri}/documents", rows.drop("tags"))
     _save(spark, uri, "scans", table(spark, uri, "scans").unionByName(log))
     return log
 
@@ -122,8 +130,13 @@ def add(spark: SparkSession, uri: str, found: DataFrame, records: DataFrame, ret
 def _searchable(rows: DataFrame, tags: DataFrame) -> DataFrame:
     """What is indexed of documents, and told of results: the searched columns, tags as an array."""
     own = tags.groupBy("doc_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    return _searched(rows.join(own, "doc_id", "left"))
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    """The same of documents with their tags."""
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("author", "subject", "description", "content")]
-    return rows.join(own, "doc_id", "left").select("doc_id", "name", "title", "path", *texts, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return rows.select("doc_id", "name", "title", "path", *texts, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def remove(spark: SparkSession, uri: str, paths: DataFrame, mode: str = "db_only") -> DataFrame:

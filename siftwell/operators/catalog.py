@@ -59,14 +59,17 @@ def stale_embeddings(documents: DataFrame, embeddings: DataFrame, model: str) ->
     return documents.join(have, F.col("doc_id") == F.col("_id"), "left").where(stale).drop("_id", "_model", "_at")
 
 
-def upsert(stored: DataFrame, scanned: DataFrame, keeps: tuple[str, ...] = ("doc_id", "created_at", "synopsis")) -> DataFrame:
-    """The next snapshot by path: scanned rows win, but for the columns in keeps where stored has a value."""
+def upsert(stored: DataFrame, scanned: DataFrame, keeps: tuple[str, ...] = ("doc_id", "created_at", "synopsis"), also: tuple[str, ...] = ()) -> DataFrame:
+    """The next snapshot by path: scanned rows win, but for the columns in keeps where stored has a value. also: columns that follow from the path and that both are dealt by."""
     a, b = stored.alias("a"), scanned.alias("b")
     cols = []
     for c in stored.columns:
         order = [f"a.{c}", f"b.{c}"] if c in keeps else [f"b.{c}", f"a.{c}"]
         cols.append(F.coalesce(*[F.col(x) for x in order if x[0] == "a" or c in scanned.columns]).alias(c))
-    return a.join(b, F.col("a.path") == F.col("b.path"), "full_outer").select(*cols)
+    same = F.col("a.path") == F.col("b.path")
+    for c in also:
+        same = (F.col(f"a.{c}") == F.col(f"b.{c}")) & same
+    return a.join(b, same, "full_outer").select(*cols)
 
 
 def delete_by_id(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -103,11 +106,16 @@ def remove_tag(tags: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
     return tags.join(gone, ["doc_id", "tag"], "left_anti")
 
 
+def short_tag(tag: Column) -> Column:
+    """An automatic tag as it is stored."""
+    return F.substring(F.lower(tag), 1, 50)
+
+
 def regenerate_tags(tags: DataFrame, fresh: DataFrame) -> DataFrame:
     """Automatic tags of the documents in fresh (doc_id, tag) are replaced; tags of users stay."""
     ids = fresh.select("doc_id").distinct()
     stays = tags.where("source = 'user'").unionByName(tags.where("source != 'user'").join(ids, "doc_id", "left_anti"))
-    new = fresh.select("doc_id", F.substring(F.lower("tag"), 1, 50).alias("tag"), F.lit("auto").alias("source")).distinct()
+    new = fresh.select("doc_id", short_tag(F.col("tag")).alias("tag"), F.lit("auto").alias("source")).distinct()
     return stays.unionByName(new.join(stays.select("doc_id", "tag"), ["doc_id", "tag"], "left_anti"))
 
 

@@ -25,14 +25,18 @@ def auto_tags(files: DataFrame, most: int = 5) -> DataFrame:
     rel is the path below the root. Keywords, at most so many, are taken of document formats only; plain text and code have none.
     A null ext counts as none, null texts have no words.
     """
+    return with_auto_tags(files, most).select("doc_id", F.explode("auto_tags").alias("tag"))
+
+
+def with_auto_tags(files: DataFrame, most: int = 5) -> DataFrame:
+    """files (rel, ext, title, text and others) with the array auto_tags: see auto_tags(). A projection, nothing is shuffled."""
     ext = F.lower(F.coalesce("ext", F.lit("")))
     words = ext.isin(KEYWORD_TYPES)
-    rows = files.select("doc_id", "rel", ext.alias("ext"), F.when(words, F.col("title")).alias("title"), F.when(words, F.col("text")).alias("text"))
-    rows = with_keywords(rows, "text", "title", most)
+    rows = with_keywords(files.withColumns({"_title": F.when(words, F.col("title")), "_text": F.when(words, F.col("text"))}), "_text", "_title", most, "_keywords")
     folders = F.filter(F.transform(F.slice(F.split("rel", "/"), 1, F.greatest(F.size(F.split("rel", "/")) - 1, F.lit(0))), F.lower), lambda x: F.length(x) > 2)
-    kinds = [F.when(F.col("ext").isin(of), F.lit(name)) for name, of in (("code", CODE), ("diagram", DIAGRAM), ("markup", MARKUP))]
-    all_ = F.array_distinct(F.concat(F.array(F.nullif("ext", F.lit("")), *kinds), F.coalesce(folders, F.array().cast("array<string>")), "keywords"))
-    return rows.select("doc_id", F.explode(F.filter(all_, lambda x: x.isNotNull() & (x != ""))).alias("tag"))
+    kinds = [F.when(ext.isin(of), F.lit(name)) for name, of in (("code", CODE), ("diagram", DIAGRAM), ("markup", MARKUP))]
+    all_ = F.array_distinct(F.concat(F.array(F.nullif(ext, F.lit("")), *kinds), F.coalesce(folders, F.array().cast("array<string>")), "_keywords"))
+    return rows.withColumn("auto_tags", F.filter(all_, lambda x: x.isNotNull() & (x != ""))).drop("_title", "_text", "_keywords")
 
 
 def scan_log(found: DataFrame, stored: DataFrame, records: DataFrame) -> DataFrame:

@@ -51,9 +51,9 @@ def _dead(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return _against(rows, gone, "left_semi")
 
 
-def _write(spark: SparkSession, uri: str, seq: int, heads: int, postings: DataFrame, gone: DataFrame) -> None:
+def _write(spark: SparkSession, uri: str, seq: int, heads: int, postings: DataFrame, gone: DataFrame, dealt: bool = True) -> None:
     """Write a segment. What a failed attempt at the same number left is overwritten: no version names it."""
-    S.write_postings(postings, f"{uri}/postings/seq={seq}", heads, "overwrite")
+    S.write_postings(postings, f"{uri}/postings/seq={seq}", heads, "overwrite", dealt)
     gone.withColumn("doc_id", F.col("doc_id").cast("long")).write.mode("overwrite").parquet(f"{uri}/gone/seq={seq}")
 
 
@@ -74,7 +74,7 @@ def commit(spark: SparkSession, uri: str, rows: DataFrame, deleted: DataFrame |
     heads, seq = heads or S.heads_for(rows), max(segments, default=0) + 1
     ids = rows.select("doc_id") if deleted is None else rows.select("doc_id").unionByName(deleted.select("doc_id"))
     packed = S.packed(rows.withColumn("doc_id", F.col("doc_id").cast("long"))).withColumn("block", F.col("block") + F.lit(seq * SEGMENT_BLOCKS))
-    _write(spark, uri, seq, heads, packed, ids.where("doc_id is not null").distinct())
+    _write(spark, uri, seq, heads, packed, ids.where("doc_id is not null").distinct(), not S.direct(rows))
     return _save(spark, uri, [*segments, seq], heads, source)
 
 

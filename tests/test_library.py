@@ -88,3 +88,26 @@ def test_addresses_like_the_standard_library(spark):
         assert [tuple(x) for x in r.a] == want, r.f
         assert r.s == ((want[0][0] or want[0][1]) if want else None)
     assert spark.createDataFrame([(None,)], "f string").select(T.format_addresses(F.col("f"))).first()[0] == ""
+
+
+def test_a_bucket_upsert_shuffles_each_side_once(spark, tmp_path):
+    """Stored and new rows are dealt by bucket, joined and written: one exchange for each, in all that is written."""
+    import re
+
+    from siftwell.sources import buckets
+
+    rows = spark.createDataFrame([(f"/p{i}", i, "old") for i in range(40)], "path string, doc_id long, title string")
+    buckets.create(rows.where("doc_id < 30"), str(tmp_path / "b"), 4)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+    before = executions()
+    buckets.upsert(spark, str(tmp_path / "b"), rows.where("doc_id >= 20").withColumn("title", F.lit("new")).withColumn("doc_id", F.col("doc_id") + 100))
+    writes = [p for i, p in executions().items() if i not in before and "InsertIntoHadoopFsRelationCommand" in p]
+    assert writes and sum(len(re.findall(r"\bExchange \(", p.partition("== Initial Plan ==")[0])) for p in writes) == 2
+    got = {r["path"]: (r["doc_id"], r["title"]) for r in buckets.read(spark, str(tmp_path / "b")).collect()}
+    assert got == {f"/p{i}": (i if i < 30 else i + 100, "old" if i < 20 else "new") for i in range(40)}
