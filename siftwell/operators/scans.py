@@ -25,7 +25,8 @@ def auto_tags(files: DataFrame, most: int = 5) -> DataFrame:
     rel is the path below the root. Keywords, at most so many, are taken of document formats only; plain text and code have none.
     A null ext counts as none, null texts have no words.
     """
-    return with_auto_tags(files, most).select("doc_id", F.explode("auto_tags").alias("tag"))
+    # an inner explode would have Spark infer a filter on its array and push it below with_keywords(), whose steps it then repeats for each element of one another
+    return with_auto_tags(files, most).select("doc_id", F.explode_outer("auto_tags").alias("tag")).where("tag is not null")
 
 
 def with_auto_tags(files: DataFrame, most: int = 5) -> DataFrame:

@@ -51,6 +51,15 @@ def test_auto_tags_of_odd_rows(spark):
     assert got == {1: {"pdf", "reports", "annual", "report"}, 3: {"py", "code"}}
 
 
+def test_auto_tags_of_long_texts(spark):
+    text = " ".join(f"{w}{x}" for x in "abcdefghij" * 4 for w in ("word", "term", "name", "same") * 10)
+    files = spark.createDataFrame([(1, "x.pdf", "pdf", None, text)], "doc_id long, rel string, ext string, title string, text string")
+    tags = N.auto_tags(files)
+    # words are taken once, not in a filter below the explode as well, where they would be taken again for each word
+    assert tags._jdf.queryExecution().optimizedPlan().toString().count("{3,20}") == 1
+    assert sorted(r.tag for r in tags.collect()) == ["namea", "pdf", "samea", "terma", "worda", "wordb"]
+
+
 def test_pattern_of_scripts():
     assert match_pattern("한국인 Data") == r"(?iU)(?:\b(?:data)\b|한국|국인)"
     assert match_pattern("...") is None
