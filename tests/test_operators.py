@@ -146,3 +146,9 @@ def test_card_beside_a_number_that_is_none(spark):
     d = spark.createDataFrame([(1, "a 2353820953013749 4550997810720808 b"), (2, "a 2353820953013749 b")], "doc_id long, text string")
     assert [(r["doc_id"], [tuple(h) for h in r["hits"]]) for r in I.scan_pii(d).collect()] == [(1, [("Credit Card", "4550997810720808")])]
     assert [r["doc_id"] for r in I.purge_pii(d).collect()] == [2]
+
+
+def test_card_beside_a_number_that_is_none_is_listed(spark):
+    d = spark.createDataFrame([("/a", "a 2353820953013749", "4550997810720808 b"), ("/b", "a 2353820953013749", "b")], "path string, description string, content_snippet string")
+    left, after = I.purge_listed(d, spark.createDataFrame([], "path string, reason string"))
+    assert [r.path for r in left.collect()] == ["/b"] and rows(after) == [("/a", "Credit Card")]
